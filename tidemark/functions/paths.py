@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.common import first_status
+from tidemark.functions.common import first_status, let
 
 # Limits and reserved names of portable paths.
 MAX_COMPONENT_BYTES = 255
@@ -101,20 +101,24 @@ def file_stem(path: Column) -> Column:
 
 def truncate_bytes(text: Column, limit: Column) -> Column:
     """Longest prefix of at most ``limit`` UTF-8 bytes that ends on a character."""
-    raw = F.encode(text, "UTF-8")
 
-    def continues(at: Column) -> Column:
-        octet = F.hex(F.substring(raw, at + F.lit(1), F.lit(1)))
-        return (octet >= "80") & (octet <= "BF")
+    def cut(given: Column) -> Column:
+        raw, most = given["raw"], given["most"]
 
-    end = (
-        F.when(~continues(limit), limit)
-        .when(~continues(limit - 1), limit - 1)
-        .when(~continues(limit - 2), limit - 2)
-        .otherwise(limit - 3)
-    )
-    cut = F.substring(raw, F.lit(1), end).cast("string")
-    return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
+        def continues(at: Column) -> Column:
+            octet = F.hex(F.substring(raw, at + F.lit(1), F.lit(1)))
+            return (octet >= "80") & (octet <= "BF")
+
+        end = (
+            F.when(F.octet_length(raw) <= most, F.octet_length(raw))
+            .when(~continues(most), most)
+            .when(~continues(most - 1), most - 1)
+            .when(~continues(most - 2), most - 2)
+            .otherwise(most - 3)
+        )
+        return F.substring(raw, F.lit(1), end).cast("string")
+
+    return let(F.struct(F.encode(text, "UTF-8").alias("raw"), limit.cast("int").alias("most")), cut)
 
 
 def portable_label(label: Column) -> Column:
@@ -139,10 +143,11 @@ def conflict_path(
         F.substring(F.replace(revision, F.lit("-"), F.lit("")), 1, 8),
         F.lit(")"),
     )
-    ext = F.coalesce(F.concat(F.lit("."), file_extension(path)), F.lit(""))
-    room = F.greatest(
-        F.lit(MAX_COMPONENT_BYTES) - F.octet_length(suffix) - F.octet_length(ext), F.lit(0)
-    )
-    name = F.concat(truncate_bytes(file_stem(path), room), suffix, ext)
-    parent = parent_path(path)
-    return F.when(parent.isNull(), name).otherwise(F.concat(parent, F.lit("/"), name))
+    ending = F.concat(suffix, F.coalesce(F.concat(F.lit("."), file_extension(path)), F.lit("")))
+
+    def name(end: Column) -> Column:
+        room = F.greatest(F.lit(MAX_COMPONENT_BYTES) - F.octet_length(end), F.lit(0))
+        return F.concat(truncate_bytes(file_stem(path), room), end)
+
+    parent = F.coalesce(F.concat(parent_path(path), F.lit("/")), F.lit(""))
+    return F.concat(parent, let(ending, name))

@@ -10,6 +10,7 @@ from tidemark.functions.ids import change_tag
 from tidemark.operators.changelog import append_changes
 from tidemark.operators.manifests import missing_objects
 from tidemark.operators.ranking import union_all
+from tidemark.session import checkpoint_ready
 
 # Limits of the exchange, in records and bytes.
 MAXIMUM_RECORDS = 4096
@@ -78,13 +79,21 @@ def batch_errors(
     )
 
 
-def authorize(changes: DataFrame, members: DataFrame, provenance: DataFrame, objects: DataFrame) -> DataFrame:
+def authorize(
+    changes: DataFrame,
+    members: DataFrame,
+    provenance: DataFrame,
+    objects: DataFrame,
+    eligible: Column | None = None,
+) -> DataFrame:
     """Authentication status of each change.
 
     ``changes``: ``group_id, revision_id, content_id, author, tag, arrival``. Stored
     provenance is looked at first, so a change authenticated once stays so after its author
-    is revoked. Among repeats inside the batch the first that authenticates plays that part.
+    is revoked. Among repeats inside the batch the first that authenticates plays that part;
+    rows that are not ``eligible`` never do.
     """
+    eligible = F.lit(True) if eligible is None else eligible
     key = ["group_id", "revision_id"]
     said = F.struct("content_id", "author", "tag")
     stored = provenance.select(*key, said.alias("_stored"))
@@ -117,7 +126,7 @@ def authorize(changes: DataFrame, members: DataFrame, provenance: DataFrame, obj
         )
     )
     first = (
-        alone.where(F.col("_alone") == "AUTHENTICATED")
+        alone.where((F.col("_alone") == "AUTHENTICATED") & eligible)
         .groupBy(*key)
         .agg(F.min(F.struct("arrival", said.alias("said"))).alias("_first"))
     )
@@ -148,8 +157,10 @@ def admit_batch(
     ``batch``: ``page_id, group_id, revision_id, manifest_revision_id, content_id, author,
     tag, arrival, peer_sequence``; ``pages``: ``page_id, group_id, peer, high_watermark,
     has_more``. A record with an absent chunk is ``WAITING``; complete records commit even
-    when others wait.
+    when others wait. The authenticated records (no payloads) are checkpointed once and every
+    later step reads them from there.
     """
+    checkpoint_ready(batch.sparkSession)
     peers = pages.join(
         members.select("group_id", F.col("device").alias("peer"), F.col("status").alias("_peer")),
         ["group_id", "peer"],
@@ -174,20 +185,21 @@ def admit_batch(
         )
         .drop("_peer_error")
     )
-    passed = early.where(F.col("_early").isNull()).drop("_early")
-    signed = authorize(passed, members, provenance, objects).join(absent, "content_id", "left")
-    trusted = F.col("auth_status").isin("AUTHENTICATED", "ALREADY_AUTHENTICATED")
-    ready = signed.where(trusted & F.col("_waits").isNull())
-    committed = append_changes(log, ready.select(*batch.columns), refs, objects)
-    held = signed.where(~(trusted & F.col("_waits").isNull())).select(
+    signed = (
+        authorize(early, members, provenance, objects, F.col("_early").isNull())
+        .join(absent, "content_id", "left")
+        .withColumn("_status", F.coalesce("_early", "auth_status"))
+        .checkpoint()
+    )
+    trusted = F.col("_status").isin("AUTHENTICATED", "ALREADY_AUTHENTICATED")
+    ready = trusted & F.col("_waits").isNull()
+    committed = append_changes(log, signed.where(ready).select(*batch.columns), refs, objects)
+    held = signed.where(~ready).select(
         *batch.columns,
-        F.when(trusted, F.lit("WAITING")).otherwise(F.col("auth_status")).alias("status"),
+        F.when(trusted, F.lit("WAITING")).otherwise(F.col("_status")).alias("status"),
         F.lit(None).cast("bigint").alias("sequence"),
     )
-    refused = early.where(F.col("_early").isNotNull()).select(
-        *batch.columns, F.col("_early").alias("status"), F.lit(None).cast("bigint").alias("sequence")
-    )
-    return union_all(committed, held, refused)
+    return union_all(committed, held)
 
 
 def page_verdicts(admitted: DataFrame, pages: DataFrame) -> DataFrame:

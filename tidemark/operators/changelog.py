@@ -14,32 +14,32 @@ def read_changes(log: DataFrame, group: int | str, after: int) -> DataFrame:
     return log.where((F.col("group_id") == group) & (F.col("sequence") > after))
 
 
-def object_problems(batch: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
-    """Per manifest ``content_id``, what keeps it from being committed (NULL: nothing).
+def _object_problem(kind: str) -> Column:
+    return first_status(
+        (F.col("_kind").isNull(), "OBJECT_NOT_FOUND"),
+        (F.col("_kind") != kind, "OBJECT_KIND_MISMATCH"),
+    )
 
-    The manifest itself comes first, then its chunks in id order.
-    """
-    ready = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
 
-    def problem(kind: str) -> Column:
-        return first_status(
-            (F.col("_kind").isNull(), "OBJECT_NOT_FOUND"),
-            (F.col("_kind") != kind, "OBJECT_KIND_MISMATCH"),
-        )
+def with_object_problem(batch: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """Add ``problem``: what keeps a change from being committed (NULL: nothing).
 
-    manifests = (
-        batch.select("content_id").distinct().join(ready, "content_id", "left")
-        .select("content_id", problem("MANIFEST").alias("_own"))
-    )
+    The manifest itself comes first, then its chunks in id order; a chunk listed twice counts
+    once. ``refs`` holds the references of the batch's manifests.
+    """
+    ready = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
     chunks = (
         refs.select("manifest_id", "content_id").distinct().join(ready, "content_id", "left")
-        .withColumn("_problem", problem("CHUNK"))
+        .withColumn("_problem", _object_problem("CHUNK"))
         .where(F.col("_problem").isNotNull())
         .groupBy(F.col("manifest_id").alias("content_id"))
         .agg(F.min_by("_problem", "content_id").alias("_chunk"))
     )
-    return manifests.join(chunks, "content_id", "left").select(
-        "content_id", F.coalesce("_own", "_chunk").alias("problem")
+    return (
+        batch.join(ready, "content_id", "left")
+        .join(chunks, "content_id", "left")
+        .withColumn("problem", F.coalesce(_object_problem("MANIFEST"), "_chunk"))
+        .drop("_kind", "_chunk")
     )
 
 
@@ -55,9 +55,7 @@ def append_changes(log: DataFrame, batch: DataFrame, refs: DataFrame, objects: D
     known = log.select(
         *key, F.col("content_id").alias("_old_content"), F.col("sequence").alias("_old_sequence")
     )
-    rows = batch.join(known, key, "left").join(
-        object_problems(batch, refs, objects), "content_id", "left"
-    )
+    rows = with_object_problem(batch, refs, objects).join(known, key, "left")
     fit = F.col("_old_content").isNull() & F.col("problem").isNull()
     first = (
         rows.where(fit)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpoint_ready
+
 # A bucket covers 2**16 consecutive order values. Order values are unique inside a group, so
 # no bucket, and no parent of buckets one level up, can hold more than 65,536 rows.
 BUCKET_BITS = 16
@@ -48,10 +50,14 @@ def dense_rank(df: DataFrame, order: str, by: list[str] | None = None, out: str
 
     ``order`` is a BIGINT, unique in the group, or a prefix of the real order with the rest
     in ``ties``. Buckets come from the data, so a retried task gives the same ranks.
+
+    Two passes: a job counts the buckets (a small table, checkpointed), then the rows are
+    ranked lazily inside their bucket.
     """
     by = by or []
+    checkpoint_ready(df.sparkSession)
     bucketed = df.withColumn("_b", order_bucket(order))
-    counts = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("n"))
+    counts = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     before = rows_before(counts, by, "_b").select(*by, "_b", "before")
     inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order, *(ties or [])))
     joined = bucketed.join(before, [*by, "_b"])

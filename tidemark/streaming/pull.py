@@ -38,8 +38,9 @@ def pull_pages(
 ) -> tuple[DataFrame, DataFrame]:
     """Admit everything a peer has past a cursor: record statuses and page verdicts.
 
-    All pages are admitted in one job; replays are harmless. ``next_cursor`` says how far the
-    cursor may move.
+    All pages are admitted in one job; replays are harmless. The statuses are checkpointed, as
+    the log, the requests and the cursor are all derived from them. ``next_cursor`` says how
+    far the cursor may move.
     """
     fresh = read_changes(remote, group, after)
     top = remote.where(F.col("group_id") == group).agg(F.coalesce(F.max("sequence"), F.lit(0))).scalar()
@@ -64,7 +65,7 @@ def pull_pages(
     )
     admitted = admit_batch(
         batch, pages, tables.refs(), log, tables.objects(), tables.members(), tables.provenance()
-    )
+    ).checkpoint()
     return admitted, page_verdicts(admitted, pages)
 
 
