@@ -21,7 +21,7 @@ def test_listing_keeps_hidden_names_and_skips_links(spark, tmp_path):
     a = rows["docs/A.txt"]
     assert (a.length, a.mtime_ms, a.path_key, a.path_error) == (3, 1_700_000_000_123, "docs/a.txt", None)
     assert rows["docs/deep/CON.txt"].path_error == "RESERVED_NAME"
-    assert rows["docs/café"].display == "docs/café"
+    assert rows["docs/café"].display == "docs/caf\u00e9"
     contents = {r.path: bytes(r.content) for r in files.read_contents(listing, str(tmp_path)).collect()}
     assert contents["docs/A.txt"] == b"abc" and contents["_under"] == b""
     by_uri = files.list_files(spark, f"file://{tmp_path}/docs").select("path", "length").collect()

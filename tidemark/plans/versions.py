@@ -262,11 +262,11 @@ CAUSAL_FRONTIER = f"""{WITH_CHANGES}, dominated AS (
 SELECT file_id, author, revision_id FROM changes WHERE sequence NOT IN (SELECT sequence FROM dominated)"""
 
 
-def open_conflicts(spark, sf_dir):
+def unresolved_conflicts(spark, sf_dir):
     return rc.frontier_report(fx.changes(spark, sf_dir))
 
 
-OPEN_CONFLICTS = f"""WITH f AS ({CAUSAL_FRONTIER})
+UNRESOLVED_CONFLICTS = f"""WITH f AS ({CAUSAL_FRONTIER})
 SELECT file_id, count(*) AS heads, count(*) > 1 AS conflict FROM f GROUP BY file_id"""
 
 
@@ -406,7 +406,7 @@ QUERIES = {
     "log_fold_outcomes": (log_fold_outcomes, LOG_FOLD_OUTCOMES),
     "replay_report": (replay_report, REPLAY_REPORT),
     "causal_frontier": (causal_frontier, CAUSAL_FRONTIER),
-    "open_conflicts": (open_conflicts, OPEN_CONFLICTS),
+    "unresolved_conflicts": (unresolved_conflicts, UNRESOLVED_CONFLICTS),
     "conflict_copies": (conflict_copies, CONFLICT_COPIES),
     "cas_statuses": (cas_statuses, CAS_STATUSES),
     "cas_final_heads": (cas_final_heads, CAS_FINAL_HEADS),
