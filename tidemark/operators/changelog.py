@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_status
 from tidemark.operators.ranking import dense_rank
+from tidemark.session import checkpoint_ready
 
 
 def read_changes(log: DataFrame, group: int | str, after: int) -> DataFrame:
@@ -24,12 +25,12 @@ def _object_problem(kind: str) -> Column:
 def with_object_problem(batch: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
     """Add ``problem``: what keeps a change from being committed (NULL: nothing).
 
-    The manifest itself comes first, then its chunks in id order; a chunk listed twice counts
-    once. ``refs`` holds the references of the batch's manifests.
+    The manifest itself comes first, then its chunks in id order; listing a chunk twice
+    changes nothing. ``refs`` holds the references of the batch's manifests.
     """
     ready = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
     chunks = (
-        refs.select("manifest_id", "content_id").distinct().join(ready, "content_id", "left")
+        refs.select("manifest_id", "content_id").join(ready, "content_id", "left")
         .withColumn("_problem", _object_problem("CHUNK"))
         .where(F.col("_problem").isNotNull())
         .groupBy(F.col("manifest_id").alias("content_id"))
@@ -49,13 +50,15 @@ def append_changes(log: DataFrame, batch: DataFrame, refs: DataFrame, objects: D
     ``batch``: ``group_id, revision_id, content_id, arrival`` (unique, orders the batch).
     New revisions get the next sequences in arrival order, without a gap. A revision that is
     known, or that came earlier in the batch, is ``REPLAYED`` with its old sequence, or
-    ``REVISION_CONTENT_MISMATCH`` when it names another content.
+    ``REVISION_CONTENT_MISMATCH`` when it names another content. The judged rows (ids, no
+    payloads) are checkpointed: they are read three times.
     """
     key = ["group_id", "revision_id"]
     known = log.select(
         *key, F.col("content_id").alias("_old_content"), F.col("sequence").alias("_old_sequence")
     )
-    rows = with_object_problem(batch, refs, objects).join(known, key, "left")
+    checkpoint_ready(batch.sparkSession)
+    rows = with_object_problem(batch, refs, objects).join(known, key, "left").checkpoint()
     fit = F.col("_old_content").isNull() & F.col("problem").isNull()
     first = (
         rows.where(fit)

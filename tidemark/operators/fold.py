@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import let
-from tidemark.operators.ranking import rows_before
-from tidemark.session import checkpoint_ready
+from tidemark.operators.ranking import hot_keys, rows_before, split_hot
 
 SEGMENT_ROWS = 2048
 
@@ -52,9 +51,9 @@ def segmented_fold(
     size = segment_rows or SEGMENT_ROWS
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *fields)))
     init = init.select(*keys, F.col("state").cast(state_type).alias("state"))
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    hot = hot_keys(rows, keys, size)
 
-    if hot.isEmpty():
+    if hot is None:
         batches = (
             rows.groupBy(*keys)
             .agg(packed.alias("rows"))
@@ -63,7 +62,8 @@ def segmented_fold(
         )
     else:
         cells = hot_cells(rows, hot, keys, order, size)
-        batches = _settle(rows, keys, order, packed, cells, init, state_type, transition, size)
+        celled = split_hot(rows, keys, hot, F.expr(f"`{order}` div {size}"), "_cell")
+        batches = _settle(celled, keys, packed, cells, init, state_type, transition)
 
     trace_type = f"array<struct<_order:bigint,outcome:{outcome_type}>>"
     blank = F.struct(
@@ -96,7 +96,7 @@ def hot_cells(rows: DataFrame, hot: DataFrame, keys: list[str], order: str, size
     holds at most ``size`` rows and a segment at most twice that.
     """
     cells = (
-        rows.join(hot.select(*keys), keys, "left_semi")
+        rows.join(hot, keys, "left_semi")
         .groupBy(*keys, F.expr(f"`{order}` div {size}").alias("_cell"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -105,13 +105,11 @@ def hot_cells(rows: DataFrame, hot: DataFrame, keys: list[str], order: str, size
     )
 
 
-def _settle(rows, keys, order, packed, cells, init, state_type, transition, size) -> DataFrame:
+def _settle(rows, keys, packed, cells, init, state_type, transition) -> DataFrame:
     """Segments with the true state each one starts from."""
-    checkpoint_ready(rows.sparkSession)
     at = [*keys, "_segment"]
     segments = (
-        rows.withColumn("_cell", F.expr(f"`{order}` div {size}"))
-        .join(cells, [*keys, "_cell"], "left")
+        rows.join(cells, [*keys, "_cell"], "left")
         .withColumn("_segment", F.coalesce("_segment", F.lit(0)).cast("bigint"))
         .groupBy(*at)
         .agg(packed.alias("rows"))

@@ -106,18 +106,19 @@ def reassemble(
     """
     stored = payloads.select("content_id", "payload").withColumn("_actual", F.octet_length("payload"))
     sized = refs.join(stored.select("content_id", "_actual"), "content_id", "left")
-    problem = first_status(
-        (F.col("_actual").isNull(), "MISSING_CHUNK"),
-        (F.col("_actual") != F.col("size"), "CHUNK_SIZE_MISMATCH"),
+    # Position and kind of a failing chunk in one number, so the aggregate stays hash based.
+    failing = F.when(F.col("_actual").isNull(), F.col("chunk_index") * 2).when(
+        F.col("_actual") != F.col("size"), F.col("chunk_index") * 2 + 1
     )
     checked = sized.groupBy("manifest_id").agg(
-        F.min_by(problem, F.when(problem.isNotNull(), F.col("chunk_index"))).alias("_problem"),
-        F.sum("size").alias("_sum"),
+        F.min(failing).alias("_failing"), F.sum("size").alias("_sum")
     )
     status = manifests.join(checked, "manifest_id", "left").select(
         *manifests.columns,
         F.coalesce(
-            "_problem",
+            F.when(F.col("_failing") % 2 == 0, "MISSING_CHUNK").when(
+                F.col("_failing") % 2 == 1, "CHUNK_SIZE_MISMATCH"
+            ),
             F.when(F.coalesce("_sum", F.lit(0)) != F.col("size"), F.lit("FILE_SIZE_MISMATCH")),
             F.lit("OK"),
         ).alias("status"),
@@ -205,7 +206,8 @@ def delta_required(refs: DataFrame, objects: DataFrame, plan: str = "manifest_id
     combines map-side, so neither a hot plan nor a popular chunk meets in one task.
     """
     uses = refs.groupBy(plan, "content_id").agg(
-        F.min_by(F.struct("chunk_index", "size"), "chunk_index").alias("first"),
+        F.min("chunk_index").alias("chunk_index"),
+        F.min_by("size", "chunk_index").alias("size"),
         F.count(F.lit(1)).alias("uses"),
         F.sum("size").alias("bytes"),
     )
@@ -213,8 +215,8 @@ def delta_required(refs: DataFrame, objects: DataFrame, plan: str = "manifest_id
     return uses.join(have, "content_id", "left").select(
         plan,
         "content_id",
-        F.col("first.chunk_index").alias("chunk_index"),
-        F.col("first.size").alias("size"),
+        "chunk_index",
+        "size",
         "uses",
         "bytes",
         F.col("_have").isNull().alias("required"),

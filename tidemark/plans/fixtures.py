@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vv import vv_entry
+from tidemark.operators.ranking import dense_rank
 
 # The event types, which play the devices of the change log.
 DEVICES = ["click", "error", "purchase", "signup", "view"]
@@ -81,14 +82,17 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as ordered references of manifests (orders) to chunks (parts)."""
-    position = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
+    lines = table(spark, sf_dir, "lineitem").withColumn(
+        "_order", F.col("l_linenumber").cast("bigint") * 2**40 + F.col("l_partkey")
     )
-    return table(spark, sf_dir, "lineitem").select(
+    ranked = dense_rank(
+        lines, "_order", by=["l_orderkey"], ties=["l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    )
+    return ranked.select(
         F.col("l_orderkey").alias("manifest_id"),
         F.col("l_partkey").alias("content_id"),
         F.col("l_quantity").cast("bigint").alias("size"),
-        (F.row_number().over(position) - 1).cast("bigint").alias("chunk_index"),
+        (F.col("rank") - 1).alias("chunk_index"),
     )
 
 
