@@ -83,7 +83,7 @@ def authorize(
     changes: DataFrame,
     members: DataFrame,
     provenance: DataFrame,
-    objects: DataFrame,
+    objects: DataFrame | None = None,
     eligible: Column | None = None,
 ) -> DataFrame:
     """Authentication status of each change.
@@ -91,7 +91,8 @@ def authorize(
     ``changes``: ``group_id, revision_id, content_id, author, tag, arrival``. Stored
     provenance is looked at first, so a change authenticated once stays so after its author
     is revoked. Among repeats inside the batch the first that authenticates plays that part;
-    rows that are not ``eligible`` never do.
+    rows that are not ``eligible`` never do. Without ``objects`` the manifests are taken to
+    be present, as they are when the changes bring them along.
     """
     eligible = F.lit(True) if eligible is None else eligible
     key = ["group_id", "revision_id"]
@@ -103,13 +104,16 @@ def authorize(
         F.col("status").alias("_member"),
         F.col("tag_key").alias("_tag_key"),
     )
-    manifests = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
+    if objects is None:
+        known = changes.withColumn("_kind", F.lit("MANIFEST"))
+    else:
+        manifests = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
+        known = changes.join(manifests, "content_id", "left")
     expected = change_tag(
         F.col("_tag_key"), F.col("group_id"), F.col("author"), F.col("revision_id"), F.col("content_id")
     )
     alone = (
-        changes.join(stored, key, "left")
-        .join(manifests, "content_id", "left")
+        known.join(stored, key, "left")
         .join(registry, ["group_id", "author"], "left")
         .withColumn(
             "_alone",
@@ -157,7 +161,8 @@ def admit_batch(
     ``batch``: ``page_id, group_id, revision_id, manifest_revision_id, content_id, author,
     tag, arrival, peer_sequence``; ``pages``: ``page_id, group_id, peer, high_watermark,
     has_more``. A record with an absent chunk is ``WAITING``; complete records commit even
-    when others wait. The authenticated records (no payloads) are checkpointed once and every
+    when others wait. Every record brings its manifest, so ``objects`` only has to tell about
+    chunks. The authenticated records (no payloads) are checkpointed once and every
     later step reads them from there.
     """
     checkpoint_ready(batch.sparkSession)
@@ -186,14 +191,14 @@ def admit_batch(
         .drop("_peer_error")
     )
     signed = (
-        authorize(early, members, provenance, objects, F.col("_early").isNull())
+        authorize(early, members, provenance, eligible=F.col("_early").isNull())
         .join(absent, "content_id", "left")
         .withColumn("_status", F.coalesce("_early", "auth_status"))
         .checkpoint()
     )
     trusted = F.col("_status").isin("AUTHENTICATED", "ALREADY_AUTHENTICATED")
     ready = trusted & F.col("_waits").isNull()
-    committed = append_changes(log, signed.where(ready).select(*batch.columns), refs, objects)
+    committed = append_changes(log, signed.where(ready).select(*batch.columns), refs, objects, check_manifests=False)
     held = signed.where(~ready).select(
         *batch.columns,
         F.when(trusted, F.lit("WAITING")).otherwise(F.col("_status")).alias("status"),

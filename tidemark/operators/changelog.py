@@ -22,11 +22,14 @@ def _object_problem(kind: str) -> Column:
     )
 
 
-def with_object_problem(batch: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
+def with_object_problem(
+    batch: DataFrame, refs: DataFrame, objects: DataFrame, check_manifests: bool = True
+) -> DataFrame:
     """Add ``problem``: what keeps a change from being committed (NULL: nothing).
 
     The manifest itself comes first, then its chunks in id order; listing a chunk twice
     changes nothing. ``refs`` holds the references of the batch's manifests.
+    ``check_manifests=False`` is for batches that bring their manifests along.
     """
     ready = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
     chunks = (
@@ -36,15 +39,23 @@ def with_object_problem(batch: DataFrame, refs: DataFrame, objects: DataFrame) -
         .groupBy(F.col("manifest_id").alias("content_id"))
         .agg(F.min_by("_problem", "content_id").alias("_chunk"))
     )
+    judged = batch.join(chunks, "content_id", "left")
+    if not check_manifests:
+        return judged.withColumnRenamed("_chunk", "problem")
     return (
-        batch.join(ready, "content_id", "left")
-        .join(chunks, "content_id", "left")
+        judged.join(ready, "content_id", "left")
         .withColumn("problem", F.coalesce(_object_problem("MANIFEST"), "_chunk"))
         .drop("_kind", "_chunk")
     )
 
 
-def append_changes(log: DataFrame, batch: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
+def append_changes(
+    log: DataFrame,
+    batch: DataFrame,
+    refs: DataFrame,
+    objects: DataFrame,
+    check_manifests: bool = True,
+) -> DataFrame:
     """Statuses of a batch of changes against the log, with the sequence each one holds.
 
     ``batch``: ``group_id, revision_id, content_id, arrival`` (unique, orders the batch).
@@ -58,7 +69,8 @@ def append_changes(log: DataFrame, batch: DataFrame, refs: DataFrame, objects: D
         *key, F.col("content_id").alias("_old_content"), F.col("sequence").alias("_old_sequence")
     )
     checkpoint_ready(batch.sparkSession)
-    rows = with_object_problem(batch, refs, objects).join(known, key, "left").checkpoint()
+    judged = with_object_problem(batch, refs, objects, check_manifests)
+    rows = judged.join(known, key, "left").checkpoint()
     fit = F.col("_old_content").isNull() & F.col("problem").isNull()
     first = (
         rows.where(fit)

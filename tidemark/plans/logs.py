@@ -314,7 +314,11 @@ def authorize_changes(spark, sf_dir):
     return out.select("revision_id", "arrival", "auth_status")
 
 
-SIGNED_SQL = f"""{ORDERS_SQL}, {sql.MEMBERS},
+MANIFEST_RULE = "WHEN o.kind IS NULL THEN 'OBJECT_NOT_FOUND' WHEN o.kind <> 'MANIFEST' THEN 'OBJECT_KIND_MISMATCH'"
+
+
+def signed_sql(manifest_rule: str) -> str:
+    return f"""{ORDERS_SQL}, {sql.MEMBERS},
 once AS (
   SELECT *, k AS arrival, CASE WHEN k % 41 = 0 THEN 'wrong' ELSE
     sha256(concat('key-', author, '|', group_id, '|', author, '|', revision_id, '|', content_id)) END AS tag
@@ -330,8 +334,7 @@ offered AS (
 alone AS (
   SELECT c.*, s_tag, CASE
     WHEN s_tag IS NOT NULL AND s_content = c.content_id AND s_author = c.author AND s_tag = c.tag THEN 'ALREADY_AUTHENTICATED'
-    WHEN s_tag IS NOT NULL THEN 'MISMATCH' WHEN o.kind IS NULL THEN 'OBJECT_NOT_FOUND'
-    WHEN o.kind <> 'MANIFEST' THEN 'OBJECT_KIND_MISMATCH' WHEN m.status IS NULL THEN 'UNKNOWN_MEMBER'
+    WHEN s_tag IS NOT NULL THEN 'MISMATCH' {manifest_rule} WHEN m.status IS NULL THEN 'UNKNOWN_MEMBER'
     WHEN m.status <> 'ACTIVE' THEN 'REVOKED'
     WHEN c.tag <> sha256(concat(m.tag_key, '|', c.group_id, '|', c.author, '|', c.revision_id, '|', c.content_id)) THEN 'INVALID'
     ELSE 'AUTHENTICATED' END AS a
@@ -343,7 +346,8 @@ authorized AS (
   FROM (SELECT *, min(arrival) FILTER (a = 'AUTHENTICATED') OVER (PARTITION BY revision_id) AS first_ok,
                arg_min(tag, arrival) FILTER (a = 'AUTHENTICATED') OVER (PARTITION BY revision_id) AS first_tag
         FROM alone))"""
-AUTHORIZE_CHANGES = f"WITH {SIGNED_SQL} SELECT revision_id, arrival, auth_status FROM authorized"
+
+AUTHORIZE_CHANGES = f"WITH {signed_sql(MANIFEST_RULE)} SELECT revision_id, arrival, auth_status FROM authorized"
 
 
 def peer_tables(spark, sf_dir):
@@ -390,7 +394,9 @@ def next_cursor(spark, sf_dir):
     return pl.next_cursor(verdicts, 200)
 
 
-ADMIT_SQL = f"""WITH {SIGNED_SQL}, paged AS (
+# Pulled records bring their manifests, so nothing is asked of the catalog about those.
+ADMIT_SQL = f"""WITH {signed_sql('')}, brought_problems AS (
+  SELECT manifest_id AS content_id, min_by(p, content_id) AS problem FROM chunk_problems GROUP BY manifest_id), paged AS (
   SELECT a.*, k + 1 AS peer_sequence, CAST(floor((row_number() OVER (ORDER BY k) - 1) / {pl.PAGE_RECORDS}) AS BIGINT) + 1 AS page_id
   FROM authorized a WHERE copy = 0 AND k + 1 > 200),
 waits AS (SELECT DISTINCT manifest_id FROM order_refs WHERE content_id NOT IN (SELECT content_id FROM ready)),
@@ -403,7 +409,7 @@ joined AS (
               WHEN l.content_id = p.content_id THEN 'REPLAYED' WHEN l.content_id IS NOT NULL THEN 'REVISION_CONTENT_MISMATCH'
               WHEN q.problem IS NOT NULL THEN q.problem ELSE 'COMMITTED' END AS status
   FROM paged p CROSS JOIN peer LEFT JOIN order_log l ON l.revision_id = p.revision_id
-  LEFT JOIN problems q ON q.content_id = p.content_id),
+  LEFT JOIN brought_problems q ON q.content_id = p.content_id),
 ranked AS (
   SELECT *, CASE WHEN status = 'REPLAYED' THEN old_sequence
                  WHEN status = 'COMMITTED' THEN (SELECT max(sequence) FROM order_log) + count_if(status = 'COMMITTED') OVER (ORDER BY arrival)

@@ -72,12 +72,13 @@ def _lister(root: str):
     return run
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, ordered: bool = False) -> DataFrame:
     """Regular files under ``root``: ``path, length, mtime_ms, display, path_key, path_error``.
 
     Paths are relative to ``root``, which must be visible to the executors. A directory that
     cannot be read shows as a row with an error, which ``diff_gate`` turns into a refusal of
     the whole snapshot. Contents are not read; see ``read_contents`` and ``chunk_files``.
+    ``ordered`` sorts by display path; nothing else here needs the order.
     """
     checkpoint_ready(spark)
     root = root.rstrip("/")
@@ -92,7 +93,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         level = folders.repartition("path")
     rows = union_all(*files).drop("is_dir").repartition("path")
     named = normalize_paths(rows, "path")
-    return named.withColumn("path_error", F.coalesce("error", path_error(F.col("display")))).drop("error")
+    checked = named.withColumn("path_error", F.coalesce("error", path_error(F.col("display")))).drop("error")
+    return checked.orderBy("display") if ordered else checked
 
 
 def _open(root: str, path: str):
