@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import let
 from tidemark.operators.ranking import hot_keys, rows_before, split_hot
 
 SEGMENT_ROWS = 2048
@@ -65,22 +64,34 @@ def segmented_fold(
         celled = split_hot(rows, keys, hot, F.expr(f"`{order}` div {size}"), "_cell")
         batches = _settle(celled, keys, packed, cells, init, state_type, transition)
 
+    # A row's outcome enters the trace one step later: what a step computes stays small (Spark
+    # copies it), and the growing trace is only ever appended to.
+    step_type = f"struct<state:{state_type},outcome:{outcome_type}>"
     trace_type = f"array<struct<_order:bigint,outcome:{outcome_type}>>"
-    blank = F.struct(
-        F.col("state").cast(state_type).alias("state"), F.array().cast(trace_type).alias("trace")
+    start = F.struct(
+        F.struct("state", F.lit(None).cast(outcome_type).alias("outcome")).cast(step_type).alias("step"),
+        F.lit(None).cast("bigint").alias("_order"),
+        F.array().cast(trace_type).alias("trace"),
     )
 
+    def traced(acc: Column) -> Column:
+        entry = F.struct(acc["_order"].alias("_order"), acc["step"]["outcome"].alias("outcome"))
+        met = F.when(acc["_order"].isNotNull(), F.array(entry)).otherwise(F.array())
+        return F.concat(acc["trace"], met.cast(trace_type))
+
     def advance(acc: Column, row: Column) -> Column:
-        def both(t: Column) -> Column:
-            entry = F.struct(row["_order"].alias("_order"), t["outcome"].alias("outcome"))
-            return F.struct(
-                t["state"].cast(state_type).alias("state"),
-                F.concat(acc["trace"], F.array(entry).cast(trace_type)).alias("trace"),
-            )
+        return F.struct(
+            transition(acc["step"]["state"], row).cast(step_type).alias("step"),
+            row["_order"].cast("bigint").alias("_order"),
+            traced(acc).alias("trace"),
+        )
 
-        return let(transition(acc["state"], row), both)
+    def finish(acc: Column) -> Column:
+        return F.struct(acc["step"]["state"].alias("state"), traced(acc).alias("trace"))
 
-    folded = batches.select(*keys, "_segment", F.aggregate("rows", blank, advance).alias("_f"))
+    folded = batches.select(
+        *keys, "_segment", F.aggregate("rows", start, advance, finish).alias("_f")
+    )
     outcomes = folded.select(*keys, F.explode("_f.trace").alias("_t")).select(
         *keys, F.col("_t._order").alias(order), "_t.outcome.*"
     )
