@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, packing, planes, sharding
+from tidemark.llm.tokens import tokenizer_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,6 +18,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json")))
+
+
+def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written in byte planes and read back."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return planes.encode_and_read(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts, equal texts together where they fit."""
     return sharding.balanced_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -24,5 +37,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": (op1_mixing, mixing.MIX_SQL),
+    "op2_packing": (op2_packing, None),
+    "op8_bit_planes": (op8_bit_planes, None),
     "op9_sharding": (op9_sharding, None),
 }
