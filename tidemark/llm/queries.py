@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, planes, sharding
+from tidemark.llm import mixing, ngram_join, packing, planes, sharding
 from tidemark.llm.tokens import tokenizer_path
 
 
@@ -24,6 +24,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json")))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return ngram_join.near_duplicates(docs).drop("class_key")
+
+
 def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in byte planes and read back."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -38,6 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": (op1_mixing, mixing.MIX_SQL),
     "op2_packing": (op2_packing, None),
+    "op3_ngram_join": (op3_ngram_join, None),
     "op8_bit_planes": (op8_bit_planes, None),
     "op9_sharding": (op9_sharding, None),
 }
