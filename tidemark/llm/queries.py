@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, ngram_join, packing, planes, sharding
+from tidemark.llm import fm, mixing, ngram_join, packing, planes, sharding
 from tidemark.llm.tokens import tokenizer_path
 
 
@@ -41,10 +41,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a factorisation machine."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return fm.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES = {
     "op1_mixing": (op1_mixing, mixing.MIX_SQL),
     "op2_packing": (op2_packing, None),
     "op3_ngram_join": (op3_ngram_join, None),
     "op8_bit_planes": (op8_bit_planes, None),
     "op9_sharding": (op9_sharding, None),
+    "op10_quality_classifier": (op10_quality_classifier, None),
 }
