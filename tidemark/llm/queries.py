@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fm, mixing, ngram_join, packing, planes, sharding
+from tidemark.llm import fm, mixing, ngram_join, packing, planes, quality_rules, sharding
 from tidemark.llm.tokens import tokenizer_path
 
 
@@ -30,6 +30,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs).drop("class_key")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on the lines of all documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    field = quality_rules.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_rules.judge(docs, field).drop("text", "content_words", "content_share")
+
+
 def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in byte planes and read back."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -51,6 +58,7 @@ QUERIES = {
     "op1_mixing": (op1_mixing, mixing.MIX_SQL),
     "op2_packing": (op2_packing, None),
     "op3_ngram_join": (op3_ngram_join, None),
+    "op4_quality_rules": (op4_quality_rules, None),
     "op8_bit_planes": (op8_bit_planes, None),
     "op9_sharding": (op9_sharding, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
