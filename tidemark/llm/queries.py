@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, fm, imatch, mixing, ngram_join, packing, planes, quality_rules, sharding
+from tidemark.llm import chat, fm, imatch, lm, mixing, ngram_join, packing, planes, quality_rules, sharding
 from tidemark.llm.tokens import tokenizer_path
 
 
@@ -54,6 +54,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(turns, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents by all others."""
+    return lm.score_by_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written in byte planes and read back."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -78,6 +83,7 @@ QUERIES = {
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_imatch": (op5_imatch, None),
     "op6_chat_format": (op6_chat_format, None),
+    "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_bit_planes": (op8_bit_planes, None),
     "op9_sharding": (op9_sharding, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
