@@ -119,7 +119,7 @@ def test_statuses_of_reassembly(spark):
         "manifest_id string, chunk_index bigint, content_id string, size bigint",
     )
     payloads = spark.createDataFrame([("a", b"one"), ("b", b"two")], "content_id string, payload binary")
-    parts, status = mf.reassemble(manifests, refs, payloads, part_chunks=1)
+    parts, status = mf.reassemble(manifests, refs, payloads, part_bytes=3)
     assert {r.manifest_id: r.status for r in status.collect()} == {
         "ok": "OK", "gone": "MISSING_CHUNK", "short": "CHUNK_SIZE_MISMATCH", "wrong": "FILE_SIZE_MISMATCH", "empty": "OK", "far": "CHUNK_SIZE_MISMATCH",
     }

@@ -51,3 +51,26 @@ def test_streamed_chunks_equal_chunks_of_the_whole_value(spark, tmp_path):
         ends = chunking.cut_points(np.array([0, len(data)]), np.frombuffer(data, np.uint8), tuple(small.values()))[0]
         assert [r.offset + r.size for r in rows] == ends
     assert files.chunk_files(listing, str(tmp_path)).agg(F.sum("size")).first()[0] == sum(sizes.values())
+
+
+def test_file_addresses_follow_no_links(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "a b.txt").write_bytes(b"x")
+    (tmp_path / "link.txt").symlink_to(tmp_path / "real" / "a b.txt")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    listed = files.list_files(spark, tmp_path.as_uri())
+    assert [r.path for r in listed.collect()] == ["real/a b.txt"]
+    assert bytes(files.read_contents(listed, tmp_path.as_uri()).first().content) == b"x"
+
+
+def test_files_that_vanish_are_rows(spark, tmp_path):
+    (tmp_path / "kept").write_bytes(b"abc")
+    (tmp_path / "gone").write_bytes(b"abc")
+    listed = files.list_files(spark, str(tmp_path))
+    paths = listed.select("path").collect()
+    (tmp_path / "gone").unlink()
+    listed = spark.createDataFrame(paths, "path string")
+    read = {r.path: (r.content and bytes(r.content), r.error) for r in files.read_contents(listed, str(tmp_path)).collect()}
+    assert read["kept"] == (b"abc", None) and read["gone"][0] is None and read["gone"][1].startswith("READ_ERROR")
+    chunks = {r.path: (r.size, r.error) for r in files.chunk_files(listed, str(tmp_path)).collect()}
+    assert chunks["kept"] == (3, None) and chunks["gone"][0] is None and chunks["gone"][1].startswith("READ_ERROR")

@@ -21,15 +21,22 @@ def test_ranks_are_dense_over_sparse_and_huge_order_values(spark):
         want = {}
         for key in {group(r) for r in rows}:
             want.update({r: i for i, r in enumerate(sorted((r for r in rows if group(r) == key), key=lambda r: r[1]), 1)})
-        for group_rows in (1 << 16, 10):
-            ranked = ranking.dense_rank(df, "v", by=by, group_rows=group_rows)
-            assert {(r.g, r.v): r["rank"] for r in ranked.collect()} == want
+        ranked = ranking.dense_rank(df, "v", by=by)
+        assert {(r.g, r.v): r["rank"] for r in ranked.collect()} == want
+
+
+def test_ranks_of_negative_and_null_orders(spark):
+    rows = [(k, v) for k in ("a", None) for v in (None, -70_000, -1, 0, 5, 70_000)]
+    ranked = ranking.dense_rank(spark.createDataFrame(rows, "k string, v bigint"), "v", by=["k"]).collect()
+    for key in ("a", None):
+        mine = sorted((r for r in ranked if r.k == key), key=lambda r: (r.v is not None, r.v or 0))
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5, 6]
 
 
 def test_ranks_break_ties_by_the_rest_of_the_order(spark):
     rows = [(k, v % 5, v) for v in range(90) for k in ("hot", "hot", f"k{v % 9}")]
     df = spark.createDataFrame([(k, o, v, i) for i, (k, o, v) in enumerate(rows)], "k string, o bigint, v int, i int")
-    got = ranking.dense_rank(df, "o", by=["k"], ties=["v", "i"], group_rows=20).collect()
+    got = ranking.dense_rank(df, "o", by=["k"], ties=["v", "i"]).collect()
     for key in {r.k for r in got}:
         mine = sorted((r for r in got if r.k == key), key=lambda r: (r.o, r.v, r.i))
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
@@ -37,10 +44,10 @@ def test_ranks_break_ties_by_the_rest_of_the_order(spark):
 
 def test_previous_row_crosses_cells(spark):
     rng = random.Random(6)
-    rows = [(rng.choice("ab"), v) for v in rng.sample(range(100_000), 300)]
+    rows = [(rng.choice("ab"), v) for v in rng.sample(range(-50_000, 50_000), 300)]
     df = spark.createDataFrame(rows, "k string, v bigint")
-    for group_rows in (1000, 155, 64):
-        linked = ranking.previous_row(df, ["k"], "v", [], group_rows=group_rows).collect()
+    for cell_rows in (1 << 16, 1000, 64):
+        linked = ranking.previous_row(df, ["k"], "v", [], cell_rows=cell_rows).collect()
         got = {(r.k, r.v): r.previous and r.previous.v for r in linked}
         for key in "ab":
             ordered = sorted(v for k, v in rows if k == key)

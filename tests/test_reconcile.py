@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.vv import VV_TYPE
+from tidemark.operators import chain
 from tidemark.operators import reconcile as rc
 
 LOG = f"sequence bigint, path_id string, file_id string, revision_id string, kind string, author string, vv {VV_TYPE}, content_id string"
@@ -158,8 +159,7 @@ def test_conflict_copies_are_derived_once(spark):
     assert rc.conflict_copies(losers, "k", existing=copies).count() == 0
 
 
-@pytest.mark.parametrize("segment_rows", [None, 2])
-def test_head_commits_see_the_ones_before(spark, segment_rows):
+def test_head_commits_see_the_ones_before(spark):
     heads = spark.createDataFrame([("p", "c0", "FILE")], "path_id string, content_id string, kind string")
     proposals = spark.createDataFrame(
         [
@@ -176,10 +176,50 @@ def test_head_commits_see_the_ones_before(spark, segment_rows):
         "path_id string, position bigint, content_id string, kind string, expected_previous string",
     )
     pending = spark.createDataFrame([("z", "u")], "path_id string, target_content_id string")
-    fold = rc.cas_heads(heads, proposals, pending, segment_rows=segment_rows)
+    fold = rc.cas_heads(heads, proposals, pending)
     got = {(r.path_id, r.position): r.status for r in fold.outcomes.collect()}
     assert got == {
         ("p", 1): "COMMITTED", ("p", 2): "STALE", ("p", 3): "COMMITTED", ("p", 4): "IDEMPOTENT", ("p", 5): "KIND_MISMATCH",
         ("q", 1): "COMMITTED", ("q", 2): "STALE", ("z", 1): "PENDING_OTHER_TARGET", ("z", 2): "COMMITTED",
     }
     assert {r.path_id: r.state.content_id for r in fold.states.collect()} == {"p": "c2", "q": "n1", "z": "u"}
+
+
+def stepped(proposals, heads, blocked):
+    now, out = dict(heads), {}
+    for key, at, content, kind, expected in sorted(proposals, key=lambda p: (p[0], p[1])):
+        head = now.get(key, (None, None))
+        if blocked.get(key) not in (None, content):
+            out[key, at] = "PENDING_OTHER_TARGET"
+        elif head[0] == content:
+            out[key, at] = "IDEMPOTENT" if head[1] == kind else "KIND_MISMATCH"
+        elif head[0] != expected:
+            out[key, at] = "STALE"
+        else:
+            out[key, at], now[key] = "COMMITTED", (content, kind)
+    return out, now
+
+
+def test_head_commits_agree_with_stepping(spark):
+    rng = random.Random(8)
+    proposals = [
+        (rng.choice("pqrs"), at, rng.choice("abcd"), rng.choice(["FILE", "TOMBSTONE"]), rng.choice(["a", "b", "c", "d", None]))
+        for at in range(0, 400_000, 1000)
+    ]
+    heads, blocked = {"p": ("a", "FILE"), "x": ("b", "FILE")}, {"s": "c"}
+    fold = rc.cas_heads(
+        spark.createDataFrame([(k, *v) for k, v in heads.items()], "path_id string, content_id string, kind string"),
+        spark.createDataFrame(proposals, "path_id string, position bigint, content_id string, kind string, expected_previous string"),
+        spark.createDataFrame(list(blocked.items()), "path_id string, target_content_id string"),
+    )
+    statuses, final = stepped(proposals, heads, blocked)
+    assert {(r.path_id, r.position): r.status for r in fold.outcomes.collect()} == statuses
+    assert {r.path_id: tuple(r.state) for r in fold.states.collect()} == final
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    rows = [("p", k, f"c{k}", f"c{k - 1}" if k else None) for k in range(600)]
+    proposals = spark.createDataFrame(rows, "path_id string, position bigint, content_id string, expected_previous string")
+    heads = spark.createDataFrame([], "path_id string, content_id string")
+    committed, rounds = chain.committed_rows(proposals, heads, ["path_id"], "position", F.lit(False))
+    assert committed.count() == 600 and rounds <= 12

@@ -88,3 +88,18 @@ def test_null_is_not_the_empty_vector(spark):
         vv.vv_relation(F.col("a"), F.col("b")).alias("r"), vv.vv_counter(F.col("a"), F.lit("x")).alias("c")
     ).first()
     assert tuple(row) == (None, None)
+
+
+def test_malformed_vectors_do_not_abort(spark):
+    twice = [("a", 1), ("a", 2)]
+    none = [(None, 1)]
+    df = spark.createDataFrame(
+        [(1, twice, [("a", 1)]), (2, [("a", 1)], none), (3, [("a", 2)], [("a", 1)])],
+        f"i int, l {vv.VV_TYPE}, r {vv.VV_TYPE}",
+    )
+    rows = {
+        r.i: (r.m, r.rel)
+        for r in df.select("i", vv.vv_merge(F.col("l"), F.col("r")).alias("m"), vv.vv_relation(F.col("l"), F.col("r")).alias("rel")).collect()
+    }
+    assert rows[1] == (None, None) and rows[2] == (None, None)
+    assert [tuple(e) for e in rows[3][0]] == [("a", 2)] and rows[3][1] == "DESCENDANT"

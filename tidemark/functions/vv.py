@@ -61,11 +61,16 @@ def vv_increment(vv: Column, device: Column) -> Column:
     return let(vv_counter(vv, device), raised)
 
 
+def _counters(vv: Column) -> Column:
+    """Counter by device, or NULL for a list that names a device twice or has none."""
+    devices = F.transform(vv, lambda e: e["d"])
+    plain = (F.size(F.array_distinct(devices)) == F.size(devices)) & ~F.exists(devices, lambda d: d.isNull())
+    return F.when(plain, F.map_from_entries(vv))
+
+
 def vv_merge(left: Column, right: Column) -> Column:
-    """Pointwise maximum of two vectors."""
-    merged = F.map_zip_with(
-        F.map_from_entries(left), F.map_from_entries(right), lambda _, a, b: F.greatest(a, b)
-    )
+    """Pointwise maximum of two vectors; NULL when one is NULL or malformed."""
+    merged = F.map_zip_with(_counters(left), _counters(right), lambda _, a, b: F.greatest(a, b))
     return F.array_sort(
         F.transform(F.map_entries(merged), lambda e: vv_entry(e["key"], e["value"]))
     )
@@ -92,11 +97,14 @@ def vv_merge_agg(df: DataFrame, keys: list[str], vv: str = "vv") -> DataFrame:
 
 
 def vv_relation(left: Column, right: Column) -> Column:
-    """Causal relation of ``left`` to ``right``; a missing device counts as 0."""
+    """Causal relation of ``left`` to ``right``; a missing device counts as 0.
+
+    NULL when a vector is NULL or malformed.
+    """
     gaps = F.map_values(
         F.map_zip_with(
-            F.map_from_entries(left),
-            F.map_from_entries(right),
+            _counters(left),
+            _counters(right),
             lambda _, a, b: F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)),
         )
     )
@@ -105,7 +113,8 @@ def vv_relation(left: Column, right: Column) -> Column:
         ahead = F.exists(g, lambda x: x > 0)
         behind = F.exists(g, lambda x: x < 0)
         return (
-            F.when(ahead & behind, F.lit("CONCURRENT"))
+            F.when(g.isNull(), F.lit(None).cast("string"))
+            .when(ahead & behind, F.lit("CONCURRENT"))
             .when(ahead, F.lit("DESCENDANT"))
             .when(behind, F.lit("ANCESTOR"))
             .otherwise(F.lit("EQUAL"))

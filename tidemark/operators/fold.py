@@ -1,10 +1,10 @@
 """Ordered folds per key, for rules that depend on the order of arrival.
 
-Such a fold cannot be a commutative aggregate. A key with few rows is folded in one go. A
-hot key is cut into segments of bounded size which are folded side by side: each starts from
-a guess of the state handed to it, and a segment is folded again only when the exit state of
-the segment before it turns out different from the guess. The rounds stop when nothing
-changes, and then every segment has started from the true state.
+Such a fold cannot be a commutative aggregate. Every key is cut into segments of bounded size
+which are folded side by side; most keys have one. Each segment starts from a guess of the state
+handed to it, and is folded again only when the exit state of the segment before it turns out
+different from the guess. The rounds stop when nothing changes, and then every segment has
+started from the true state.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import hot_keys, rows_before, split_hot
+from tidemark.operators.ranking import join_on_keys, rows_before
+from tidemark.session import checkpoint_ready
 
 SEGMENT_ROWS = 2048
 
@@ -50,19 +51,9 @@ def segmented_fold(
     size = segment_rows or SEGMENT_ROWS
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *fields)))
     init = init.select(*keys, F.col("state").cast(state_type).alias("state"))
-    hot = hot_keys(rows, keys, size)
-
-    if hot is None:
-        batches = (
-            rows.groupBy(*keys)
-            .agg(packed.alias("rows"))
-            .withColumn("_segment", F.lit(0).cast("bigint"))
-            .join(init, keys, "left")
-        )
-    else:
-        cells = hot_cells(rows, hot, keys, order, size)
-        celled = split_hot(rows, keys, hot, F.expr(f"`{order}` div {size}"), "_cell")
-        batches = _settle(celled, keys, packed, cells, init, state_type, transition)
+    checkpoint_ready(rows.sparkSession)
+    celled = rows.withColumn("_cell", F.expr(f"`{order}` div {size}"))
+    batches = _settle(celled, keys, packed, segment_cells(celled, keys, size), init, state_type, transition)
 
     # A row's outcome enters the trace one step later: what a step computes stays small (Spark
     # copies it), and the growing trace is only ever appended to.
@@ -100,17 +91,13 @@ def segmented_fold(
     return Fold(outcomes, last.unionByName(untouched).where(F.col("state").isNotNull()))
 
 
-def hot_cells(rows: DataFrame, hot: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
-    """(keys, cell) -> segment, for the keys in ``hot``.
+def segment_cells(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, cell) -> segment.
 
     ``order`` is unique in the key and not negative, so a cell of ``size`` consecutive values
     holds at most ``size`` rows and a segment at most twice that.
     """
-    cells = (
-        rows.join(hot, keys, "left_semi")
-        .groupBy(*keys, F.expr(f"`{order}` div {size}").alias("_cell"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cells = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("n"))
     return rows_before(cells, keys, "_cell").select(
         *keys, "_cell", F.expr(f"before div {size}").alias("_segment")
     )
@@ -120,8 +107,7 @@ def _settle(rows, keys, packed, cells, init, state_type, transition) -> DataFram
     """Segments with the true state each one starts from."""
     at = [*keys, "_segment"]
     segments = (
-        rows.join(cells, [*keys, "_cell"], "left")
-        .withColumn("_segment", F.coalesce("_segment", F.lit(0)).cast("bigint"))
+        join_on_keys(rows, cells, [*keys, "_cell"])
         .groupBy(*at)
         .agg(packed.alias("rows"))
         .checkpoint()
@@ -157,4 +143,4 @@ def _settle(rows, keys, packed, cells, init, state_type, transition) -> DataFram
         done = done.join(stale.select(*at), at, "left_anti").unionByName(again).checkpoint()
     settled = done.select(*at, "state")
     single = starts.join(split, keys, "left_anti").select(*at, "state")
-    return segments.join(settled.unionByName(single), at)
+    return join_on_keys(segments, settled.unionByName(single), at)

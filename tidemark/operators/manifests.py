@@ -6,7 +6,7 @@ content_id, size``. Lists are only collected in segments of a fixed number of ch
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_status
@@ -16,6 +16,8 @@ from tidemark.functions.vv import vv_error
 # Fixed value: chunks a manifest may list.
 MAXIMUM_CHUNKS = 1_000_000
 SEGMENT_CHUNKS = 4096
+# A row holds no binary value of 2 GiB or more.
+MAXIMUM_VALUE = (1 << 31) - 1024
 NIL_ID = "0" * 32
 
 
@@ -95,12 +97,14 @@ def manifest_errors(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def reassemble(
-    manifests: DataFrame, refs: DataFrame, payloads: DataFrame, part_chunks: int = 64
+    manifests: DataFrame, refs: DataFrame, payloads: DataFrame, part_bytes: int = 16 * 1024 * 1024
 ) -> tuple[DataFrame, DataFrame]:
     """Contents of files from their chunks, in parts, and one status row per file.
 
     ``manifests``: ``manifest_id, size``. ``payloads``: ``content_id, payload`` once per id.
-    A part joins at most ``part_chunks`` chunks, so no group grows with its file. Statuses
+    A part joins the chunks that begin in one stretch of ``part_bytes`` of the file, so no group
+    grows with its file. Offsets are running sums over a file's chunk list, ids and sizes only,
+    which has at most ``MAXIMUM_CHUNKS`` rows. Statuses
     name the first failing chunk in order: ``MISSING_CHUNK`` or ``CHUNK_SIZE_MISMATCH``,
     then ``FILE_SIZE_MISMATCH``; only ``OK`` files have parts.
     """
@@ -124,22 +128,27 @@ def reassemble(
         ).alias("status"),
     )
     good = status.where(F.col("status") == "OK").select("manifest_id")
+    before = Window.partitionBy("manifest_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("size").over(before), F.lit(0))
     parts = (
         refs.join(good, "manifest_id", "left_semi")
+        .withColumn("part", (offset / part_bytes).cast("bigint"))
         .join(stored.select("content_id", "payload"), "content_id")
-        .groupBy("manifest_id", F.expr(f"chunk_index div {part_chunks}").alias("part"))
-        .agg(_concat_ordered(F.col("chunk_index"), F.col("payload")).alias("payload"))
+        .groupBy("manifest_id", "part")
+        .agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY chunk_index)").alias("payload"))
     )
     return parts, status
 
 
-def reassemble_whole(parts: DataFrame, status: DataFrame, maximum_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """One value per file for files of at most ``maximum_bytes``; larger stay in parts."""
-    small = status.where((F.col("status") == "OK") & (F.col("size") <= maximum_bytes))
+def reassemble_whole(parts: DataFrame, status: DataFrame, maximum_bytes: int = MAXIMUM_VALUE) -> DataFrame:
+    """One value per file. A file larger than a value can be is ``TOO_LARGE`` and stays in parts."""
+    too_large = (F.col("status") == "OK") & (F.col("size") > maximum_bytes)
+    status = status.withColumn("status", F.when(too_large, "TOO_LARGE").otherwise(F.col("status")))
+    small = status.where(F.col("status") == "OK")
     whole = (
         parts.join(small.select("manifest_id"), "manifest_id", "left_semi")
         .groupBy("manifest_id")
-        .agg(_concat_ordered(F.col("part"), F.col("payload")).alias("payload"))
+        .agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY part)").alias("payload"))
     )
     empty = F.when((F.col("status") == "OK") & (F.col("size") == 0), F.lit("").cast("binary"))
     return status.join(whole, "manifest_id", "left").withColumn(
@@ -147,11 +156,6 @@ def reassemble_whole(parts: DataFrame, status: DataFrame, maximum_bytes: int = 6
     )
 
 
-def _concat_ordered(position: Column, payload: Column) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(position.alias("p"), F.hex(payload).alias("b"))))
-    return F.unhex(F.array_join(F.transform(rows, lambda r: r["b"]), ""))
-
-
 def dedup_objects(chunks: DataFrame, existing: DataFrame, order: list[str], now_ms: int) -> DataFrame:
     """Object catalog after admitting ``chunks``.
 

@@ -13,6 +13,8 @@ from tidemark.session import checkpoint_ready
 # no bucket, and no parent of buckets one level up, can hold more than 65,536 rows.
 BUCKET_BITS = 16
 LEVELS = 3
+# The bucket of NULL orders, before all others.
+NULL_BUCKET = -(1 << 60)
 
 
 def order_bucket(order: str) -> Column:
@@ -38,33 +40,19 @@ def rows_before(counts: DataFrame, by: list[str], bucket: str, count: str = "n",
     parents = parents.select(*by, parent, F.col("before").alias("before_parent"))
     local = F.coalesce(F.sum(count).over(window.partitionBy(*by, parent)), F.lit(0))
     return (
-        counts.withColumn("before", local)
-        .join(parents, [*by, parent])
+        join_on_keys(counts.withColumn("before", local), parents, [*by, parent])
         .withColumn("before", F.col("before") + F.col("before_parent"))
         .drop(parent, "before_parent")
     )
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
-    """Keys with more than ``rows`` rows, or None when there is none.
-
-    There are at most ``count / rows`` such keys. The count combines map-side and its small
-    result is checkpointed, so later steps do not count again.
-    """
-    checkpoint_ready(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > rows).select(*keys).checkpoint()
-    return None if hot.isEmpty() else hot
-
-
-def split_hot(df: DataFrame, keys: list[str], hot: DataFrame, cell: Column, out: str) -> DataFrame:
-    """Add ``out``: the cell of a row of a hot key, -1 for all rows of the other keys."""
-    marked = hot.withColumn("_hot", F.lit(True))
-    return (
-        df.join(marked, keys, "left")
-        .withColumn(out, F.when(F.col("_hot"), cell).otherwise(F.lit(-1)).cast("bigint"))
-        .drop("_hot")
-    )
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join in which NULL keys are equal; the keys of ``left`` stay."""
+    if not keys:
+        return left.crossJoin(right)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def dense_rank(
@@ -73,36 +61,23 @@ def dense_rank(
     by: list[str] | None = None,
     out: str = "rank",
     ties: list[str] | None = None,
-    group_rows: int = 1 << BUCKET_BITS,
 ) -> DataFrame:
     """1-based rank of each row in ``order`` inside its ``by`` group.
 
     ``order`` is a BIGINT, unique in the group, or a prefix of the real order with the rest
-    in ``ties``. A group of at most ``group_rows`` rows is ranked by one window. A larger one
-    (or the whole table) is cut into buckets taken from the data, so a retried task gives the
-    same ranks: the buckets are counted, and the rows ranked inside their bucket.
+    in ``ties``; NULL comes first. Groups are cut into buckets of order values, so a retried task
+    gives the same ranks: the buckets are counted, and the rows ranked inside their bucket. With
+    ``ties`` a bucket holds as many rows as share 65,536 order values.
     """
     by, ties = by or [], ties or []
     checkpoint_ready(df.sparkSession)
-    if by:
-        hot = hot_keys(df, by, group_rows)
-        if hot is None:
-            whole = Window.partitionBy(*by).orderBy(order, *ties)
-            return df.withColumn(out, F.row_number().over(whole).cast("bigint"))
-        bucketed = split_hot(df, by, hot, order_bucket(order), "_b")
-    else:
-        bucketed = df.withColumn("_b", order_bucket(order))
-    counts = (
-        bucketed.where(F.col("_b") >= 0)
-        .groupBy(*by, "_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .checkpoint()
-    )
+    bucketed = df.withColumn("_b", F.coalesce(order_bucket(order), F.lit(NULL_BUCKET)))
+    counts = bucketed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     before = rows_before(counts, by, "_b").select(*by, "_b", "before")
     inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order, *ties))
     return (
-        bucketed.join(before, [*by, "_b"], "left")
-        .withColumn(out, F.coalesce("before", F.lit(0)) + inside)
+        join_on_keys(bucketed, before, [*by, "_b"])
+        .withColumn(out, F.col("before") + inside)
         .drop("_b", "before")
     )
 
@@ -141,30 +116,23 @@ def previous_row(
     order: str,
     columns: list[str],
     out: str = "previous",
-    group_rows: int = 1 << BUCKET_BITS,
+    cell_rows: int = 1 << BUCKET_BITS,
 ) -> DataFrame:
     """Add the struct of ``columns`` of the row before, per key in ``order`` (NULL: first row).
 
-    ``order`` is unique in the key and not negative. A key of more than ``group_rows`` rows is
-    cut into cells of that many order values: rows look back inside their cell, and only the
-    last row of each cell is handed to the next.
+    ``order`` is unique in the key and not NULL. Keys are cut into cells of ``cell_rows`` order
+    values: rows look back inside their cell, and only the last row of each cell is handed to
+    the next.
     """
     value = F.struct(order, *columns)
-    hot = hot_keys(df, keys, group_rows)
-    if hot is None:
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
-    cells = split_hot(df, keys, hot, F.expr(f"`{order}` div {group_rows}"), "_cell")
-    last = (
-        cells.where(F.col("_cell") >= 0)
-        .groupBy(*keys, "_cell")
-        .agg(F.max_by(value, order).alias("_last"))
-    )
+    cells = df.withColumn("_cell", F.floor(F.col(order) / cell_rows))
+    last = cells.groupBy(*keys, "_cell").agg(F.max_by(value, order).alias("_last"))
     handed = last.select(
         *keys, "_cell", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell")).alias("_handed")
     )
     inside = F.lag(value).over(Window.partitionBy(*keys, "_cell").orderBy(order))
     return (
-        cells.join(handed, [*keys, "_cell"], "left")
+        join_on_keys(cells, handed, [*keys, "_cell"])
         .withColumn(out, F.coalesce(inside, F.col("_handed")))
         .drop("_cell", "_handed")
     )

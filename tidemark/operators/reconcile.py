@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.functions.common import let
+from tidemark.functions.common import first_status, let
 from tidemark.functions.paths import conflict_path
 from tidemark.functions.vv import VV_TYPE, vv_ge, vv_label, vv_relation
+from tidemark.operators.chain import committed_rows, last_marked
 from tidemark.operators.fold import Fold, segmented_fold
 
 FILE, TOMBSTONE = "FILE", "TOMBSTONE"
@@ -253,57 +254,47 @@ def live_files(heads: DataFrame) -> DataFrame:
     return heads.where(F.col("kind") == FILE)
 
 
-HEAD_TYPE = "struct<content_id:string,kind:string>"
-
-
 def cas_heads(
     heads: DataFrame,
     proposals: DataFrame,
     pending: DataFrame,
     order: str = "position",
     keys: list[str] | None = None,
-    segment_rows: int | None = None,
 ) -> Fold:
     """Compare-and-swap of heads, proposals of one key in their stated order.
 
-    ``proposals``: keys, ``order``, ``content_id, kind, expected_previous``. ``pending``:
-    keys and ``target_content_id``. A later proposal sees the head an earlier one committed.
+    ``proposals``: keys, ``order`` (a BIGINT, unique in the key), ``content_id, kind,
+    expected_previous``. ``pending``: keys and ``target_content_id``. A later proposal sees the
+    head an earlier one committed. Nothing is stepped through: see ``chain``.
     """
     keys = keys or ["path_id"]
     waiting = pending.select(*keys, F.col("target_content_id").alias("pending_target"))
-    rows = proposals.join(waiting, keys, "left")
-
-    def status(head: Column, row: Column) -> Column:
-        same = head["content_id"] == row["content_id"]
-        return (
-            F.when(
-                row["pending_target"].isNotNull() & (row["pending_target"] != row["content_id"]),
-                F.lit("PENDING_OTHER_TARGET"),
-            )
-            .when(same & (head["kind"] == row["kind"]), F.lit("IDEMPOTENT"))
-            .when(same, F.lit("KIND_MISMATCH"))
-            .when(~head["content_id"].eqNullSafe(row["expected_previous"]), F.lit("STALE"))
-            .otherwise(F.lit("COMMITTED"))
-        )
-
-    def transition(head: Column, row: Column) -> Column:
-        new = F.struct(row["content_id"].alias("content_id"), row["kind"].alias("kind"))
-        return let(
-            status(head, row),
-            lambda s: F.struct(
-                F.when(s == "COMMITTED", new).otherwise(head).alias("state"),
-                F.struct(row["content_id"].alias("content_id"), s.alias("status")).alias("outcome"),
-            ),
-        )
-
-    return segmented_fold(
-        rows,
-        keys,
-        order,
-        ["content_id", "kind", "expected_previous", "pending_target"],
-        heads.select(*keys, F.struct("content_id", "kind").alias("state")),
-        HEAD_TYPE,
-        "struct<content_id:string,status:string>",
-        transition,
-        segment_rows,
+    rows = proposals.select(*keys, order, "content_id", "kind", "expected_previous").join(waiting, keys, "left")
+    blocked = F.col("pending_target").isNotNull() & (F.col("pending_target") != F.col("content_id"))
+    committed, _ = committed_rows(rows, heads, keys, order, blocked)
+    marked = rows.join(committed.withColumn("_committed", F.lit(True)), [*keys, order], "left").withColumn(
+        "_committed", F.coalesce("_committed", F.lit(False))
+    )
+    state = F.struct("content_id", "kind")
+    first = heads.select(*keys, state.alias("_first"))
+    met = (
+        last_marked(marked, keys, order, F.col("_committed"), state, "_state")
+        .join(first, keys, "left")
+        .withColumn("_head", F.coalesce("_state", "_first"))
+    )
+    same = F.col("_head.content_id") == F.col("content_id")
+    status = first_status(
+        (blocked, "PENDING_OTHER_TARGET"),
+        (same & (F.col("_head.kind") == F.col("kind")), "IDEMPOTENT"),
+        (same, "KIND_MISMATCH"),
+        (~F.col("_committed"), "STALE"),
+        otherwise="COMMITTED",
+    )
+    outcomes = met.select(*keys, order, "content_id", status.alias("status"))
+    last = marked.where("_committed").groupBy(*keys).agg(F.max_by(state, order).alias("_last"))
+    states = (
+        first.join(last, keys, "full_outer")
+        .select(*keys, F.coalesce("_last", "_first").alias("state"))
+        .where(F.col("state").isNotNull())
     )
+    return Fold(outcomes, states)

@@ -193,7 +193,7 @@ def reassemble_conversations(spark, sf_dir):
         .alias("payload"),
     )
     refs = known.select("manifest_id", "chunk_index", "content_id", "size")
-    whole = mf.reassemble_whole(*mf.reassemble(files, refs, stored, part_chunks=2))
+    whole = mf.reassemble_whole(*mf.reassemble(files, refs, stored, part_bytes=200))
     return whole.select("manifest_id", "size", "status", F.md5("payload").alias("digest"))
 
 

@@ -632,10 +632,13 @@ REFERENCE_COUNTS = f"WITH {COUNTED_SQL} SELECT content_id, reference_count FROM
 
 
 def loosely_counted(spark, sf_dir):
-    edges = fx.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40").select(
+    """References of all lines; objects are the parts and as many again that no line names."""
+    edges = fx.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("owner_id"), F.col("l_partkey").alias("content_id")
     )
-    return rt.reference_counts(fx.objects(spark, sf_dir), edges=edges)
+    objects = fx.objects(spark, sf_dir)
+    strays = objects.withColumn("content_id", F.col("content_id") + 10_000_000)
+    return rt.reference_counts(objects.unionByName(strays), edges=edges)
 
 
 def gc_candidates(spark, sf_dir):
@@ -646,9 +649,11 @@ def gc_report(spark, sf_dir):
     return rt.gc_report(rt.gc_candidates(loosely_counted(spark, sf_dir), 43_200_000, 100))
 
 
-GC_CANDIDATES = f"""WITH {sql.OBJECTS} SELECT content_id, size, verified_at_ms FROM objects
-WHERE content_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)
-  AND verified_at_ms <= 43200000 ORDER BY verified_at_ms, content_id LIMIT 100"""
+GC_CANDIDATES = f"""WITH {sql.OBJECTS}, catalog AS (
+  SELECT content_id, size, verified_at_ms FROM objects
+  UNION ALL SELECT content_id + 10000000, size, verified_at_ms FROM objects)
+SELECT content_id, size, verified_at_ms FROM catalog
+WHERE content_id NOT IN (SELECT l_partkey FROM lineitem) AND verified_at_ms <= 43200000 ORDER BY verified_at_ms, content_id LIMIT 100"""
 GC_REPORT = f"SELECT count(*) AS removed_objects, coalesce(sum(size), 0)::BIGINT AS removed_bytes FROM ({GC_CANDIDATES})"
 
 

@@ -375,6 +375,54 @@ CAS_FINAL_HEADS = f"""{CAS_SQL} SELECT path_id, h_content AS content_id, h_kind
 FROM fold QUALIFY row_number() OVER (PARTITION BY path_id ORDER BY rn DESC) = 1 AND h_content IS NOT NULL"""
 
 
+def chained_proposals(spark, sf_dir):
+    """All events as proposals for one head, each on the one before, with gaps and repeats."""
+    seq = F.col("sequence")
+
+    def named(back: int):
+        return F.concat(F.lit("c"), (seq - back).cast("string"))
+
+    return fx.changes(spark, sf_dir).select(
+        F.lit("everything").alias("path_id"),
+        seq.alias("position"),
+        F.when(seq % 10 == 5, named(1)).otherwise(named(0)).alias("content_id"),
+        "kind",
+        F.when(seq == 1, F.lit(None).cast("string"))
+        .when(seq % 40 == 21, F.lit("elsewhere"))
+        .when((seq % 40 == 22) | (seq % 10 == 6), named(2))
+        .otherwise(named(1))
+        .alias("expected_previous"),
+    )
+
+
+def cas_hot_key(spark, sf_dir):
+    """Statuses when every proposal is for the same head."""
+    rows = chained_proposals(spark, sf_dir)
+    none = rows.where("false")
+    fold = rc.cas_heads(none, rows, none.select("path_id", F.col("content_id").alias("target_content_id")))
+    return fold.outcomes.select("position", "content_id", "status")
+
+
+CAS_HOT_KEY = f"""WITH RECURSIVE {sql.CHANGES}, props AS (
+  SELECT sequence AS position, kind, CASE WHEN sequence % 10 = 5 THEN 'c' || (sequence - 1) ELSE 'c' || sequence END AS content_id,
+         CASE WHEN sequence = 1 THEN NULL WHEN sequence % 40 = 21 THEN 'elsewhere'
+              WHEN sequence % 40 = 22 OR sequence % 10 = 6 THEN 'c' || (sequence - 2)
+              ELSE 'c' || (sequence - 1) END AS expected FROM changes),
+numbered AS (SELECT *, row_number() OVER (ORDER BY position) AS rn FROM props),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS h_content, CAST(NULL AS VARCHAR) AS h_kind,
+         CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS content_id, CAST(NULL AS VARCHAR) AS status
+  UNION ALL
+  SELECT rn, CASE WHEN status = 'COMMITTED' THEN content_id ELSE h_content END,
+         CASE WHEN status = 'COMMITTED' THEN kind ELSE h_kind END, position, content_id, status
+  FROM (SELECT n.rn, f.h_content, f.h_kind, n.position, n.content_id, n.kind,
+               CASE WHEN f.h_content = n.content_id AND f.h_kind = n.kind THEN 'IDEMPOTENT'
+                    WHEN f.h_content = n.content_id THEN 'KIND_MISMATCH'
+                    WHEN f.h_content IS DISTINCT FROM n.expected THEN 'STALE' ELSE 'COMMITTED' END AS status
+        FROM fold f JOIN numbered n ON n.rn = f.rn + 1))
+SELECT position, content_id, status FROM fold WHERE rn > 0"""
+
+
 def latest_heads(spark, sf_dir):
     heads = rc.latest_heads(fx.changes(spark, sf_dir), ["path_id"])
     return heads.select("path_id", "sequence", "revision_id", "kind")
@@ -410,6 +458,7 @@ QUERIES = {
     "conflict_copies": (conflict_copies, CONFLICT_COPIES),
     "cas_statuses": (cas_statuses, CAS_STATUSES),
     "cas_final_heads": (cas_final_heads, CAS_FINAL_HEADS),
+    "cas_hot_key": (cas_hot_key, CAS_HOT_KEY),
     "latest_heads": (latest_heads, LATEST_HEADS),
     "live_files": (live_files, LIVE_FILES),
 }

@@ -49,8 +49,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a session without
-    one (tests, a laptop) gets a temporary folder.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session without
+    one (tests, a laptop) gets a temporary folder; executors of a cluster would not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -58,4 +58,6 @@ def checkpoint_ready(spark: SparkSession) -> None:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(shared)
     elif context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

@@ -7,6 +7,7 @@ folder has to list them, so directories are walked by tasks, one level per job.
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,16 @@ ENTRY = "path string, is_dir boolean, length bigint, mtime_ms bigint, error stri
 ROWS = 10_000
 
 
+def _local(root: str) -> str:
+    """A ``file:`` address as the path it names; anything else as it is."""
+    if root.startswith("file:"):
+        return "/" + unquote(root[len("file:") :]).lstrip("/")
+    return root
+
+
 def _entries(root: str, directory: str) -> Iterator[tuple]:
     """Regular files and sub-directories of one directory; links are not followed."""
+    root = _local(root)
     prefix = f"{directory}/" if directory else ""
     if "://" in root:
         fs, base = pafs.FileSystem.from_uri(root)
@@ -98,6 +107,7 @@ def list_files(spark: SparkSession, root: str, ordered: bool = False) -> DataFra
 
 
 def _open(root: str, path: str):
+    root = _local(root)
     if "://" in root:
         fs, base = pafs.FileSystem.from_uri(root)
         return fs.open_input_stream(f"{base}/{path}")
@@ -105,15 +115,23 @@ def _open(root: str, path: str):
 
 
 def read_contents(listing: DataFrame, root: str) -> DataFrame:
-    """Whole content of each listed file, for files that fit one value (2 GiB)."""
+    """Whole content of each listed file, for files that fit one value (2 GiB).
+
+    A file that cannot be read any more has a row with ``error`` and no content.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                with _open(root, path) as source:
-                    yield pd.DataFrame({"path": [path], "content": [source.read()]})
+                content, error = None, None
+                try:
+                    with _open(root, path) as source:
+                        content = source.read()
+                except OSError as problem:
+                    error = f"READ_ERROR: {problem.strerror or problem}"
+                yield pd.DataFrame({"path": [path], "content": [content], "error": [error]})
 
-    return listing.select("path").mapInPandas(run, "path string, content binary")
+    return listing.select("path").mapInPandas(run, "path string, content binary, error string")
 
 
 def chunk_files(
@@ -124,10 +142,11 @@ def chunk_files(
     maximum: int = DEFAULT_SIZES[2],
     block: int = 8 * 1024 * 1024,
 ) -> DataFrame:
-    """Chunks of each listed file, read as a stream: ``path, chunk_index, offset, size, payload``.
+    """Chunks of each listed file, read as a stream: ``path, chunk_index, offset, size, payload, error``.
 
     At most ``block`` and one chunk of a file are in memory. The cuts are those ``cdc_chunk``
-    makes on the whole content.
+    makes on the whole content. A file that cannot be read (to its end) has a last row with
+    ``error`` and no payload, so its chunks are known to be incomplete.
     """
     problem = size_error(minimum, average, maximum)
     if problem:
@@ -159,8 +178,8 @@ def chunk_files(
                 held = held[start:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "chunk_index", "offset", "size", "payload"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["path", "chunk_index", "offset", "size", "payload", "error"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -170,14 +189,17 @@ def chunk_files(
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, size = [], 0
-                for index, (offset, data) in enumerate(pieces(path)):
-                    rows.append((path, index, offset, len(data), data))
-                    size += len(data)
-                    if size >= block:
-                        yield pack(rows)
-                        rows, size = [], 0
+                try:
+                    for index, (offset, data) in enumerate(pieces(path)):
+                        rows.append((path, index, offset, len(data), data, None))
+                        size += len(data)
+                        if size >= block:
+                            yield pack(rows)
+                            rows, size = [], 0
+                except OSError as problem:
+                    rows.append((path, None, None, None, None, f"READ_ERROR: {problem.strerror or problem}"))
                 if rows:
                     yield pack(rows)
 
-    schema = "path string, chunk_index bigint, offset bigint, size bigint, payload binary"
+    schema = "path string, chunk_index bigint, offset bigint, size bigint, payload binary, error string"
     return listing.select("path").mapInArrow(run, schema)

@@ -61,14 +61,21 @@ def write_version(df: DataFrame, base: str) -> int:
     """Write the next version; readers of the old one are not disturbed.
 
     The write goes to a name of its own and is renamed when complete, so a job that dies
-    leaves no half version behind.
+    leaves no half version behind. A writer claims its number by creating a file that must not
+    exist yet, so two writers never publish the same version; the number of a writer that died
+    stays unused.
     """
     spark = df.sparkSession
-    version = current_version(spark, base) + 1
     staged = f"{base}/.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     source, fs = _filesystem(spark, staged)
-    target, _ = _filesystem(spark, f"{base}/v{version}")
+    version = current_version(spark, base) + 1
+    while True:
+        target, _ = _filesystem(spark, f"{base}/v{version}")
+        claim, _ = _filesystem(spark, f"{base}/.claim-v{version}")
+        if not fs.exists(target) and fs.createNewFile(claim):
+            break
+        version += 1
     if not fs.rename(source, target):
         raise OSError(f"could not publish {base}/v{version}")
     return version
