@@ -183,30 +183,66 @@ def replay_report(outcomes: DataFrame, changes: DataFrame, me: str, folded_throu
     return log.select("*", one).join(done.select("*", one), "_one").drop("_one")
 
 
+REPEATED_COUNTER, NO_AUTHOR = "REPEATED_COUNTER", "NO_AUTHOR"
+
+
 def frontier(changes: DataFrame) -> DataFrame:
     """Revisions of a file that no other revision descends from; more than one is a conflict.
 
-    A record by author ``a`` survives when it alone holds the file's highest counter of
-    ``a``. This needs causally consistent logs: a vector that knows a counter of ``a`` knows
-    everything that record knew. Aggregates only, so a hot file is reduced map-side.
+    A record by author ``a`` survives when only records by ``a`` hold the file's highest
+    counter of ``a``. This needs causally consistent logs: a vector that knows a counter of
+    ``a`` knows everything that record knew. Aggregates and one join, so a hot file is reduced
+    map-side. Two irregular cases are kept and flagged, see ``frontier_problems``: records that
+    share their author's counter (a restored backup) all survive, and a record without an author
+    survives when it, or records with the same vector, alone hold some highest counter. Of a
+    device named twice in a vector the higher counter counts.
     """
-    entries = changes.select(
-        "file_id", "revision_id", "author", F.explode("vv").alias("e")
-    ).select(
-        "file_id",
-        F.col("e.d").alias("d"),
-        F.col("e.c").alias("c"),
-        F.struct("revision_id", (F.col("author") == F.col("e.d")).alias("own")).alias("holder"),
+    once = F.filter(
+        F.array_distinct("vv"),
+        lambda e: ~F.exists("vv", lambda x: (x["d"] == e["d"]) & (x["c"] > e["c"])),
     )
+    entries = changes.select(
+        "file_id", "revision_id", "author", F.xxhash64("vv").alias("_same"), F.explode(once).alias("e")
+    ).select("file_id", "revision_id", "author", "_same", F.col("e.d").alias("d"), F.col("e.c").alias("c"))
+    own = F.coalesce(F.col("author") == F.col("d"), F.lit(False))
     holders = entries.groupBy("file_id", "d", "c").agg(
-        F.count(F.lit(1)).alias("n"), F.min("holder").alias("holder")
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(own).alias("own"),
+        (F.min("_same") == F.max("_same")).alias("same"),
     )
-    top = holders.groupBy("file_id", "d").agg(
-        F.max_by(F.struct("n", "holder"), "c").alias("top")
+    top = holders.groupBy("file_id", "d").agg(F.max_by(F.struct("c", "n", "own", "same"), "c").alias("top"))
+    candidates = entries.where(own | F.col("author").isNull())
+    alone = F.when(own, F.col("top.n") == F.col("top.own")).otherwise(F.col("top.same"))
+    return (
+        candidates.join(top, ["file_id", "d"])
+        .where((F.col("c") == F.col("top.c")) & alone)
+        .select(
+            "file_id",
+            "author",
+            "revision_id",
+            F.when(F.col("author").isNull(), NO_AUTHOR)
+            .when(F.col("top.own") > 1, REPEATED_COUNTER)
+            .alias("flag"),
+        )
+        .distinct()
+    )
+
+
+def frontier_problems(changes: DataFrame) -> DataFrame:
+    """Records that break what ``frontier`` needs: no author, or an author's counter used twice."""
+    own = F.array_max(F.transform(F.filter("vv", lambda e: e["d"] == F.col("author")), lambda e: e["c"]))
+    numbered = changes.select("file_id", "author", "revision_id", own.alias("counter"))
+    repeated = (
+        numbered.where(F.col("author").isNotNull())
+        .groupBy("file_id", "author", "counter")
+        .count()
+        .where(F.col("count") > 1)
+        .select("file_id", "author", "counter", F.lit(REPEATED_COUNTER).alias("flag"))
     )
-    return top.where((F.col("top.n") == 1) & F.col("top.holder.own")).select(
-        "file_id", F.col("d").alias("author"), F.col("top.holder.revision_id").alias("revision_id")
+    absent = numbered.where(F.col("author").isNull()).select(
+        "file_id", "author", "counter", F.lit(NO_AUTHOR).alias("flag")
     )
+    return repeated.unionByName(absent.distinct())
 
 
 def frontier_report(changes: DataFrame) -> DataFrame:

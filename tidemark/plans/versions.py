@@ -253,7 +253,7 @@ FROM fold, log l"""
 
 
 def causal_frontier(spark, sf_dir):
-    return rc.frontier(fx.changes(spark, sf_dir))
+    return rc.frontier(fx.changes(spark, sf_dir)).drop("flag")
 
 
 CAUSAL_FRONTIER = f"""{WITH_CHANGES}, dominated AS (
@@ -262,6 +262,29 @@ CAUSAL_FRONTIER = f"""{WITH_CHANGES}, dominated AS (
 SELECT file_id, author, revision_id FROM changes WHERE sequence NOT IN (SELECT sequence FROM dominated)"""
 
 
+def irregular_changes(spark, sf_dir):
+    """The log with authors lost, records written twice and devices named twice."""
+    seq, changes = F.col("sequence"), fx.changes(spark, sf_dir)
+    lower = F.transform(F.slice("vv", 1, 1), lambda e: vv.vv_entry(e["d"], e["c"] - 1))
+    changes = changes.withColumn("vv", F.when(seq % 11 == 4, F.concat("vv", lower)).otherwise(F.col("vv")))
+    again = changes.where(seq % 7 == 3).withColumn("revision_id", F.concat("revision_id", F.lit("x")))
+    lost = F.when(seq % 5 == 2, F.lit(None).cast("string")).otherwise(F.col("author"))
+    return changes.unionByName(again).withColumn("author", lost)
+
+
+def irregular_frontier(spark, sf_dir):
+    return rc.frontier(irregular_changes(spark, sf_dir))
+
+
+IRREGULAR_FRONTIER = f"""WITH f AS ({CAUSAL_FRONTIER}), kept AS (
+  SELECT f.*, c.sequence FROM f JOIN (SELECT event_id + 1 AS sequence, lpad(CAST(event_id AS VARCHAR), 12, '0') AS revision_id
+                                      FROM events) c USING (revision_id)),
+written AS (SELECT * FROM kept
+  UNION ALL SELECT file_id, author, revision_id || 'x', sequence FROM kept WHERE sequence % 7 = 3)
+SELECT file_id, CASE WHEN sequence % 5 <> 2 THEN author END AS author, revision_id,
+       CASE WHEN sequence % 5 = 2 THEN 'NO_AUTHOR' WHEN sequence % 7 = 3 THEN 'REPEATED_COUNTER' END AS flag FROM written"""
+
+
 def unresolved_conflicts(spark, sf_dir):
     return rc.frontier_report(fx.changes(spark, sf_dir))
 
@@ -454,6 +477,7 @@ QUERIES = {
     "log_fold_outcomes": (log_fold_outcomes, LOG_FOLD_OUTCOMES),
     "replay_report": (replay_report, REPLAY_REPORT),
     "causal_frontier": (causal_frontier, CAUSAL_FRONTIER),
+    "irregular_frontier": (irregular_frontier, IRREGULAR_FRONTIER),
     "unresolved_conflicts": (unresolved_conflicts, UNRESOLVED_CONFLICTS),
     "conflict_copies": (conflict_copies, CONFLICT_COPIES),
     "cas_statuses": (cas_statuses, CAS_STATUSES),
