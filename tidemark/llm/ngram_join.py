@@ -91,16 +91,13 @@ def shared_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
                 continue
             tokens = np.concatenate(sets)
             owner = np.repeat(np.array(keys, np.int64), [len(s) for s in sets])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            counts = np.diff(np.append(first, len(tokens)))
+            distinct, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
             often = counts > max(16, HOT_SHARE * len(sets))
-            hot = np.repeat(often, counts)
+            hot = often[inverse]
             salt = np.uint64(hash((number, keys[0])) % _SALTS)
             part = (tokens >> np.uint64(20)) % np.uint64(parts)
             part[hot] = (part[hot] + salt + np.uint64(1)) % np.uint64(parts)
-            marked = np.repeat(tokens[first[often]], 2)
+            marked = np.repeat(distinct[often], 2)
             marks = np.tile(np.array([0, 1], np.int64), len(marked) // 2)
             for state, p, t, o in (
                 (0, part[~hot], tokens[~hot], owner[~hot]),
@@ -109,6 +106,7 @@ def shared_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
             ):
                 if len(t) == 0:
                     continue
+                # The classes stay in runs, which compress well.
                 by = np.argsort(p, kind="stable")
                 p, t, o = p[by], t[by], o[by]
                 cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
@@ -173,16 +171,19 @@ def class_sets(sets: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, key, n, own) of the shingles by which a class may find partners."""
+    """(token, key, n, own, at) of the shingles by which a class may find partners.
+
+    ``at`` shingles of the class stand before ``token`` in the global order.
+    """
     length = F.col("n") - required(F.col("n")) + 1 - F.col("own")
     return sets.where(length > 0).select(
-        "key", "n", "own", F.explode(F.slice("tokens", F.lit(1), length.cast("int"))).alias("_t")
-    ).select(F.col("_t.token").alias("token"), "key", "n", "own")
+        "key", "n", "own", F.posexplode(F.slice("tokens", F.lit(1), length.cast("int"))).alias("_p", "_t")
+    ).select(F.col("_t.token").alias("token"), "key", "n", "own", (F.col("own") + F.col("_p")).alias("at"))
 
 
 def fragments(sets: DataFrame) -> DataFrame:
     """(key, fragment, segment): the sets cut at fixed points of the global order."""
-    at = F.col("_t.band") * 2 + F.when(F.col("_t.token") >= 0, 1).otherwise(0)
+    at = F.expr("_t.band div 4")
     cut = sets.select("key", F.explode("tokens").alias("_t")).select(
         "key", at.cast("int").alias("fragment"), F.col("_t.token").alias("token")
     )
@@ -208,9 +209,14 @@ def similar_pairs(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> Da
     )
 
 
-def _fitting(a: str, b: str) -> Column:
-    """Sizes that allow a link."""
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
+def _fitting(n: str, at: str, other_n: str, other_at: str) -> Column:
+    """Whether a pair can link whose first common shingle stands at these places.
+
+    Then all common shingles are among those from there on. A pair that links passes at its
+    first common shingle, whatever happens at its others.
+    """
+    most = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+    return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(other_n))
 
 
 def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -240,13 +246,14 @@ def component_links(sets: DataFrame) -> DataFrame:
                 F.xxhash64("key", F.lit(nth)).alias("_h"),
                 "key",
                 "n",
+                "at",
                 "component",
             )
             leaders = rows.groupBy("token").agg(F.min(rank).alias("_l"))
             pairs = (
                 rows.join(leaders, "token")
                 .where(F.col("component") != F.col("_l.component"))
-                .where(_fitting("n", "_l.n"))
+                .where(_fitting("n", "at", "_l.n", "_l.at"))
                 .select(F.col("_l.key").alias("a"), F.col("key").alias("b"))
             )
         else:
@@ -256,11 +263,11 @@ def component_links(sets: DataFrame) -> DataFrame:
             )
             outside = (
                 rows.join(largest, "token").where(F.col("component") != F.col("_largest"))
-                .select("token", F.col("key").alias("a"), F.col("n").alias("_n"), F.col("component").alias("_c"))
+                .select("token", F.col("key").alias("a"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("component").alias("_c"))
             )
             pairs = (
                 outside.join(rows.withColumnRenamed("key", "b"), "token")
-                .where((F.col("_c") != F.col("component")) & _fitting("_n", "n"))
+                .where((F.col("_c") != F.col("component")) & _fitting("_n", "_at", "n", "at"))
                 .select("a", "b")
             )
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
