@@ -245,3 +245,22 @@ def test_upsert_versions(spark, tmp_path, mode, kept):
 def test_serve_report(spark):
     rows = spark.createDataFrame([("p", "PAGE_SENT", 0), ("p", "OBJECT_SENT", 7), ("p", "ACKNOWLEDGED", 0)], "peer string, kind string, bytes bigint")
     assert tuple(reports.serve_report(rows).first()) == ("p", 1, 1, 7, 1)
+
+
+def test_an_object_one_peer_stored_is_there_for_all(spark):
+    def event(peer, at, op, request=None, size=None, offset=None, length=None):
+        return (peer, "x", at, op, request, size, offset, length)
+
+    rows = [
+        event("p", 1, "BEGIN", "r1", 4), event("q", 2, "BEGIN", "r2", 4), event("q", 3, "APPEND", offset=0, length=2),
+        event("p", 4, "APPEND", offset=0, length=4), event("p", 5, "COMPLETE"), event("q", 6, "APPEND", offset=2, length=2),
+        event("q", 7, "COMPLETE"), event("q", 8, "BEGIN", "r3", 4), event("r", 9, "BEGIN", "r4", 4), event("r", 10, "CANCEL"),
+    ]
+    events = spark.createDataFrame(rows, EVENT)
+    asked = spark.createDataFrame([(p, "x") for p in "pqr"], "peer string, content_id string")
+    none = spark.createDataFrame([], "content_id string, available boolean")
+    fold = transfers.replay_transfers(events, asked, none)
+    assert [r.status for r in sorted(fold.outcomes.collect(), key=lambda r: r.event_id)] == [
+        "START", "START", "ACCEPTED", "ACCEPTED", "STORED", "NOT_FOUND", "NOT_FOUND", "ALREADY_PRESENT", "ALREADY_PRESENT", "NOTHING_TO_CANCEL",
+    ]
+    assert {r.progress for r in transfers.transfer_progress(fold.states).collect()} == {"COMPLETE"}

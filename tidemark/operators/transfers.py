@@ -1,6 +1,6 @@
 """Accounting of resumable transfers, as a replay of their events.
 
-Events of one ``(peer, content_id)``, in ``event_id`` order: ``BEGIN`` (``request_id``,
+Events of one ``(peer, content_id)``, in ``event_id`` order (unique among the peers of an object): ``BEGIN`` (``request_id``,
 ``size``), ``APPEND`` (``start_offset``, ``len``), ``COMPLETE`` and ``CANCEL``. Only received
 sizes are tracked, never bytes.
 """
@@ -112,7 +112,7 @@ def replay_transfers(
         F.coalesce("requested", F.lit(False)).alias("requested"),
     )
 
-    return segmented_fold(
+    fold = segmented_fold(
         events,
         KEYS,
         "event_id",
@@ -123,6 +123,42 @@ def replay_transfers(
         _transition,
         segment_rows,
     )
+    return _across_peers(fold, events)
+
+
+def _across_peers(fold: Fold, events: DataFrame) -> Fold:
+    """An object that one peer has stored is there for all peers from then on.
+
+    Up to the first ``STORED`` of an object its peers do not affect each other. Behind it no
+    transfer of the object is open and none can start, so an event's status follows from the
+    event alone, and the state of every peer is the same.
+    """
+    outcomes = fold.outcomes.checkpoint()
+    stored = outcomes.where("status = 'STORED'").groupBy("content_id").agg(F.min("event_id").alias("_at"))
+    early = (
+        outcomes.join(stored, "content_id", "left")
+        .where(F.col("_at").isNull() | (F.col("event_id") <= F.col("_at")))
+        .select(*outcomes.columns)
+    )
+    nothing = F.lit(None).cast("bigint")
+    there = F.struct(
+        F.lit(False).alias("open"),
+        nothing.alias("size"),
+        nothing.alias("received"),
+        F.lit(True).alias("present"),
+        F.lit(False).alias("requested"),
+    )
+    late = events.join(stored, "content_id").where(F.col("event_id") > F.col("_at")).select(
+        *KEYS,
+        "event_id",
+        "op",
+        transfer_status(there, F.struct(*FIELDS)).alias("status"),
+        nothing.alias("received"),
+    )
+    states = fold.states.join(stored, "content_id", "left").select(
+        *KEYS, F.when(F.col("_at").isNull(), F.col("state")).otherwise(there.cast(STATE_TYPE)).alias("state")
+    )
+    return Fold(early.unionByName(late.select(*early.columns)), states)
 
 
 def transfer_progress(states: DataFrame) -> DataFrame:

@@ -545,6 +545,17 @@ def transfer_replay(spark, sf_dir):
     return replayed_transfers(spark, sf_dir).outcomes
 
 
+def transfer_peers(spark, sf_dir):
+    """Transfers of objects that two peers send at the same time."""
+    events = fx.transfer_events(spark, sf_dir)
+    asked = events.select("content_id").distinct().where("CAST(content_id AS BIGINT) % 13 <> 2")
+    number = F.col("content_id").cast(LONG)
+    shared = [F.concat(F.lit("p"), number % 2).alias("peer"), F.expr("CAST(CAST(content_id AS BIGINT) div 2 AS STRING)").alias("content_id")]
+    rest = [c for c in events.columns if c not in ("peer", "content_id")]
+    none = events.where("false").select("content_id", F.lit(True).alias("available"))
+    return tr.replay_transfers(events.select(*shared, *rest), asked.select(*shared), none).outcomes
+
+
 def transfer_progress(spark, sf_dir):
     return tr.transfer_progress(replayed_transfers(spark, sf_dir).states)
 
@@ -552,6 +563,17 @@ def transfer_progress(spark, sf_dir):
 TRANSFER_REPLAY = f"""WITH RECURSIVE {sql.TRANSFERS}
 SELECT 'p' || (object_no % 3) AS peer, CAST(object_no AS VARCHAR) AS content_id, event_id, op, status, received
 FROM fold WHERE rn > 0"""
+TRANSFER_PEERS = f"""WITH RECURSIVE {sql.TRANSFERS.replace("(object_no % 17 = 5 AND object_no IN (SELECT p_partkey FROM part))", "false")},
+done AS (SELECT object_no // 2 AS content, min(event_id) AS done_at FROM fold WHERE status = 'STORED' GROUP BY object_no // 2)
+SELECT 'p' || (f.object_no % 2) AS peer, CAST(f.object_no // 2 AS VARCHAR) AS content_id, f.event_id, f.op,
+       CASE WHEN done_at IS NULL OR f.event_id <= done_at THEN f.status
+            WHEN f.op = 'BEGIN' AND n.request_id = repeat('0', 32) THEN 'NIL_REQUEST'
+            WHEN f.op = 'BEGIN' AND (n.size < 1 OR n.size > 67108864) THEN 'SIZE_OUT_OF_RANGE'
+            WHEN f.op = 'BEGIN' THEN 'ALREADY_PRESENT' WHEN f.op = 'CANCEL' THEN 'NOTHING_TO_CANCEL'
+            ELSE 'NOT_FOUND' END AS status,
+       CASE WHEN done_at IS NULL OR f.event_id <= done_at THEN f.received END AS received
+FROM fold f JOIN numbered n ON n.object_no = f.object_no AND n.rn = f.rn
+LEFT JOIN done ON done.content = f.object_no // 2"""
 TRANSFER_PROGRESS = f"""WITH RECURSIVE {sql.TRANSFERS}
 SELECT 'p' || (object_no % 3) AS peer, CAST(object_no AS VARCHAR) AS content_id, size, received,
        CASE WHEN present THEN 'COMPLETE' WHEN is_open THEN 'OPEN' ELSE 'IDLE' END AS progress
@@ -820,6 +842,7 @@ QUERIES = {
     "request_clear": (request_clear, REQUEST_CLEAR),
     "request_batches": (request_batches, REQUEST_BATCHES),
     "transfer_replay": (transfer_replay, TRANSFER_REPLAY),
+    "transfer_peers": (transfer_peers, TRANSFER_PEERS),
     "transfer_progress": (transfer_progress, TRANSFER_PROGRESS),
     "pull_report": (pull_report, PULL_REPORT),
     "sync_report": (sync_report, SYNC_REPORT),
