@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,21 @@ def test_pull_stream_is_harmless_to_repeat_and_retries_waiting_records(spark, pe
     second = run()
     assert set(second) == {"r1", "r2", "r4", "r5"} and sorted(second.values()) == [1, 2, 3, 4]
     assert {r: s for r, s in second.items() if r in first} == first
+
+
+def test_a_refused_record_commits_when_its_author_is_added(spark, peer, tmp_path):
+    change, _, local = peer
+    source, base, check = (str(tmp_path / n) for n in ("in", "base", "check"))
+    known = [local.members()]
+    local = replace(local, members=lambda: known[0])
+
+    def run():
+        pl.start_pull(spark, source, base, "g", "peer", local, check, available_now=True).awaitTermination()
+        return {r.revision_id for r in spark.read.parquet(f"{base}/log").where("batch >= 0").collect()}
+
+    change(3).unionByName(change(4, author="late")).coalesce(1).write.mode("append").parquet(source)
+    assert run() == {"r3"}
+    late = spark.createDataFrame([("g", "late", "key-late", "ACTIVE")], known[0].schema)
+    known[0] = known[0].unionByName(late)
+    change(5).coalesce(1).write.mode("append").parquet(source)
+    assert run() == {"r3", "r4", "r5"}

@@ -176,6 +176,9 @@ def admit_batch(
             "_peer_error"
         ),
     )
+    # References are far more than a batch names: keep the batch's before anything is shuffled twice.
+    named = batch.select(F.col("content_id").alias("manifest_id")).distinct()
+    refs = refs.join(named, "manifest_id", "left_semi")
     absent = missing_objects(refs, objects, ["manifest_id"]).select(
         F.col("manifest_id").alias("content_id"), F.lit(True).alias("_waits")
     ).distinct()

@@ -28,12 +28,13 @@ def with_object_problem(
     """Add ``problem``: what keeps a change from being committed (NULL: nothing).
 
     The manifest itself comes first, then its chunks in id order; listing a chunk twice
-    changes nothing. ``refs`` holds the references of the batch's manifests.
+    changes nothing. References of other manifests in ``refs`` are left out first.
     ``check_manifests=False`` is for batches that bring their manifests along.
     """
     ready = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
+    named = batch.select(F.col("content_id").alias("manifest_id")).distinct()
     chunks = (
-        refs.select("manifest_id", "content_id").join(ready, "content_id", "left")
+        refs.select("manifest_id", "content_id").join(named, "manifest_id", "left_semi").join(ready, "content_id", "left")
         .withColumn("_problem", _object_problem("CHUNK"))
         .where(F.col("_problem").isNotNull())
         .groupBy(F.col("manifest_id").alias("content_id"))

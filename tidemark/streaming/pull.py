@@ -100,9 +100,10 @@ def start_pull(
     """Stream a peer's change files into ``base/log``.
 
     Each micro-batch writes its own folder and reads only those of earlier batches, so a batch
-    that runs again after a failure gives the same table. Records that wait for chunks are kept
-    in ``base/waiting`` and tried again with the next batch. Duplicates are found by revision,
-    not by time.
+    that runs again after a failure gives the same table. Records that are neither committed nor
+    known already are kept in ``base/waiting`` with their status and tried again with the next
+    batch: the stream has passed their file, and a missing chunk, author or peer may be added
+    later. Duplicates are found by revision, not by time.
     """
     for name, schema in (("log", LOG), ("waiting", CHANGE)):
         empty = spark.createDataFrame([], schema)
@@ -136,9 +137,9 @@ def start_pull(
         admitted.where("status = 'COMMITTED'").select(*names).write.mode("overwrite").parquet(
             f"{base}/log/batch={batch}"
         )
-        admitted.where("status = 'WAITING'").withColumnRenamed("peer_sequence", "_s").drop(
+        admitted.where("status NOT IN ('COMMITTED', 'REPLAYED')").withColumnRenamed("peer_sequence", "_s").drop(
             "sequence"
-        ).withColumnRenamed("_s", "sequence").select(*columns).write.mode("overwrite").parquet(
+        ).withColumnRenamed("_s", "sequence").select(*columns, "status").write.mode("overwrite").parquet(
             f"{base}/waiting/batch={batch}"
         )
 
