@@ -97,19 +97,26 @@ def manifest_errors(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def reassemble(
-    manifests: DataFrame, refs: DataFrame, payloads: DataFrame, part_bytes: int = 16 * 1024 * 1024
+    manifests: DataFrame,
+    refs: DataFrame,
+    payloads: DataFrame,
+    part_bytes: int = 16 * 1024 * 1024,
+    sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Contents of files from their chunks, in parts, and one status row per file.
 
     ``manifests``: ``manifest_id, size``. ``payloads``: ``content_id, payload`` once per id.
+    ``sizes``: ``content_id, actual``, the payloads' sizes where they are known, so that
+    payloads are only read for the parts.
     A part joins the chunks that begin in one stretch of ``part_bytes`` of the file, so no group
     grows with its file. Offsets are running sums over a file's chunk list, ids and sizes only,
     which has at most ``MAXIMUM_CHUNKS`` rows. Statuses
     name the first failing chunk in order: ``MISSING_CHUNK`` or ``CHUNK_SIZE_MISMATCH``,
     then ``FILE_SIZE_MISMATCH``; only ``OK`` files have parts.
     """
-    stored = payloads.select("content_id", "payload").withColumn("_actual", F.octet_length("payload"))
-    sized = refs.join(stored.select("content_id", "_actual"), "content_id", "left")
+    if sizes is None:
+        sizes = payloads.select("content_id", F.octet_length("payload").alias("actual"))
+    sized = refs.join(sizes.select("content_id", F.col("actual").alias("_actual")), "content_id", "left")
     # Position and kind of a failing chunk in one number, so the aggregate stays hash based.
     failing = F.when(F.col("_actual").isNull(), F.col("chunk_index") * 2).when(
         F.col("_actual") != F.col("size"), F.col("chunk_index") * 2 + 1
@@ -133,7 +140,7 @@ def reassemble(
     parts = (
         refs.join(good, "manifest_id", "left_semi")
         .withColumn("part", (offset / part_bytes).cast("bigint"))
-        .join(stored.select("content_id", "payload"), "content_id")
+        .join(payloads.select("content_id", "payload"), "content_id")
         .groupBy("manifest_id", "part")
         .agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY chunk_index)").alias("payload"))
     )

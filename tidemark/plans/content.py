@@ -8,6 +8,7 @@ from tidemark.functions import ids, paths as pt, vv
 from tidemark.operators import chunking, diff, integrity, manifests as mf
 from tidemark.plans import fixtures as fx
 from tidemark.plans import sql
+from tidemark.session import checkpoint_ready
 
 SMALL = {"minimum": 64, "average": 256, "maximum": 1024}
 NOW = 1_700_000_000_000
@@ -160,14 +161,18 @@ def chunk_refs(rows):
 
 
 def chunk_round_trip(spark, sf_dir):
-    """Documents chunked, deduplicated and put together again."""
-    rows = chunks(spark, sf_dir)
-    refs = chunk_refs(rows)
-    stored = rows.groupBy("content_id").agg(F.min("payload").alias("payload"))
+    """Documents chunked, deduplicated and put together again.
+
+    Ids and sizes are checkpointed, so the texts are cut once for them and once for the payloads.
+    """
+    checkpoint_ready(spark)
+    refs = chunk_refs(chunks(spark, sf_dir, payload=False)).checkpoint()
+    stored = chunks(spark, sf_dir).groupBy("content_id").agg(F.min("payload").alias("payload"))
+    sizes = refs.groupBy("content_id").agg(F.min("size").alias("actual"))
     files = fx.files(spark, sf_dir).select(
         F.col("file_no").alias("manifest_id"), F.octet_length("content").cast("bigint").alias("size")
     )
-    whole = mf.reassemble_whole(*mf.reassemble(files, refs, stored))
+    whole = mf.reassemble_whole(*mf.reassemble(files, refs, stored, sizes=sizes))
     return whole.select("manifest_id", "status", F.md5("payload").alias("digest"))
 
 
