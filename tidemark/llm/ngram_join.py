@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ LEADER_ROUNDS = 3
 #: A shingle in more than this share of a batch is dealt to several tasks.
 HOT_SHARE = 0.05
 HOT_BAND = 63
-_PARTS_PER_PARTITION = 2
+_PARTS_PER_PARTITION = 4
 _SALTS = 64
 
 
@@ -106,26 +107,32 @@ def shared_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
             ):
                 if len(t) == 0:
                     continue
-                # The classes stay in runs, which compress well.
                 by = np.argsort(p, kind="stable")
                 p, t, o = p[by], t[by], o[by]
                 cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
                 ends = np.append(cuts[1:], len(p))
+                # Classes stand in runs: each once, with the length of its run.
+                runs = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (o[1:] != o[:-1])]))
+                lengths = np.diff(np.append(runs, len(p))).astype("<u4")
+                heads, places = o[runs], np.searchsorted(runs, np.append(cuts, len(p)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(p[cuts].astype(np.int32)),
                         pa.array(np.full(len(cuts), state, np.int32)),
                         pa.array([t[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                        pa.array([o[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                        pa.array([heads[a:b].tobytes() for a, b in zip(places, places[1:])], pa.binary()),
+                        pa.array([lengths[a:b].tobytes() for a, b in zip(places, places[1:])], pa.binary()),
                     ],
-                    names=["part", "state", "tokens", "owners"],
+                    names=["part", "state", "tokens", "owners", "runs"],
                 )
 
+    def whole(table: pa.Table, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
     def joined(table: pa.Table, state: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = [r for r, s in enumerate(table.column("state").to_pylist()) if s == state]
-        chosen = table.take(pa.array(rows, pa.int64()))
-        tokens = np.frombuffer(b"".join(chosen.column("tokens").to_pylist()), np.int64)
-        owners = np.frombuffer(b"".join(chosen.column("owners").to_pylist()), np.int64)
+        chosen = table.filter(pc.equal(table.column("state"), state))
+        tokens = whole(chosen, "tokens", "<i8")
+        owners = np.repeat(whole(chosen, "owners", "<i8"), whole(chosen, "runs", "<u4"))
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
         new = np.ones(len(tokens), bool)
@@ -151,7 +158,7 @@ def shared_shingles(docs: DataFrame, text: str = "text") -> DataFrame:
             }
         )
 
-    dealt = docs.select(text).mapInArrow(deal, "part int, state int, tokens binary, owners binary")
+    dealt = docs.select(text).mapInArrow(deal, "part int, state int, tokens binary, owners binary, runs binary")
     return dealt.groupBy("part").applyInArrow(count, "key bigint, token bigint, band int")
 
 

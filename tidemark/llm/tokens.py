@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Parts kept per Python worker; further parts are encoded anew in every batch.
-KEPT_PARTS = 700_000
+KEPT_PARTS = 150_000
 _JOINED = 200
 _SIGNS = ".,;:!?%&$#*"
 # Letters, digits and visible ASCII: never white space, never joined to what stands before them.
