@@ -431,7 +431,7 @@ CAS_HOT_KEY = f"""WITH RECURSIVE {sql.CHANGES}, props AS (
          CASE WHEN sequence = 1 THEN NULL WHEN sequence % 40 = 21 THEN 'elsewhere'
               WHEN sequence % 40 = 22 OR sequence % 10 = 6 THEN 'c' || (sequence - 2)
               ELSE 'c' || (sequence - 1) END AS expected FROM changes),
-numbered AS (SELECT *, row_number() OVER (ORDER BY position) AS rn FROM props),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY position) AS rn FROM props),
 fold AS (
   SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS h_content, CAST(NULL AS VARCHAR) AS h_kind,
          CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS content_id, CAST(NULL AS VARCHAR) AS status
