@@ -109,6 +109,31 @@ def test_shards_of_awkward_rows(spark):
     assert [(r["shard"], r["slot"], r["size"]) for r in shards_of(spark, [(None, None, *[None] * 9)])] == [(0, 0, 1)]
 
 
+def test_a_group_of_a_third_of_all_rows_takes_as_few_shards_as_it_needs(spark):
+    # 960 rows, 60 a shard: 6 shards for the large group, 1 for a group of 50, hardly a row without copies.
+    texts = ["large"] * 320 + ["middle"] * 50 + [f"pair {k // 2}" for k in range(578)] + [f"alone {k}" for k in range(12)]
+    rows = [(k * 7 % 960, t, *[None] * 9) for k, t in enumerate(texts)]
+    names = {r[0]: r[1] for r in rows}
+    found = shards_of(spark, rows)
+    homes, counts = defaultdict(set), Counter(r["shard"] for r in found)
+    for r in found:
+        homes[names[r["doc_id"]]].add(r["shard"])
+    assert len(found) == 960 and set(counts.values()) == {60}
+    assert (len(homes["large"]), len(homes["middle"])) == (6, 1)
+
+
+def test_large_groups_fill_whole_shards_first():
+    parts, left = sharding.whole_places({"a": 25, "b": 14, "c": 6}, [11, 10, 10, 10, 10])
+    assert {c: (len(p), sum(n for _, n in p)) for c, p in parts.items()} == {"a": (3, 25), "b": (2, 14), "c": (1, 6)}
+    assert sum(left) == 6 and min(left) == 0
+    assert sharding.whole_places({}, [1, 0]) == ({}, [1, 0])
+
+
+def test_quotas_deal_out_all_free_places():
+    _, back = sharding.quotas({(i, 0): 3 for i in range(1, 8)}, {0: 5}, 8)
+    assert sum(back[0]) == 5
+
+
 def test_quotas_keep_counts():
     moves, back = sharding.quotas({(0, 1): 9, (1, 0): 4, (2, 1): 3}, {1: 4}, 3)
     for j in range(3):

@@ -1,13 +1,17 @@
 """Shards of linked documents by balanced label propagation, with DataFrame operations only.
 
-Documents start in an even random split. Each round counts, per cluster of linked documents and
+Clusters of more than a shard's share of a shard (rows / shards / shards, so at most some
+shards * shards clusters) start whole: the driver deals their sizes out, whole shards first and
+then what is left of each into the fullest shard that still takes it. All other documents start in
+a random split over the places left. Each round counts, per cluster of linked documents and
 shard, how many members sit there; members want to move to the shard with most of their cluster.
 A quota per pair of shards keeps every shard's row count as it is: as many documents go back as
 come in, first those that want to, then documents without links. Only the quotas, one number per
 pair of shards, pass through the driver.
 
 Links are given as a cluster per document, so a cluster of n documents costs n rows, not n * n.
-A cluster larger than a shard fills one shard after the other.
+A cluster larger than a shard fills whole shards and one more with its rest; the rest is cut only
+where no shard has room for it.
 
 Defined cases: a NULL text counts as empty (size 1, crc32 0) and is equal to an empty one;
 repeated rows are placed one by one; ids may be NULL or repeat; an empty table gives an empty
@@ -16,6 +20,8 @@ result; a table smaller than the number of shards leaves shards empty; extra col
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +43,80 @@ def quotas(wanted: dict[tuple[int, int], int], unlinked: dict[int, int], shards:
         swapped = [min(wanted.get((i, j), 0), wanted.get((j, i), 0)) for i in range(shards)]
         excess = [wanted.get((i, j), 0) - swapped[i] for i in range(shards)]
         free, needed = unlinked.get(j, 0), sum(excess)
+        asked = 0
         for i in range(shards):
-            granted = excess[i] if needed <= free else excess[i] * free // needed
+            before, asked = asked, asked + excess[i]
+            # Differences of floored sums: all free places are dealt out.
+            granted = excess[i] if needed <= free else asked * free // needed - before * free // needed
             moves[i][j] = swapped[i] + granted
             back[j][i] = granted
     return moves, back
 
 
+def whole_places(sizes: dict[str, int], places: list[int]) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """(shard, rows) parts of every cluster, in as few shards as fit, and the places left per shard."""
+    left, rest, parts = list(places), {}, {}
+    largest_first = sorted(sizes, key=lambda c: (-sizes[c], c))
+    empty = sorted(range(len(places)), key=lambda s: -places[s])
+    for c in largest_first:
+        rest[c], parts[c] = sizes[c], []
+        for s in [s for s in empty if 0 < places[s]]:
+            if rest[c] >= places[s]:
+                parts[c].append((s, places[s]))
+                rest[c] -= places[s]
+                left[s] = 0
+                empty.remove(s)
+    for c in sorted(largest_first, key=lambda c: (-rest[c], c)):
+        while rest[c]:
+            fitting = [s for s in range(len(left)) if left[s] >= rest[c]]
+            s = min(fitting, key=lambda s: left[s]) if fitting else max(range(len(left)), key=lambda s: left[s])
+            n = min(rest[c], left[s])
+            parts[c].append((s, n))
+            rest[c] -= n
+            left[s] -= n
+    return parts, left
+
+
+def _ends(parts: list[tuple[int, int]]) -> list[dict]:
+    total, ends = 0, []
+    for shard, n in parts:
+        total += n
+        ends.append({"end": total, "shard": shard})
+    return ends
+
+
+def first_split(numbered: DataFrame, rows: int, shards: int, cells: int) -> DataFrame:
+    """(..., _linked, shard): large clusters in as few shards as they fit, the others at random."""
+    sizes = numbered.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_n"))
+    large = {
+        r["_cluster"]: r["_n"]
+        # Less than shards * shards clusters when there are as many rows as that.
+        for r in sizes.where((F.col("_n") > 1) & (F.col("_n") * shards > rows // shards)).collect()
+    }
+    parts, left = whole_places(large, [rows // shards + (s < rows % shards) for s in range(shards)])
+    kind = "array<struct<end:bigint,shard:int>>"
+    planned = json.dumps([{"_cluster": c, "_ends": _ends(p)} for c, p in parts.items()])
+    plan = numbered.sparkSession.range(1).select(
+        F.inline(F.from_json(F.lit(planned), f"array<struct<_cluster:string,_ends:{kind}>>"))
+    )
+    others = F.from_json(F.lit(json.dumps(_ends(list(enumerate(left))))), kind)
+    spread = F.xxhash64("_row", F.lit(2))
+    ranked = rank_in_cells(
+        numbered.join(sizes.select("_cluster", (F.col("_n") > 1).alias("_linked")), "_cluster")
+        .join(plan, "_cluster", "left")
+        .withColumn("_of", F.when(F.col("_ends").isNull(), "").otherwise(F.col("_cluster")))
+        .withColumn("_zero", F.lit(0))
+        .withColumn("_cell", spread.bitwiseAND(F.lit(0x7FFFFFFF)) % cells),
+        ["_of"],
+        "_zero",
+        "_cell",
+        [spread, F.col("_row")],
+        "_place",
+    )
+    later = F.filter(F.coalesce("_ends", others), lambda e: e["end"] > F.col("_place"))
+    return ranked.withColumn("shard", F.get(later, F.lit(0))["shard"]).drop("_ends", "_of", "_zero", "_cell", "_place")
+
+
 def _lookup(matrix: list[list[int]], row: Column, column: Column) -> Column:
     literal = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in line]) for line in matrix])
     return F.get(F.get(literal, row), column)
@@ -134,8 +207,8 @@ def balanced_shards(
         ),
         "shard-docs",
     )
-    cells = cell_count(narrow.count())
-    sizes = narrow.groupBy("_cluster").agg((F.count(F.lit(1)) > 1).alias("_linked"))
+    rows = narrow.count()
+    cells = cell_count(rows)
     numbered = rank_in_cells(
         narrow.withColumn("_zero", F.lit(0)).withColumn("_cell", id_hash("doc_id") % cells),
         [],
@@ -144,12 +217,8 @@ def balanced_shards(
         [F.col("doc_id"), F.col("_cluster")],
         "_row",
     )
-    state = stored(
-        numbered.drop("_zero", "_cell")
-        .join(sizes, "_cluster")
-        .withColumn("shard", (F.col("_row") % shards).cast("int")),
-        "shard-state",
-    )
+    numbered = stored(numbered.drop("_zero", "_cell"), "shard-rows")
+    state = stored(first_split(numbered, rows, shards, cells), "shard-state")
     for _ in range(rounds):
         later = propagate(state, shards, cells)
         if later is None:
