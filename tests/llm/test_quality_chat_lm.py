@@ -189,6 +189,23 @@ def test_backoff_scores(spark):
     assert lm.score_by_corpus(frame(spark, [])).collect() == []
 
 
+def test_words_that_share_22_bits_of_hash_are_counted_apart(spark):
+    seen = {}
+    for k in range(200_000):
+        word = f"w{k}"
+        first = seen.setdefault(int(word_hashes([word.encode()])[0]) >> 42, word)
+        if first != word:
+            break
+    texts = [f"{first} often" for _ in range(50)] + [f"only here {word} once"]
+    rows = [(k, t, *[None] * 9) for k, t in enumerate(texts)]
+    found = {r["doc_id"]: r for r in pandas(lm.score_by_corpus(frame(spark, rows)))}
+    # No other text has any of the last one's four words.
+    expected = 4 * (math.log(0.5) - math.log(100)) + 3 * math.log(lm.BACKOFF)
+    assert first != word and abs(found[50]["log_score"] - expected) < 1e-6
+    for k, (n, total) in enumerate(brute_scores(texts)):
+        assert found[k]["n_words"] == n and abs(found[k]["log_score"] - total) < 1e-6
+
+
 def test_pipeline_stages_agree_with_rules(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     columns = docs.columns

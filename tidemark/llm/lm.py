@@ -6,14 +6,11 @@
 A text's score is the mean of log S over its words, the first one by its count alone. Counts are
 taken over all documents, less those of the text itself.
 
-Bigram counts are a table partitioned by hash. A batch of documents sends every partition its
-distinct bigrams per document (five bytes of hash beside the partition's number, and what a hit
-would add to the score), the partition counts and joins them, and returns the sums per document.
-A bigram that many documents of a batch have is sent once with its total, and the count comes
-back to the batch, so a bigram found everywhere costs one entry per batch.
-
-Word counts are a table of 2**22 slots at any corpus size: words that share a slot share its count,
-which acts as a floor for rare words.
+Word and bigram counts are tables partitioned by hash. A batch of documents sends every partition its
+distinct words (all 64 bits of hash) and bigrams (five bytes of hash beside the partition's number)
+with their totals in the batch. The partition counts them and sends the counts back, in the order they
+came. The batch's words travel along as places in its list of distinct words, so the scores are
+put together where the counts arrive. A word or bigram found everywhere costs one entry per batch.
 
 Defined cases: a NULL or wordless text has no words, log_score 0 and a NULL score; words in no
 other text count half; repeated rows are texts of their own and so count for each other; an empty
@@ -26,97 +23,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import word_hashes, words
-from tidemark.llm.store import small_batches
+from tidemark.llm.store import small_batches, stored
 
 BACKOFF = 0.4
-SLOT_BITS = 22
-_SLICE = 1 << 12
-HOT_SHARE = 0.05
+#: Bits of hash by which words are told apart: all of them.
+SLOT_BITS = 64
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_HEAD, _WORDS, _BIGRAMS = 0, 1, 2
+#: Bits of hash that are not sent; the partition's number has some of them.
+_DROPPED = {_WORDS: 64 - SLOT_BITS, _BIGRAMS: 24}
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _packed(values: np.ndarray) -> bytes:
+    """Compressed byte planes of numbers, as many planes as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences per slot over all documents."""
-    small_batches(docs.sparkSession)
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            found = [slots(word_hashes(words(t))) for t in batch.column(0).to_pylist()]
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=len(total))
-        rows = total.reshape(-1, _SLICE)
-        used = np.flatnonzero(rows.any(axis=1))
-        places = [np.flatnonzero(rows[s]) for s in used]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(used, pa.int32()),
-                pa.array([p.astype("<u2").tobytes() for p in places], pa.binary()),
-                pa.array([rows[s][p].tobytes() for s, p in zip(used, places)], pa.binary()),
-            ],
-            names=["slice", "places", "counts"],
-        )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                held = sums.setdefault(s, np.zeros(_SLICE, np.int64))
-                held[np.frombuffer(places, "<u2")] += np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())],
-            names=["slice", "counts"],
-        )
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+def _bigrams(keys: np.ndarray, places: np.ndarray, owner: np.ndarray):
+    """Distinct bigrams of a batch, and of every word that has one before it in its text its place and bigram."""
+    second = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    hashes = keys[places[second - 1]] * _LEFT + keys[places[second]] * _RIGHT
+    distinct, which = np.unique(hashes, return_inverse=True)
+    return distinct, second, which
 
-    counted = docs.select(text).mapInArrow(count, "slice int, places binary, counts binary")
-    total = np.zeros(1 << SLOT_BITS, np.int64)
-    # 2**22 numbers at most.
-    for r in counted.repartition("slice").mapInArrow(add, "slice int, counts binary").toLocalIterator():
-        total[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["counts"], np.int64)
-    return total
 
+def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which keys are sent, and where each partition's begin."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-def _document(text: str | None, counts: np.ndarray, n_all: int):
-    """Words, score if every bigram were missing, bigram hashes, times each, gain of a hit."""
-    hashes = word_hashes(words(text))
-    n = len(hashes)
-    if not n:
-        return 0, 0.0, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
-    slot = slots(hashes)
-    distinct, inverse, own = np.unique(slot, return_inverse=True, return_counts=True)
-    others = np.log(np.maximum(counts[distinct] - own, 0.5))[inverse]
-    alone = others - np.log(max(n_all - n, 1))
-    base = float(alone[0] + (alone[1:] + np.log(BACKOFF)).sum())
-    bigrams, first, times = np.unique(hashes[:-1] * _LEFT + hashes[1:] * _RIGHT, return_index=True, return_counts=True)
-    gain = -others[first] - (alone[first + 1] + np.log(BACKOFF))
-    return n, base, bigrams, times, gain
 
+def _own(owner: np.ndarray, which: np.ndarray, distinct: int) -> np.ndarray:
+    """How often the text of each occurrence has the same."""
+    _, inverse, times = np.unique(owner * max(distinct, 1) + which, return_inverse=True, return_counts=True)
+    return times[inverse]
 
-_DEALT = "part int, batch bigint, kind int, a binary, b binary, c binary, d binary, ids array<{kind}>"
 
+_DEALT = "part int, batch bigint, kind int, a binary, b binary, ids array<{kind}>"
+_NAMES = ["part", "batch", "kind", "a", "b", "ids"]
 
-def score(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_score, score) of every document."""
+
+def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_counts, n_missing) of every document.
+
+    ``log_counts`` is the score without the logarithms of N, of which there are ``n_missing``.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(counts)  # 2**22 numbers
-    n_all = int(counts.sum())
-    names = ["part", "batch", "kind", "a", "b", "c", "d", "ids"]
-
-    def row_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.list_(id_type)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -124,139 +99,122 @@ def score(docs: DataFrame, counts: np.ndarray, doc_id: str = "doc_id", text: str
             if not batch.num_rows:
                 continue
             name = (task << 32) | number
-            found = [_document(t, shared.value, n_all) for t in batch.column(1).to_pylist()]
-            sizes = [len(f[2]) for f in found]
-            keys = np.concatenate([f[2] for f in found])
-            times = np.concatenate([f[3] for f in found])
-            gains = np.concatenate([f[4] for f in found]).astype("<f2")
+            found = [word_hashes(words(t)) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(f) for f in found], "<i8")
+            keys, places, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
             owner = np.repeat(np.arange(len(found)), sizes)
-            order = np.lexsort((owner, keys))
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[order][1:] != keys[order][:-1]
-            group = np.cumsum(new) - 1
-            members = np.bincount(group) if len(keys) else np.empty(0, np.int64)
-            often = (members > max(8, HOT_SHARE * len(found)))[group] if len(keys) else np.empty(0, bool)
-            hot = order[often]
-            hot_first = new[often]
-            totals = np.add.reduceat(times[hot], np.flatnonzero(hot_first)) if len(hot) else np.empty(0, np.int64)
-            heads = np.array([f[0] for f in found], "<i8").tobytes() + np.array([f[1] for f in found], "<f8").tobytes()
-            local = np.rec.fromarrays(
-                [keys[hot], owner[hot], times[hot], gains[hot]], dtype="<u8,<u4,<u4,<f2"
-            ).tobytes()
-            rows = [(name % parts, name, 0, heads, local, None, None, batch.column(0).to_pylist())]
-
-            def send(which: int, chosen: np.ndarray, extra) -> None:
-                part = (chosen % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[by], np.arange(parts + 1))
-                rest = ((chosen // np.uint64(parts)) & np.uint64((1 << 40) - 1))[by].astype("<u8")
-                rest = rest.view(np.uint8).reshape(-1, 8)[:, :5]
+            pairs, _, which = _bigrams(keys, places, owner)
+            # Frequent words get small numbers, which take less room.
+            rank = np.empty(len(keys), np.int64)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(keys))
+            heads = [_packed(x) for x in (sizes, rank[places], times, _steps(keys))]
+            lengths = np.array([len(h) for h in heads], "<i8").tobytes()
+            rows = [(name % parts, name, _HEAD, lengths + b"".join(heads), None, batch.column(0).to_pylist())]
+            for sort, sent, often in ((_WORDS, keys, times), (_BIGRAMS, pairs, np.bincount(which, minlength=len(pairs)))):
+                order, cuts = _by_part(sent, parts)
+                # Ascending in each partition: the keys are, and the order keeps that.
+                sent, often = sent[order] >> np.uint64(_DROPPED[sort]), often[order]
                 for p in np.flatnonzero(np.diff(cuts)):
                     low, high = cuts[p], cuts[p + 1]
-                    rows.append((int(p), name, which, rest[low:high].tobytes(), *extra(by[low:high]), None))
-
-            cold = np.ones(len(keys), bool)
-            cold[hot] = False
-            k, o, t, g = keys[cold], owner[cold].astype("<u2"), times[cold], gains[cold]
-            send(1, k, lambda at: (o[at].tobytes(), t[at].astype("<u4").tobytes(), g[at].tobytes()))
-            send(2, keys[hot][hot_first], lambda at: (keys[hot][hot_first][at].tobytes(), totals[at].astype("<u4").tobytes(), None))
-            yield row_batch(rows, batch.schema.field(0).type)
-
-    def wide(data: bytes) -> np.ndarray:
-        five = np.frombuffer(data, np.uint8).reshape(-1, 5)
-        whole = np.zeros((len(five), 8), np.uint8)
-        whole[:, :5] = five
-        return whole.view("<u8").ravel()
-
-    def join(table: pa.Table) -> pa.Table:
-        """Counts the bigrams of one partition and joins them to what the batches sent."""
-        rows = [r for r in table.select(["batch", "kind", "a", "b", "c", "d"]).to_pylist()]
-        sent = [r for r in rows if r["kind"]]
-        keys = np.concatenate([wide(r["a"]) for r in sent]) if sent else np.empty(0, "<u8")
-        times = np.concatenate([np.frombuffer(r["c"], "<u4") for r in sent]) if sent else np.empty(0, "<u4")
-        _, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, times)[inverse] if len(keys) else np.empty(0)
-        out, at = [], 0
-        for r in sent:
-            n = len(r["a"]) // 5
-            mine, own = total[at : at + n], times[at : at + n]
-            at += n
-            if r["kind"] == 2:
-                out.append((r["batch"], 2, r["b"], mine.astype("<f8").tobytes()))
+                    rows.append((int(p), name, sort, _packed(_steps(sent[low:high])), _packed(often[low:high]), None))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(batch.schema.field(0).type)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_NAMES)
+
+    def count(table: pa.Table) -> pa.Table:
+        """The counts of one partition's words and bigrams, for each batch that sent them."""
+        columns = [table.column(n).to_pylist() for n in ("part", "batch", "kind", "a", "b")]
+        rows = list(zip(*columns))
+        out = []
+        for sort in (_WORDS, _BIGRAMS):
+            sent = [r for r in rows if r[2] == sort]
+            if not sent:
                 continue
-            hit = mine > own
-            if hit.any():
-                owner = np.frombuffer(r["b"], "<u2")[hit]
-                gain = np.frombuffer(r["d"], "<f2")[hit] + np.log(mine[hit] - own[hit])
-                who = np.unique(owner)
-                sums = np.bincount(owner, gain * own[hit])[who]
-                out.append((r["batch"], 1, who.tobytes(), sums.astype("<f4").tobytes()))
-        joined = pa.table(
+            keys = [np.cumsum(_unpacked(r[3]), dtype=np.uint64) for r in sent]
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            times = np.concatenate([_unpacked(r[4]) for r in sent])
+            total = np.bincount(inverse, times)[inverse].astype(np.uint64)
+            at = 0
+            for (part, batch, *_), mine in zip(sent, keys):
+                out.append((part, batch, sort, _packed(total[at : at + len(mine)])))
+                at += len(mine)
+        answers = pa.table(
             {
-                "batch": pa.array([o[0] for o in out], pa.int64()),
-                "kind": pa.array([o[1] for o in out], pa.int32()),
-                "a": pa.array([o[2] for o in out], pa.binary()),
-                "b": pa.array([o[3] for o in out], pa.binary()),
+                "part": pa.array([o[0] for o in out], pa.int32()),
+                "batch": pa.array([o[1] for o in out], pa.int64()),
+                "kind": pa.array([o[2] for o in out], pa.int32()),
+                "a": pa.array([o[3] for o in out], pa.binary()),
+                "b": pa.nulls(len(out), pa.binary()),
                 "ids": pa.nulls(len(out), table.schema.field("ids").type),
             }
         )
-        heads = table.select(["batch", "kind", "a", "b", "ids"]).take(
-            pa.array([i for i, r in enumerate(rows) if not r["kind"]], pa.int64())
-        )
-        return pa.concat_tables([heads, joined.cast(heads.schema)])
+        heads = table.select(_NAMES).take(pa.array([i for i, r in enumerate(rows) if r[2] == _HEAD], pa.int64()))
+        return pa.concat_tables([heads, answers.cast(heads.schema)])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums per document; rows come batch by batch, the documents first."""
+        """Scores per document; rows come batch by batch, the documents first, then counts by partition."""
         held: dict = {}
         id_type = None
 
+        def totals(keys: np.ndarray, answers: list[bytes]) -> np.ndarray:
+            order, _ = _by_part(keys, parts)
+            out = np.empty(len(keys))
+            if answers:
+                out[order] = np.concatenate([_unpacked(a) for a in answers])
+            return out
+
         def finish() -> pa.RecordBatch:
-            n, total = held["n"], held["total"]
-            if held["hot"]:
-                where = np.concatenate([h for h, _ in held["hot"]])
-                count = np.concatenate([c for _, c in held["hot"]])
-                order = np.argsort(where)
-                local = held["local"]
-                c = count[order][np.searchsorted(where[order], local["f0"])] - local["f2"]
-                hit = c > 0
-                gain = (local["f3"][hit].astype(float) + np.log(c[hit])) * local["f2"][hit]
-                total = total + np.bincount(local["f1"][hit], gain, len(total))
-            mean = [float(s) / int(k) if k else None for s, k in zip(total, n)]
+            size = len(held["ids"])
+            ends = 32 + np.cumsum(np.frombuffer(held["head"][:32], "<i8"))
+            sizes, ranks, times, steps = (_unpacked(held["head"][a:b]) for a, b in zip([32, *ends], ends))
+            sizes, times = sizes.astype(np.int64), times.astype(np.int64)
+            keys = np.cumsum(steps, dtype=np.uint64)
+            places = np.argsort(-times, kind="stable")[ranks.astype(np.int64)]
+            owner = np.repeat(np.arange(size), sizes)
+            alone = totals(keys, held[_WORDS])[places] - _own(owner, places, len(keys))
+            alone = np.log(np.maximum(alone, 0.5))
+            pairs, second, which = _bigrams(keys, places, owner)
+            others = totals(pairs, held[_BIGRAMS])[which] - _own(owner[second], which, len(pairs))
+            hit = others > 0
+            gains = alone.copy()
+            gains[second] += np.log(BACKOFF)
+            gains[second[hit]] = np.log(others[hit]) - alone[second[hit] - 1]
+            missing = sizes - np.bincount(owner[second[hit]], minlength=size)
             return pa.RecordBatch.from_arrays(
-                [pa.array(held["ids"], id_type), pa.array(n), pa.array(total), pa.array(mean, pa.float64())],
-                names=["doc_id", "n_words", "log_score", "score"],
+                [pa.array(held["ids"], id_type), pa.array(sizes), pa.array(np.bincount(owner, gains, size)), pa.array(missing)],
+                names=["doc_id", "n_words", "log_counts", "n_missing"],
             )
 
         for batch in batches:
             id_type = batch.schema.field("ids").type.value_type
             for r in batch.to_pylist():
-                if r["kind"] == 0:
+                if r["kind"] == _HEAD:
                     if held:
                         yield finish()
-                    size = len(r["ids"])
-                    held = {
-                        "ids": r["ids"],
-                        "n": np.frombuffer(r["a"][: 8 * size], "<i8"),
-                        "total": np.frombuffer(r["a"][8 * size :], "<f8").copy(),
-                        "local": np.frombuffer(r["b"], "<u8,<u4,<u4,<f2"),
-                        "hot": [],
-                    }
-                elif r["kind"] == 1:
-                    held["total"][np.frombuffer(r["a"], "<u2")] += np.frombuffer(r["b"], "<f4")
+                    held = {"ids": r["ids"], "head": r["a"], _WORDS: [], _BIGRAMS: []}
                 else:
-                    held["hot"].append((np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<f8")))
+                    held[r["kind"]].append(r["a"])
         if held:
             yield finish()
 
     dealt = docs.select(F.col(doc_id), F.col(text)).mapInArrow(deal, _DEALT.format(kind=kind))
-    joined = dealt.groupBy("part").applyInArrow(join, f"batch bigint, kind int, a binary, b binary, ids array<{kind}>")
     return (
-        joined.repartition("batch")
-        .sortWithinPartitions("batch", "kind", "a")
-        .mapInArrow(combine, f"doc_id {kind}, n_words bigint, log_score double, score double")
+        dealt.groupBy("part")
+        .applyInArrow(count, _DEALT.format(kind=kind))
+        .repartition("batch")
+        .sortWithinPartitions("batch", "kind", "part")
+        .mapInArrow(combine, f"doc_id {kind}, n_words bigint, log_counts double, n_missing bigint")
     )
 
 
 def score_by_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document by the counts of all others."""
-    return score(docs, word_counts(docs, text), doc_id, text)
+    """(doc_id, n_words, log_score, score) of every document by the counts of all others."""
+    found = stored(counted(docs, doc_id, text), "lm-counts")
+    n_all = found.agg(F.sum("n_words")).first()[0] or 0
+    others = F.greatest(F.lit(n_all) - F.col("n_words"), F.lit(1)).cast("double")
+    log_score = F.col("log_counts") - F.col("n_missing") * F.log(others)
+    return found.select(
+        "doc_id",
+        "n_words",
+        log_score.alias("log_score"),
+        F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("score"),
+    )
