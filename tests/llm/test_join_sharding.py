@@ -180,6 +180,32 @@ def test_lexicon_counts_documents(spark):
     assert has("mid") and not has("common") and not has("rare7")
 
 
+def test_copies_do_not_push_their_terms_out_of_the_lexicon(spark):
+    base = " ".join(f"copied{k}" for k in range(300))
+    rows = [(k, base, *[None] * 9) for k in range(60)]
+    rows += [(100 + k, " ".join(f"own{k}x{j}" for j in range(300)), *[None] * 9) for k in range(120)]
+    inside = imatch.lexicon(frame(spark, rows))
+    slots = imatch.term_slots(imatch.terms(base))
+    assert (inside[slots >> 3] >> (7 - (slots & 7)) & 1).all()
+    assert imatch.distinct_texts(frame(spark, rows)).count() == 121
+    near = pandas(imatch.edited_fingerprints(frame(spark, rows), inside))
+    last = next(r for r in near if r["doc_id"] == 0)
+    assert last["near_edited"] > last["near_next"]
+
+
+def test_texts_outside_the_lexicon_share_subsets_with_their_edited_texts():
+    every, near = 30, Counter()
+    for n in range(every):
+        a, b = " ".join(f"a{n}x{k}" for k in range(400)), " ".join(f"b{n}x{k}" for k in range(400))
+        inside = __import__("numpy").zeros((1 << imatch.TERM_BITS) // 8, "uint8")
+        for slot in imatch.term_slots(imatch.terms(b)):
+            inside[slot >> 3] |= 128 >> (slot & 7)
+        own, edited, other = (imatch.fingerprint(imatch.terms(t), inside) for t in (a, imatch.edited_text(a, b), b))
+        near["edited"] += imatch.likeness(own, edited) / every
+        near["next"] += imatch.likeness(own, other) / every
+    assert near["edited"] > 0.01 and near["next"] < 0.002
+
+
 def test_likeness_grades_shared_parts():
     every = (255 * __import__("numpy").ones((1 << imatch.TERM_BITS) // 8)).astype("uint8")
     a, b = prose(11, 400), prose(12, 400)

@@ -2,15 +2,18 @@
 
 The lexicon holds the terms whose document frequency lies in a band: neither found nearly
 everywhere nor nearly nowhere. Terms are known by 22 bits of their hash, so the lexicon is a bit set
-of half a megabyte at any corpus size; the frequencies are counted over all documents. A
+of half a megabyte at any corpus size; the frequencies are counted over distinct texts, so copies
+of a text do not move its terms out of the band. A
 fingerprint has one hash per lexicon subset, of the sorted distinct terms of the text in that
-subset. The subsets are drawn at random from the lexicon in five sizes, a quarter to a thousandth of it:
+subset. The subsets are drawn at random in five sizes, a quarter to a thousandth; one in four is drawn
+from all terms, not from the lexicon, so texts outside the lexicon still meet in those:
 large subsets tell apart texts that differ little, small ones still agree where texts share a
 part. The likeness of two fingerprints is the share of equal hashes among the subsets in
 which either text has terms.
 
-Defined cases: a NULL text counts as empty; a text without a term in the lexicon is hashed over all
-its terms, one without words has the fingerprint of the empty set and is like another of its kind;
+Defined cases: a NULL text counts as empty; a text without a term in the lexicon has hashes in the
+subsets of all terms only; a text without words, or with none in any subset, has the fingerprint of the
+empty set and is like another of its kind;
 equal ids are ordered by text; NULL ids come last; a single document is its own next; an empty
 table gives an empty result; extra columns are ignored.
 """
@@ -33,6 +36,10 @@ TERM_BITS = 22
 SLICE_BITS = 12
 #: (bits, subsets): so many subsets, each with one in 2**bits of the lexicon's terms.
 SUBSETS = ((2, 4), (4, 8), (6, 16), (8, 16), (10, 16))
+#: Every so many-th subset is drawn from all terms.
+FROM_ALL = 4
+#: Repeated texts up to which their digests are broadcast.
+_FEW_REPEATED = 1 << 16
 #: Shares of the documents between which a term's frequency lies.
 LEAST_SHARE, MOST_SHARE = 1e-4, 0.1
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -49,9 +56,23 @@ def term_slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every text once. Only texts that repeat are shuffled, and one of each per task."""
+    digested = docs.select(F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("_digest", F.md5(text))
+    repeated = stored(
+        digested.groupBy("_digest").count().where("count > 1").select("_digest", F.lit(True).alias("_again")),
+        "imatch-repeated",
+    )
+    few = repeated.count() <= _FEW_REPEATED
+    marked = digested.join(F.broadcast(repeated) if few else repeated, "_digest", "left")
+    once = marked.where(F.col("_again").isNull()).select(text)
+    return once.unionByName(marked.where("_again").groupBy("_digest").agg(F.first(text).alias(text)).select(text))
+
+
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE, text: str = "text") -> np.ndarray:
     """One bit per term slot, set where the document frequency lies in the band."""
     small_batches(docs.sparkSession)
+    docs = distinct_texts(docs, text)
     documents = docs.count()
     width = 1 << SLICE_BITS
 
@@ -95,17 +116,15 @@ def fingerprint(found: np.ndarray, inside: np.ndarray) -> str:
     from xxhash import xxh3_64_intdigest
 
     slots = term_slots(found)
-    kept = found[(inside[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1]
-    if len(kept) == 0:
-        kept = found
-    mixed = (kept ^ (kept >> np.uint64(31))) * _SEED
+    within = (inside[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+    mixed = (found ^ (found >> np.uint64(31))) * _SEED
     mixed ^= mixed >> np.uint64(29)
     digests = []
     for bits, subsets in SUBSETS:
         drawn = mixed & np.uint64((1 << bits) - 1)
         mixed = mixed >> np.uint64(bits)
         for k in range(subsets):
-            chosen = kept[drawn == k]
+            chosen = found[drawn == k] if k % FROM_ALL == 0 else found[(drawn == k) & within]
             digests.append(f"{xxh3_64_intdigest(chosen.tobytes()) % 0xFFFF + 1:04x}" if len(chosen) else _EMPTY)
     return "".join(digests)
 
