@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fm, imatch, lm, mixing, ngram_join, packing, planes, quality_rules, sharding
+from tidemark.llm import chat, fim, fm, imatch, line_dedup, lm, mixing, ngram_join, packing, planes, quality_rules
+from tidemark.llm import sharding, whitening
 from tidemark.llm.tokens import tokenizer_path
 
 
@@ -76,6 +78,31 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and digests of all documents rearranged for filling in the middle."""
+    made = fim.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the lines that many of them share."""
+    made = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_mixing": (op1_mixing, mixing.MIX_SQL),
     "op2_packing": (op2_packing, None),
@@ -87,4 +114,7 @@ QUERIES = {
     "op8_bit_planes": (op8_bit_planes, None),
     "op9_sharding": (op9_sharding, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op11_fill_in_middle": (op11_fill_in_middle, fim.FIM_SQL),
+    "op12_line_dedup": (op12_line_dedup, line_dedup.LINE_DEDUP_SQL),
+    "op13_whitening": (op13_whitening, None),
 }
