@@ -5,7 +5,7 @@ everything is learnt from passes over the blocks, each of which multiplies the c
 a thin matrix Q and adds up XᵀXQ in Spark. A cycle applies a Chebyshev polynomial of the covariance
 to a block of directions (one pass per degree), which damps the spectrum below the block's least Ritz value;
 then come a QR decomposition and a Rayleigh-Ritz step on the thin matrices. Cycles go on until the
-residuals of all wanted components certify them to double precision.
+residuals of all wanted components certify them to double precision; certified ones are locked.
 
 Vectors are whole numbers ``floor(scale * c) + offset``, so counts, sums and deviations are exact,
 and ``n * x - S`` is centred before anything is rounded. Only matrices of (dimensions x directions),
@@ -39,6 +39,8 @@ _LARGEST = 1 << 40
 _EPS = float(np.finfo(float).eps)
 #: A residual this small against the largest eigenvalue certifies a component.
 CERTIFIED = 64 * _EPS
+#: Largest ratio of what one filter makes of the largest and the least Ritz value.
+GROWTH = 1e8
 #: Residuals stop shrinking at rounding level; they must have come to this at least.
 ACCEPTED = 1e-11
 
@@ -153,21 +155,24 @@ def fit(blocks: DataFrame, dims: int, components: int = COMPONENTS, degree: int
     width = min(dims, max(2 * components, components + 8))
     wanted = min(components, dims)
     q = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((dims, width)))[0]
-    best = np.inf
-    for cycle in range(CYCLES):
-        vq = covariance_times(q)
-        small = q.T @ vq
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        values, turn = values[::-1], turn[:, ::-1]
-        q, vq = q @ turn, vq @ turn
-        # A component without variance needs no certificate.
-        worst = np.linalg.norm(vq - q * values, axis=0)[:wanted].max() / values[0]
+    locked, largest, best = np.zeros((dims, 0)), 0.0, np.inf
+    for _ in range(CYCLES):
+        q, vq, values = _ritz(q, covariance_times(q))
+        largest = max(largest, values[0])
+        residuals = np.linalg.norm(vq - q * values, axis=0)[: wanted - locked.shape[1]] / largest
+        worst = residuals.max()
         if worst <= CERTIFIED or (worst <= ACCEPTED and worst > best / 4):
             break
-        best = min(best, worst)
-        q = np.linalg.qr(_filtered(covariance_times, q, vq, values, degree))[0]
+        # Components certified already leave the block, or the filter would drown the others in them.
+        done = int(np.argmax(residuals > CERTIFIED))
+        best = np.inf if done else min(best, worst)
+        locked = np.concatenate([locked, q[:, :done]], axis=1)
+        q, vq, values = q[:, done:], vq[:, done:], values[done:]
+        q = np.linalg.qr(_filtered(covariance_times, locked, q, vq, values, degree))[0]
     else:
         raise ArithmeticError(f"residual {worst} after {CYCLES} cycles")
+    q = np.linalg.qr(np.concatenate([locked, q], axis=1))[0]
+    q, _, values = _ritz(q, covariance_times(q))
 
     values, vectors = values[:wanted], q[:, :wanted]
     kept = values > dims * 8 * _EPS * values[0]
@@ -177,22 +182,37 @@ def fit(blocks: DataFrame, dims: int, components: int = COMPONENTS, degree: int
     return model
 
 
-def _filtered(times, q: np.ndarray, vq: np.ndarray, values: np.ndarray, degree: int) -> np.ndarray:
+def _ritz(q: np.ndarray, vq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rayleigh-Ritz: the basis turned to its Ritz vectors, the same of ``vq``, and falling Ritz values."""
+    small = q.T @ vq
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    turn = turn[:, ::-1]
+    return q @ turn, vq @ turn, values[::-1]
+
+
+def _filtered(times, locked: np.ndarray, q: np.ndarray, vq: np.ndarray, values: np.ndarray, degree: int) -> np.ndarray:
     """A Chebyshev polynomial of the covariance applied to ``q``, small on [0, least Ritz value].
 
     The recurrence is scaled so that the largest Ritz value maps to 1; ``vq`` saves its first pass.
+    The degree is lowered where the largest value would outgrow the least beyond GROWTH, and
+    locked components are taken out of every step.
     """
+
+    def without_locked(y: np.ndarray) -> np.ndarray:
+        return y - locked @ (locked.T @ y)
+
     low = max(values[-1], _EPS * values[0])
     half = centre = low / 2
     if values[0] <= low * (1 + 1e-12):  # a flat spectrum: every basis of the block will do
-        return vq
+        return without_locked(vq)
+    degree = max(1, min(degree, int(np.log(GROWTH) / np.arccosh((values[0] - centre) / half))))
     sigma = first = half / (values[0] - centre)
-    before, now = q, (vq - centre * q) * (sigma / half)
+    before, now = q, without_locked(vq - centre * q) * (sigma / half)
     for _ in range(degree - 1):
         after = 1 / (2 / first - sigma)
-        before, now = now, (times(now) - centre * now) * (2 * after / half) - before * (sigma * after)
+        before, now = now, without_locked(times(now) - centre * now) * (2 * after / half) - before * (sigma * after)
         sigma = after
-    return now
+    return without_locked(now)
 
 
 def _identity_error(blocks: DataFrame, model: Whitening, dims: int) -> float:
