@@ -1,16 +1,17 @@
 """Ordered folds per key, for rules that depend on the order of arrival.
 
 Such a fold cannot be a commutative aggregate. Every key is cut into segments of bounded size
-which are folded side by side; most keys have one. Each segment starts from a guess of the state
-handed to it, and is folded again only when the exit state of the segment before it turns out
-different from the guess. The rounds stop when nothing changes, and then every segment has
-started from the true state.
+which are folded side by side; most keys have one, and those are folded in one pass without
+anything else. For a key of several segments the state each one starts from has to be known:
+a rule set with a closed form for it passes ``starts``. Without one, each segment starts from a guess of the
+state handed to it and is folded again only when the segment before it ends differently, until
+nothing changes; then every segment has started from the true state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,26 @@ SEGMENT_ROWS = 2048
 Transition = Callable[[Column, Column], Column]
 
 
-@dataclass
+# (rows of keys with several segments: keys, order, fields, ``_segment``; init) -> keys, _segment, state
+Starts = Callable[[DataFrame, DataFrame], DataFrame]
+
+
 class Fold:
-    """``outcomes``: one row per input row. ``states``: the last state per key."""
+    """``outcomes``: one row per input row. ``states``: the last state per key.
+
+    Either is planned when it is first asked for.
+    """
+
+    def __init__(self, outcomes: Callable[[], DataFrame], states: Callable[[], DataFrame]):
+        self._outcomes, self._states = outcomes, states
 
-    outcomes: DataFrame
-    states: DataFrame
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return self._outcomes()
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return self._states()
 
 
 def segmented_fold(
@@ -41,6 +56,7 @@ def segmented_fold(
     outcome_type: str,
     transition: Transition,
     segment_rows: int | None = None,
+    starts: Starts | None = None,
 ) -> Fold:
     """Fold ``rows`` of each key in ``order``.
 
@@ -52,8 +68,7 @@ def segmented_fold(
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *fields)))
     init = init.select(*keys, F.col("state").cast(state_type).alias("state"))
     checkpoint_ready(rows.sparkSession)
-    celled = rows.withColumn("_cell", F.expr(f"`{order}` div {size}"))
-    batches = _settle(celled, keys, packed, segment_cells(celled, keys, size), init, state_type, transition)
+    batches = _batches(rows, keys, order, fields, size, packed, init, state_type, transition, starts)
 
     # A row's outcome enters the trace one step later: what a step computes stays small (Spark
     # copies it), and the growing trace is only ever appended to.
@@ -77,18 +92,48 @@ def segmented_fold(
             traced(acc).alias("trace"),
         )
 
-    def finish(acc: Column) -> Column:
-        return F.struct(acc["step"]["state"].alias("state"), traced(acc).alias("trace"))
+    def outcomes() -> DataFrame:
+        trace = F.aggregate("rows", start, advance, traced)
+        return batches.select(*keys, F.explode(trace).alias("_t")).select(
+            *keys, F.col("_t._order").alias(order), "_t.outcome.*"
+        )
 
-    folded = batches.select(
-        *keys, "_segment", F.aggregate("rows", start, advance, finish).alias("_f")
-    )
-    outcomes = folded.select(*keys, F.explode("_f.trace").alias("_t")).select(
-        *keys, F.col("_t._order").alias(order), "_t.outcome.*"
-    )
-    last = folded.groupBy(*keys).agg(F.max_by("_f.state", "_segment").alias("state"))
-    untouched = init.join(rows.select(*keys).distinct(), keys, "left_anti")
-    return Fold(outcomes, last.unionByName(untouched).where(F.col("state").isNotNull()))
+    def states() -> DataFrame:
+        ended = batches.select(*keys, "_segment", _exit(transition, state_type).alias("state"))
+        last = ended.groupBy(*keys).agg(F.max_by("state", "_segment").alias("state"))
+        untouched = init.join(rows.select(*keys).distinct(), keys, "left_anti")
+        return last.unionByName(untouched).where(F.col("state").isNotNull())
+
+    return Fold(outcomes, states)
+
+
+def _exit(transition: Transition, state_type: str) -> Column:
+    return F.aggregate("rows", F.col("state"), lambda s, r: transition(s, r)["state"].cast(state_type))
+
+
+def _batches(rows, keys, order, fields, size, packed, init, state_type, transition, starts) -> DataFrame:
+    """Segments with the true state each one starts from."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Most tables have none or few; their rows alone are cut and kept.
+    split = counts.where(F.col("_n") > 2 * size).select(*keys).checkpoint()
+    first = F.lit(0).cast("bigint")
+    if split.isEmpty():
+        whole = rows.groupBy(*keys).agg(packed.alias("rows"))
+        return whole.join(init, keys, "left").select(*keys, first.alias("_segment"), "rows", "state")
+    single = rows.join(split, keys, "left_anti").groupBy(*keys).agg(packed.alias("rows"))
+    single = single.join(init, keys, "left").select(*keys, first.alias("_segment"), "rows", "state")
+    celled = rows.join(split, keys, "left_semi").withColumn("_cell", F.expr(f"`{order}` div {size}"))
+    cut = join_on_keys(celled, segment_cells(celled, keys, size), [*keys, "_cell"]).drop("_cell")
+    cut = cut.select(*keys, order, *fields, "_segment").checkpoint()
+    at = [*keys, "_segment"]
+    segments = cut.groupBy(*at).agg(packed.alias("rows"))
+    mine = init.join(split, keys, "left_semi")
+    if starts is None:
+        settled = _settle(segments.checkpoint(), keys, mine, state_type, transition)
+    else:
+        settled = starts(cut, mine)
+    long = join_on_keys(segments, settled.select(*at, F.col("state").cast(state_type).alias("state")), at)
+    return single.unionByName(long)
 
 
 def segment_cells(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -103,29 +148,17 @@ def segment_cells(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     )
 
 
-def _settle(rows, keys, packed, cells, init, state_type, transition) -> DataFrame:
-    """Segments with the true state each one starts from."""
+def _settle(segments, keys, init, state_type, transition) -> DataFrame:
+    """The true state of each segment, from guesses."""
     at = [*keys, "_segment"]
-    segments = (
-        join_on_keys(rows, cells, [*keys, "_cell"])
-        .groupBy(*at)
-        .agg(packed.alias("rows"))
-        .checkpoint()
-    )
     starts = segments.select(*at).join(
         init.withColumn("_segment", F.lit(0).cast("bigint")), at, "left"
     )
 
     def exits_of(frame: DataFrame) -> DataFrame:
-        end = F.aggregate(
-            "rows", F.col("state"), lambda s, r: transition(s, r)["state"].cast(state_type)
-        )
-        return frame.select(*at, "state", end.alias("exit"))
+        return frame.select(*at, "state", _exit(transition, state_type).alias("exit"))
 
-    # A key of a single segment starts from its true state and is not folded here.
-    split = segments.where(F.col("_segment") > 0).select(*keys).distinct()
-    long = segments.join(split, keys, "left_semi")
-    done = exits_of(long.join(starts, at)).checkpoint()
+    done = exits_of(segments.join(starts, at)).checkpoint()
     while True:
         # A cell adds at most one segment's worth of rows, so segment numbers never skip.
         handed = done.select(
@@ -138,9 +171,6 @@ def _settle(rows, keys, packed, cells, init, state_type, transition) -> DataFram
             .checkpoint()
         )
         if stale.isEmpty():
-            break
-        again = exits_of(long.join(stale, at))
+            return done.select(*at, "state")
+        again = exits_of(segments.join(stale, at))
         done = done.join(stale.select(*at), at, "left_anti").unionByName(again).checkpoint()
-    settled = done.select(*at, "state")
-    single = starts.join(split, keys, "left_anti").select(*at, "state")
-    return join_on_keys(segments, settled.unionByName(single), at)

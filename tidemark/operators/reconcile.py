@@ -333,4 +333,4 @@ def cas_heads(
         .select(*keys, F.coalesce("_last", "_first").alias("state"))
         .where(F.col("state").isNotNull())
     )
-    return Fold(outcomes, states)
+    return Fold(lambda: outcomes, lambda: states)

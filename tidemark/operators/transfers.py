@@ -3,20 +3,26 @@
 Events of one ``(peer, content_id)``, in ``event_id`` order (unique among the peers of an object): ``BEGIN`` (``request_id``,
 ``size``), ``APPEND`` (``start_offset``, ``len``), ``COMPLETE`` and ``CANCEL``. Only received
 sizes are tracked, never bytes.
+
+A transfer of any number of events is replayed without stepping through it. ``CANCEL`` cuts it into
+sessions, the first valid ``BEGIN`` of a session fixes its size, and then an ``APPEND`` counts
+only on the offset it starts at, so the accepted ones are a chain of pointers (``chain``). That
+gives the state at every segment's start, and the segments are folded side by side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import let
+from tidemark.operators.chain import last_marked, next_match, reachable
 from tidemark.operators.fold import Fold, segmented_fold
 from tidemark.operators.manifests import NIL_ID
 
 # Fixed value: largest object of an exchange, in bytes.
 MAXIMUM_SIZE = 64 * 1024 * 1024
-STATE_TYPE = "struct<open:boolean,size:bigint,received:bigint,present:boolean,requested:boolean>"
+STATE_TYPE = "struct<open:boolean,size:bigint,received:bigint,present:boolean,requested:boolean,stored_at:bigint>"
 KEYS = ["peer", "content_id"]
 FIELDS = ["op", "request_id", "size", "start_offset", "len"]
 
@@ -56,6 +62,24 @@ def transfer_status(state: Column, e: Column) -> Column:
     )
 
 
+def _stored(at: Column | None = None) -> Column:
+    """The state of every peer's transfer of an object that is there."""
+    nothing = F.lit(None).cast("bigint")
+    return F.struct(
+        F.lit(False).alias("open"),
+        nothing.alias("size"),
+        nothing.alias("received"),
+        F.lit(True).alias("present"),
+        F.lit(False).alias("requested"),
+        (nothing if at is None else at).alias("stored_at"),
+    )
+
+
+def _valid_begin() -> Column:
+    size = F.col("size")
+    return F.col("request_id").isNotNull() & (F.col("request_id") != NIL_ID) & size.between(1, MAXIMUM_SIZE)
+
+
 def _transition(state: Column, e: Column) -> Column:
     def after(status: Column) -> Column:
         closed = status.isin("STORED", "CANCELLED")
@@ -65,14 +89,21 @@ def _transition(state: Column, e: Column) -> Column:
             .when(status == "ACCEPTED", state["received"] + e["len"])
             .when(~closed, state["received"])
         )
+        stored_at = F.when(status == "STORED", e["_order"]).otherwise(state["stored_at"])
         moved = F.struct(
             ((is_open | (status == "START")) & ~closed).alias("open"),
             F.when(status == "START", e["size"]).when(~closed, state["size"]).alias("size"),
             received.alias("received"),
             (F.coalesce(state["present"], F.lit(False)) | (status == "STORED")).alias("present"),
             (F.coalesce(state["requested"], F.lit(False)) & (status != "STORED")).alias("requested"),
+            stored_at.cast("bigint").alias("stored_at"),
+        )
+        seen = F.struct(
+            e["op"].alias("op"),
+            status.alias("status"),
+            received.alias("received"),
+            transfer_status(_stored(), e).alias("late_status"),
         )
-        seen = F.struct(e["op"].alias("op"), status.alias("status"), received.alias("received"))
         return F.struct(moved.alias("state"), seen.alias("outcome"))
 
     return let(transfer_status(state, e), after)
@@ -110,6 +141,7 @@ def replay_transfers(
         F.col("_received").alias("received"),
         F.coalesce("present", F.lit(False)).alias("present"),
         F.coalesce("requested", F.lit(False)).alias("requested"),
+        F.lit(None).cast("bigint").alias("stored_at"),
     )
 
     fold = segmented_fold(
@@ -119,46 +151,128 @@ def replay_transfers(
         FIELDS,
         init.select(*KEYS, state.alias("state")),
         STATE_TYPE,
-        "struct<op:string,status:string,received:bigint>",
+        "struct<op:string,status:string,received:bigint,late_status:string>",
         _transition,
         segment_rows,
+        lambda rows, first: segment_starts(rows, first)[0],
     )
     return _across_peers(fold, events)
 
 
-def _across_peers(fold: Fold, events: DataFrame) -> Fold:
-    """An object that one peer has stored is there for all peers from then on.
+def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
+    """(keys, ``_segment``, ``state``) at the start of every segment, and the rounds it took.
 
-    Up to the first ``STORED`` of an object its peers do not affect each other. Behind it no
-    transfer of the object is open and none can start, so an event's status follows from the
-    event alone, and the state of every peer is the same.
+    The rounds are about log2 of the longest run of accepted appends of one session.
     """
-    outcomes = fold.outcomes.checkpoint()
-    stored = outcomes.where("status = 'STORED'").groupBy("content_id").agg(F.min("event_id").alias("_at"))
-    early = (
-        outcomes.join(stored, "content_id", "left")
-        .where(F.col("_at").isNull() | (F.col("event_id") <= F.col("_at")))
-        .select(*outcomes.columns)
+    at = [*KEYS, "_session"]
+    rows = last_marked(rows, KEYS, "event_id", F.col("op") == "CANCEL", F.col("event_id"), "_session")
+    rows = rows.withColumn("_session", F.coalesce("_session", F.lit(-1))).checkpoint()
+    # What is open in a session, and from which event on.
+    begun = rows.where((F.col("op") == "BEGIN") & _valid_begin()).groupBy(*at).agg(
+        F.min("event_id").alias("_from"), F.min_by("size", "event_id").alias("_size")
     )
-    nothing = F.lit(None).cast("bigint")
-    there = F.struct(
-        F.lit(False).alias("open"),
-        nothing.alias("size"),
-        nothing.alias("received"),
-        F.lit(True).alias("present"),
-        F.lit(False).alias("requested"),
+    may_start = init.where(F.col("state.requested") & ~F.col("state.present")).select(*KEYS)
+    carried = init.where("state.open").select(
+        *KEYS, F.lit(-1).cast("bigint").alias("_session"), F.lit(-1).cast("bigint").alias("_from"),
+        F.col("state.size").alias("_size"), F.col("state.received").alias("_value"),
     )
-    late = events.join(stored, "content_id").where(F.col("event_id") > F.col("_at")).select(
-        *KEYS,
-        "event_id",
-        "op",
-        transfer_status(there, F.struct(*FIELDS)).alias("status"),
-        nothing.alias("received"),
+    opened = (
+        begun.join(may_start, KEYS, "left_semi")
+        .join(carried.select(*at), at, "left_anti")
+        .withColumn("_value", F.lit(0).cast("bigint"))
+        .unionByName(carried)
+        .checkpoint()
+    )
+    able = (
+        rows.where((F.col("op") == "APPEND") & (F.col("len") > 0))
+        .join(opened.drop("_value"), at)
+        .where((F.col("event_id") > F.col("_from")) & (F.col("start_offset") + F.col("len") <= F.col("_size")))
+        .select(*at, "event_id", "_segment", "_size", "start_offset", (F.col("start_offset") + F.col("len")).alias("_value"))
+        .checkpoint()
     )
-    states = fold.states.join(stored, "content_id", "left").select(
-        *KEYS, F.when(F.col("_at").isNull(), F.col("state")).otherwise(there.cast(STATE_TYPE)).alias("state")
+    starts = opened.select(*at, F.col("_from").alias("event_id"), "_value")
+    nodes = able.select(*at, "event_id", "_value").unionByName(starts)
+    wanted = able.select(*at, "event_id", F.col("start_offset").alias("_value"))
+    pointers = next_match(nodes, wanted, [*at, "_value"], "event_id", "to")
+    reached, rounds = reachable(
+        pointers.select(*at, F.col("event_id").alias("at"), "to"), starts.select(*at, F.col("event_id").alias("at")), at
+    )
+    accepted = able.join(reached.withColumnRenamed("at", "event_id").distinct(), [*at, "event_id"])
+
+    # The first COMPLETE behind the event that fills a transfer stores it.
+    full = (
+        accepted.select(*at, "event_id", "_size", "_value")
+        .unionByName(opened.select(*at, F.col("_from").alias("event_id"), "_size", "_value"))
+        .where(F.col("_value") == F.col("_size"))
+        .select(*at, F.col("event_id").alias("_full"))
+    )
+    stored = (
+        rows.where("op = 'COMPLETE'").join(full, at).where(F.col("event_id") > F.col("_full"))
+        .groupBy(*KEYS).agg(F.min("event_id").alias("_stored_at"))
+    )
+
+    # The state behind each segment: windows span the segments of a key.
+    before = Window.partitionBy(*KEYS).orderBy("_segment")
+    ends = rows.groupBy(*KEYS, "_segment").agg(
+        F.max("event_id").alias("_end"), F.max(F.when(F.col("op") == "CANCEL", F.col("event_id"))).alias("_cancel")
     )
-    return Fold(early.unionByName(late.select(*early.columns)), states)
+    ends = ends.select(
+        *KEYS, "_segment", "_end", F.coalesce(F.max("_cancel").over(before), F.lit(-1)).alias("_session")
+    )
+    marks = accepted.groupBy(*at, "_segment").agg(F.max("_value").alias("_value"))
+    both = ends.withColumn("_value", F.lit(None).cast("bigint")).unionByName(
+        marks.withColumn("_end", F.lit(None).cast("bigint"))
+    )
+    so_far = F.max("_value").over(Window.partitionBy(*at).orderBy("_segment"))
+    held = both.withColumn("_received", so_far).where(F.col("_end").isNotNull()).drop("_value")
+    held = held.join(opened, at, "left").join(stored, KEYS, "left").join(init, KEYS)
+    is_open = F.coalesce(F.col("_from") <= F.col("_end"), F.lit(False))
+    state = F.when(F.col("_stored_at") <= F.col("_end"), _stored(F.col("_stored_at")).cast(STATE_TYPE)).otherwise(
+        F.struct(
+            is_open.alias("open"),
+            F.when(is_open, F.col("_size")).alias("size"),
+            F.when(is_open, F.coalesce("_received", "_value")).alias("received"),
+            F.col("state.present").alias("present"),
+            F.col("state.requested").alias("requested"),
+            F.lit(None).cast("bigint").alias("stored_at"),
+        ).cast(STATE_TYPE)
+    )
+    later = held.select(*KEYS, (F.col("_segment") + 1).alias("_segment"), state.alias("state"))
+    return init.select(*KEYS, F.lit(0).cast("bigint").alias("_segment"), "state").unionByName(later), rounds
+
+
+def _across_peers(fold: Fold, events: DataFrame) -> Fold:
+    """An object that one peer has stored is there for all peers from then on.
+
+    Up to the first ``STORED`` of an object its peers do not affect each other. Behind it no
+    transfer of the object is open and none can start, so an event's status follows from the
+    event alone, and the state of every peer is the same. Objects of one peer are left as they are.
+    """
+    shared = events.groupBy("content_id").agg((F.min("peer") != F.max("peer")).alias("_shared")).where("_shared")
+
+    def stored() -> DataFrame:
+        done = fold.states.where(F.col("state.stored_at").isNotNull()).groupBy("content_id").agg(
+            F.min("state.stored_at").alias("_at")
+        )
+        return done.join(shared.select("content_id"), "content_id", "left_semi")
+
+    def outcomes() -> DataFrame:
+        late = F.coalesce(F.col("event_id") > F.col("_at"), F.lit(False))
+        return fold.outcomes.join(stored(), "content_id", "left").select(
+            *KEYS,
+            "event_id",
+            "op",
+            F.when(late, F.col("late_status")).otherwise(F.col("status")).alias("status"),
+            F.when(~late, F.col("received")).alias("received"),
+        )
+
+    def states() -> DataFrame:
+        there = _stored(F.col("_at")).cast(STATE_TYPE)
+        return fold.states.join(stored(), "content_id", "left").select(
+            *KEYS, F.when(F.col("_at").isNull(), F.col("state")).otherwise(there).alias("state")
+        )
+
+    return Fold(outcomes, states)
 
 
 def transfer_progress(states: DataFrame) -> DataFrame:

@@ -249,6 +249,47 @@ def transfer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def one_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the receipts of a single transfer.
+
+    Every 500 events begin anew; every other such block ends with a cancellation. Of the others
+    one in sixteen states its true size, so that the transfer is stored there.
+    """
+    e = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.expr("event_id div 500").alias("block"),
+        (F.floor(F.col("value") * 10).cast("bigint") + 1).alias("len"),
+    )
+    good = F.col("event_id") % 9 != 0
+    counted = e.withColumn("n", F.when(good, F.col("len")).otherwise(0))
+    inside = Window.partitionBy("block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    nothing, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def rows(frame, at, op, request=no_text, size=nothing, offset=nothing, length=nothing):
+        return frame.select(
+            F.lit("p").alias("peer"),
+            F.lit("x").alias("content_id"),
+            at.alias("event_id"),
+            op.alias("op"),
+            request.alias("request_id"),
+            size.alias("size"),
+            offset.alias("start_offset"),
+            length.alias("len"),
+        )
+
+    before = counted.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    offset = F.when(good, F.col("before")).otherwise(0)
+    size = F.sum("n") + F.when(F.first("block") % 16 == 15, 0).otherwise(5)
+    totals = counted.groupBy("block").agg(size.alias("size"))
+    begin = F.lit("BEGIN"), F.repeat(F.lit("7"), F.lit(32)), F.col("size")
+    end = F.when(F.col("block") % 2 == 0, "CANCEL").otherwise("COMPLETE")
+    return (
+        rows(before, F.col("event_id") * 3 + 1, F.lit("APPEND"), offset=offset, length=F.col("len"))
+        .unionByName(rows(totals, F.col("block") * 1500, *begin))
+        .unionByName(rows(totals, F.col("block") * 1500 + 1499, end))
+    )
+
+
 def hex_id(column: str):
     """64-hex identifier of a numeric key, equal to the SQL side's ``sha256``."""
     return F.sha2(F.col(column).cast("string").cast("binary"), 256)

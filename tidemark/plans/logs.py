@@ -560,6 +560,26 @@ def transfer_progress(spark, sf_dir):
     return tr.transfer_progress(replayed_transfers(spark, sf_dir).states)
 
 
+def transfer_hot_key(spark, sf_dir):
+    """Statuses when all events are of the same transfer."""
+    events = fx.one_transfer(spark, sf_dir)
+    none = events.where("false").select("content_id", F.lit(True).alias("available"))
+    return tr.replay_transfers(events, events.select("peer", "content_id").distinct(), none).outcomes
+
+
+TRANSFER_HOT_KEY = f"""WITH RECURSIVE ev AS (
+  SELECT event_id, event_id // 500 AS block, CAST(floor(value * 10) AS BIGINT) + 1 AS len FROM events),
+counted AS (SELECT *, CASE WHEN event_id % 9 <> 0 THEN len ELSE 0 END AS n FROM ev),
+sized AS (SELECT block, CAST(sum(n) AS BIGINT) + CASE WHEN block % 16 = 15 THEN 0 ELSE 5 END AS size FROM counted GROUP BY block),
+totals AS (SELECT 1 AS object_no),
+ops AS (
+  SELECT 1 AS object_no, event_id * 3 + 1 AS event_id, 'APPEND' AS op, NULL AS request_id, NULL AS size,
+         CAST(CASE WHEN event_id % 9 <> 0 THEN coalesce(sum(n) OVER (PARTITION BY block ORDER BY event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END AS BIGINT) AS start_offset, len FROM counted
+  UNION ALL SELECT 1, block * 1500, 'BEGIN', repeat('7', 32), size, NULL, NULL FROM sized
+  UNION ALL SELECT 1, block * 1500 + 1499, CASE WHEN block % 2 = 0 THEN 'CANCEL' ELSE 'COMPLETE' END, NULL, NULL, NULL, NULL FROM sized),
+{sql.TRANSFER_FOLD.replace("numbered AS (", "numbered AS MATERIALIZED (").replace("(object_no % 17 = 5 AND object_no IN (SELECT p_partkey FROM part))", "false")}
+SELECT 'p' AS peer, 'x' AS content_id, event_id, op, status, received FROM fold WHERE rn > 0"""
 TRANSFER_REPLAY = f"""WITH RECURSIVE {sql.TRANSFERS}
 SELECT 'p' || (object_no % 3) AS peer, CAST(object_no AS VARCHAR) AS content_id, event_id, op, status, received
 FROM fold WHERE rn > 0"""
@@ -842,6 +862,7 @@ QUERIES = {
     "request_clear": (request_clear, REQUEST_CLEAR),
     "request_batches": (request_batches, REQUEST_BATCHES),
     "transfer_replay": (transfer_replay, TRANSFER_REPLAY),
+    "transfer_hot_key": (transfer_hot_key, TRANSFER_HOT_KEY),
     "transfer_peers": (transfer_peers, TRANSFER_PEERS),
     "transfer_progress": (transfer_progress, TRANSFER_PROGRESS),
     "pull_report": (pull_report, PULL_REPORT),

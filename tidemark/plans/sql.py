@@ -95,7 +95,7 @@ PATHS = """paths AS (
            ELSE regexp_replace(url, '^https?://', '') END AS path
   FROM pages)"""
 
-TRANSFERS = """ev AS (
+TRANSFER_OPS = """ev AS (
   SELECT event_id, user_id AS object_no, CAST(floor(value * 10) AS BIGINT) + 1 AS len FROM events),
 offs AS (
   SELECT *, CASE WHEN event_id % 9 <> 0 THEN coalesce(sum(CASE WHEN event_id % 9 <> 0 THEN len ELSE 0 END) OVER (
@@ -114,8 +114,10 @@ ops AS (
          size, NULL, NULL FROM totals
   UNION ALL
   SELECT object_no, last * 2 + 2, CASE WHEN object_no % 10 = 4 THEN 'CANCEL' ELSE 'COMPLETE' END,
-         NULL, NULL, NULL, NULL FROM totals),
-numbered AS (
+         NULL, NULL, NULL, NULL FROM totals)"""
+
+# Steps through the rows of ``ops``, with ``totals`` naming the transfers.
+TRANSFER_FOLD = """numbered AS (
   SELECT *, 'p' || (object_no % 3) AS peer, row_number() OVER (PARTITION BY object_no ORDER BY event_id) AS rn
   FROM ops),
 fold AS (
@@ -152,6 +154,8 @@ fold AS (
                 ELSE CASE WHEN f.is_open THEN 'CANCELLED' ELSE 'NOTHING_TO_CANCEL' END END AS st
     FROM fold f JOIN numbered n ON n.object_no = f.object_no AND n.rn = f.rn + 1))"""
 
+TRANSFERS = f"{TRANSFER_OPS},\n{TRANSFER_FOLD}"
+
 
 def ahead(a: str, b: str) -> str:
     """``a`` holds a counter above the one in ``b``."""
