@@ -153,3 +153,14 @@ def test_files_hold_the_ids_in_order(spark):
         [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found], key=repr
     )
     assert planes.encode_and_read(frame(spark, []), path).collect() == []
+
+
+def test_parts_kept_by_generations_give_the_same_ids():
+    small, whole = TextEncoder(tokenizer_path("word_bpe_49k.json"), 5_000), TextEncoder(tokenizer_path("word_bpe_49k.json"))
+    flips = 0
+    for k in range(30):
+        texts = [prose(k % 7, 300), prose(100 + k, 40), prose(k % 7, 300) + "!?", ""]
+        before = small.old
+        assert [a.tolist() for a in small.encode(texts)] == [a.tolist() for a in whole.encode(texts)]
+        flips += small.old is not before
+    assert flips > 5 and len(small.kept) + len(small.old) < len(whole.kept)

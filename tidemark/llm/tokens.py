@@ -14,8 +14,10 @@ import re
 
 import numpy as np
 
-#: Parts kept per Python worker; further parts are encoded anew in every batch.
-KEPT_PARTS = 150_000
+#: Bytes of parts, with their ids, in each of the two generations a Python worker keeps.
+KEPT_BYTES = 128 << 20
+#: What a kept part costs besides its own bytes: two objects and a place in a dictionary.
+_OVERHEAD = 180
 _JOINED = 200
 _SIGNS = ".,;:!?%&$#*"
 # Letters, digits and visible ASCII: never white space, never joined to what stands before them.
@@ -26,14 +28,17 @@ _STARTS = re.compile(r"[!-~\w]")
 class TextEncoder:
     """``encode(texts)`` gives an array of uint32 ids per text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # Their strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
+        self.kept_bytes, self.size = kept_bytes, 0
+        # ``kept`` grows; once it is full it becomes ``old``, and what is met again comes back from there.
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         marks = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -126,16 +131,22 @@ class TextEncoder:
                     new.add(parts[0])
             wanted |= new
             split.append(parts)
-        fresh = self._encode_parts(list(wanted))
-        self.kept.update(fresh)
+        if self.old:
+            again = {p: self.old[p] for p in wanted if p in self.old}
+            self._keep(again)
+            wanted.difference_update(again)
+        self._keep(self._encode_parts(list(wanted)))
         heads = self._direct([parts[0] for parts in split])
         get = self.kept.__getitem__
         ids = [np.frombuffer(head + b"".join(map(get, parts[1:])), "<u4") for head, parts in zip(heads, split)]
-        if len(self.kept) > KEPT_PARTS:
-            for part in fresh:
-                del self.kept[part]
+        if self.size > self.kept_bytes:
+            self.old, self.kept, self.size = self.kept, {}, 0
         return ids
 
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.kept.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + _OVERHEAD * len(found)
+
 
 @functools.cache
 def encoder(path: str) -> TextEncoder:
