@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import transfers as tr
-from tidemark.session import checkpoint_ready
 
 EVENT = "peer string, content_id string, event_id bigint, op string, request_id string, size bigint, start_offset bigint, len bigint"
 KEYS = [(p, c) for p in "pq" for c in "xyz"]
@@ -111,7 +110,6 @@ def test_rounds_are_logarithmic(spark):
     cut = spark.createDataFrame([(*r, r[2] * segments // (n + 1)) for r in rows], EVENT + ", _segment bigint")
     state = F.expr("named_struct('open', false, 'size', null, 'received', null, 'present', false, 'requested', true, 'stored_at', null)")
     init = spark.createDataFrame([("p", "x")], "peer string, content_id string").withColumn("state", state.cast(tr.STATE_TYPE))
-    checkpoint_ready(spark)
     starts, rounds = tr.segment_starts(cut, init)
     got = {r._segment: r.state.received for r in starts.collect()}
     first = {k: min(r[2] for r in rows if r[2] * segments // (n + 1) == k) for k in range(1, segments)}

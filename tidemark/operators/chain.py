@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import join_on_keys
-from tidemark.session import checkpoint_ready
+from tidemark.session import discard, materialized
 
 CELL_ROWS = 1 << 16
 
@@ -50,21 +50,21 @@ def reachable(pointers: DataFrame, starts: DataFrame, keys: list[str]) -> tuple[
 
     ``pointers``: keys, ``at``, ``to``. After round r everything within 2**r steps is reached.
     """
-    reached = starts.select(*keys, "at").checkpoint()
-    jumps = pointers.where(F.col("to").isNotNull()).select(*keys, "at", "to").checkpoint()
+    reached = materialized(starts.select(*keys, "at"))
+    jumps = materialized(pointers.where(F.col("to").isNotNull()).select(*keys, "at", "to"))
     rounds = 0
-    while True:
+    while not jumps.isEmpty():
         rounds += 1
-        step = join_on_keys(reached, jumps, [*keys, "at"]).select(*keys, F.col("to").alias("at")).checkpoint()
-        if step.isEmpty():
-            return reached, rounds
-        reached = reached.unionByName(step).distinct().checkpoint()
+        step = join_on_keys(reached, jumps, [*keys, "at"]).select(*keys, F.col("to").alias("at"))
+        further = materialized(reached.unionByName(step).distinct())
         onward = jumps.select(*keys, F.col("at").alias("to"), F.col("to").alias("_to"))
-        jumps = (
-            join_on_keys(jumps, onward, [*keys, "to"])
-            .select(*keys, "at", F.col("_to").alias("to"))
-            .checkpoint()
+        longer = materialized(
+            join_on_keys(jumps, onward, [*keys, "to"]).select(*keys, "at", F.col("_to").alias("to"))
         )
+        discard(reached, jumps)
+        reached, jumps = further, longer
+    discard(jumps)
+    return reached, rounds
 
 
 def last_marked(
@@ -90,15 +90,14 @@ def last_marked(
 
 def committed_rows(proposals: DataFrame, heads: DataFrame, keys: list[str], order: str, blocked: Column) -> tuple[DataFrame, int]:
     """(keys, ``order``) of the proposals that commit, and the rounds it took."""
-    checkpoint_ready(proposals.sparkSession)
     able = proposals.where(~blocked & ~F.col("content_id").eqNullSafe(F.col("expected_previous")))
-    able = able.select(*keys, order, "content_id", "expected_previous").checkpoint()
+    able = materialized(able.select(*keys, order, "content_id", "expected_previous"))
     first = able.groupBy(*keys).agg((F.min(order) - 1).alias(order))
     # Content of the head of each key; a key without a head starts from NULL.
     held = heads.select(*keys, F.col("content_id").alias("_value"))
     renamed = held.withColumnsRenamed({k: f"_head_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_head_{k}")) for k in keys])
-    starts = first.join(renamed, same, "left").select(*keys, order, "_value").checkpoint()
+    starts = materialized(first.join(renamed, same, "left").select(*keys, order, "_value"))
     nodes = able.select(*keys, order, F.col("content_id").alias("_value")).unionByName(starts)
     wanted = able.select(*keys, order, F.col("expected_previous").alias("_value"))
     pointers = next_match(nodes, wanted, [*keys, "_value"], order, "to").select(

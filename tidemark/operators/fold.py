@@ -3,25 +3,38 @@
 Such a fold cannot be a commutative aggregate. Every key is cut into segments of bounded size
 which are folded side by side; most keys have one, and those are folded in one pass without
 anything else. For a key of several segments the state each one starts from has to be known:
-a rule set with a closed form for it passes ``starts``. Without one, each segment starts from a guess of the
-state handed to it and is folded again only when the segment before it ends differently, until
-nothing changes; then every segment has started from the true state.
+
+* a rule set with a closed form for it passes ``starts``;
+* otherwise ``entries`` lists states a segment may hand on. All segments are folded from all
+  candidates of the segment before, side by side, and a key's true states are followed through these
+  results by pointer doubling. Where a state is met that was no candidate, that state is folded through
+  the next segments, twice as many each time it passes through all of them unchanged.
+
+Candidates only save rounds: what is found is always the state the sequential fold has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.chain import reachable
 from tidemark.operators.ranking import join_on_keys, rows_before
-from tidemark.session import checkpoint_ready
+from tidemark.session import discard, materialized
 
 SEGMENT_ROWS = 2048
 
+#: Candidate states of a segment's end; others cost a round of their own.
+CANDIDATES = 16
+#: Segments that such a state is folded through at first.
+WIDTH = 8
+
 Transition = Callable[[Column, Column], Column]
+#: (rows of a segment) -> array of states it may end in
+Entries = Callable[[Column], Column]
 
 
 # (rows of keys with several segments: keys, order, fields, ``_segment``; init) -> keys, _segment, state
@@ -57,6 +70,7 @@ def segmented_fold(
     transition: Transition,
     segment_rows: int | None = None,
     starts: Starts | None = None,
+    entries: Entries | None = None,
 ) -> Fold:
     """Fold ``rows`` of each key in ``order``.
 
@@ -67,8 +81,13 @@ def segmented_fold(
     size = segment_rows or SEGMENT_ROWS
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *fields)))
     init = init.select(*keys, F.col("state").cast(state_type).alias("state"))
-    checkpoint_ready(rows.sparkSession)
-    batches = _batches(rows, keys, order, fields, size, packed, init, state_type, transition, starts)
+    if starts is None:
+
+        def starts(cut: DataFrame, first: DataFrame) -> DataFrame:
+            segments = materialized(cut.groupBy(*keys, "_segment").agg(packed.alias("rows")))
+            return settle(segments, keys, first, state_type, transition, entries)[0]
+
+    batches = _batches(rows, keys, order, fields, size, packed, init, starts)
 
     # A row's outcome enters the trace one step later: what a step computes stays small (Spark
     # copies it), and the growing trace is only ever appended to.
@@ -111,11 +130,11 @@ def _exit(transition: Transition, state_type: str) -> Column:
     return F.aggregate("rows", F.col("state"), lambda s, r: transition(s, r)["state"].cast(state_type))
 
 
-def _batches(rows, keys, order, fields, size, packed, init, state_type, transition, starts) -> DataFrame:
+def _batches(rows, keys, order, fields, size, packed, init, starts) -> DataFrame:
     """Segments with the true state each one starts from."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # Most tables have none or few; their rows alone are cut and kept.
-    split = counts.where(F.col("_n") > 2 * size).select(*keys).checkpoint()
+    split = materialized(counts.where(F.col("_n") > 2 * size).select(*keys))
     first = F.lit(0).cast("bigint")
     if split.isEmpty():
         whole = rows.groupBy(*keys).agg(packed.alias("rows"))
@@ -124,15 +143,11 @@ def _batches(rows, keys, order, fields, size, packed, init, state_type, transiti
     single = single.join(init, keys, "left").select(*keys, first.alias("_segment"), "rows", "state")
     celled = rows.join(split, keys, "left_semi").withColumn("_cell", F.expr(f"`{order}` div {size}"))
     cut = join_on_keys(celled, segment_cells(celled, keys, size), [*keys, "_cell"]).drop("_cell")
-    cut = cut.select(*keys, order, *fields, "_segment").checkpoint()
+    cut = materialized(cut.select(*keys, order, *fields, "_segment"))
     at = [*keys, "_segment"]
     segments = cut.groupBy(*at).agg(packed.alias("rows"))
     mine = init.join(split, keys, "left_semi")
-    if starts is None:
-        settled = _settle(segments.checkpoint(), keys, mine, state_type, transition)
-    else:
-        settled = starts(cut, mine)
-    long = join_on_keys(segments, settled.select(*at, F.col("state").cast(state_type).alias("state")), at)
+    long = join_on_keys(segments, starts(cut, mine).select(*at, "state"), at)
     return single.unionByName(long)
 
 
@@ -148,29 +163,76 @@ def segment_cells(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     )
 
 
-def _settle(segments, keys, init, state_type, transition) -> DataFrame:
-    """The true state of each segment, from guesses."""
+def settle(
+    segments: DataFrame,
+    keys: list[str],
+    init: DataFrame,
+    state_type: str,
+    transition: Transition,
+    entries: Entries | None = None,
+) -> tuple[DataFrame, int]:
+    """(keys, ``_segment``, ``state``): the true state each segment starts from, and the rounds it took.
+
+    ``segments``: keys, ``_segment`` (from 0, without gaps), ``rows``.
+    """
     at = [*keys, "_segment"]
-    starts = segments.select(*at).join(
-        init.withColumn("_segment", F.lit(0).cast("bigint")), at, "left"
+    exit_state = _exit(transition, state_type)
+    none = F.lit(None).cast(state_type)
+    first = segments.where("_segment = 0").select(*keys, F.lit(0).cast("bigint").alias("_segment"))
+    front = materialized(first.join(init, keys, "left").select(*at, "state", F.lit(WIDTH).alias("_width")))
+    ends = materialized(segments.groupBy(*keys).agg(F.max("_segment").alias("_last")))
+
+    # Every segment is folded from what the one before may hand on.
+    guess = F.aggregate("rows", none, lambda s, r: transition(s, r)["state"].cast(state_type))
+    handed = F.array(guess) if entries is None else F.concat(F.array(guess), entries(F.col("rows")))
+    candidates = segments.select(
+        *keys,
+        (F.col("_segment") + 1).alias("_segment"),
+        F.explode(F.slice(F.array_distinct(handed), 1, CANDIDATES)).alias("state"),
     )
+    node, onward = F.struct("_segment", "state"), F.struct((F.col("_segment") + 1).alias("_segment"), F.col("_exit").alias("state"))
+    known = join_on_keys(segments, candidates, at).select(*at, "state", exit_state.alias("_exit"))
+    known = materialized(known.select(*keys, node.alias("at"), onward.alias("to")))
 
-    def exits_of(frame: DataFrame) -> DataFrame:
-        return frame.select(*at, "state", _exit(transition, state_type).alias("exit"))
-
-    done = exits_of(segments.join(starts, at)).checkpoint()
+    settled, rounds = [], 0
     while True:
-        # A cell adds at most one segment's worth of rows, so segment numbers never skip.
-        handed = done.select(
-            *keys, (F.col("_segment") + 1).alias("_segment"), F.col("exit").alias("handed")
+        rounds += 1
+        starts = front.select(*keys, F.struct("_segment", "state").alias("at"))
+        found = reachable(known, starts, keys)[0]
+        path = join_on_keys(found, ends, keys).select(*keys, "at.*", "_last")
+        path = materialized(path.where(F.col("_segment") <= F.col("_last")).distinct())
+        settled.append(path.select(*at, "state"))
+        widths = front.select(*keys, "_width")
+        top = path.groupBy(*keys).agg(
+            F.max_by(F.struct("_segment", "state"), "_segment").alias("_front"), F.max("_last").alias("_last")
+        )
+        top = materialized(join_on_keys(top, widths, keys).where(F.col("_front._segment") < F.col("_last")))
+        discard(found, front)
+        if top.isEmpty():
+            break
+        # No candidate: fold this state through the next segments as long as it stays the same.
+        window = materialized(
+            join_on_keys(segments, top, keys)
+            .where(F.col("_segment").between(F.col("_front._segment"), F.col("_front._segment") + F.col("_width") - 1))
+            .select(*at, F.col("_front.state").alias("state"), "_width", "_last", "rows")
+            .select(*at, "state", "_width", "_last", exit_state.alias("_exit"))
+        )
+        same = F.col("_exit").eqNullSafe(F.col("state"))
+        stop = window.groupBy(*keys).agg(
+            F.coalesce(F.min(F.when(~same, F.col("_segment"))), F.max("_segment")).alias("_stop"),
+            F.min(same).alias("_all"),
         )
-        stale = (
-            done.join(handed, at)
-            .where(~F.col("handed").eqNullSafe(F.col("state")))
-            .select(*at, F.col("handed").alias("state"))
-            .checkpoint()
+        passed = materialized(join_on_keys(window, stop, keys).where(F.col("_segment") <= F.col("_stop")))
+        discard(window, top)
+        settled.append(passed.select(*at, "state"))
+        front = passed.where(F.col("_segment") == F.col("_stop")).select(
+            *keys,
+            (F.col("_segment") + 1).alias("_segment"),
+            F.col("_exit").alias("state"),
+            F.when(F.col("_all"), F.col("_width") * 2).otherwise(WIDTH).alias("_width"),
+            "_last",
         )
-        if stale.isEmpty():
-            return done.select(*at, "state")
-        again = exits_of(segments.join(stale, at))
-        done = done.join(stale.select(*at), at, "left_anti").unionByName(again).checkpoint()
+        front = materialized(front.where(F.col("_segment") <= F.col("_last")).drop("_last"))
+        if front.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, settled).distinct(), rounds

@@ -18,10 +18,13 @@ from tidemark.operators.chain import committed_rows, last_marked
 from tidemark.operators.fold import Fold, segmented_fold
 
 FILE, TOMBSTONE = "FILE", "TOMBSTONE"
+#: Rows at the end of a segment that are looked at for states it may end in.
+LAST_ROWS = 256
 RECORD = ["file_id", "revision_id", "kind", "vv", "content_id"]
 RECORD_TYPE = (
     f"struct<file_id:string,revision_id:string,kind:string,vv:{VV_TYPE},content_id:string>"
 )
+STATE_TYPE = RECORD_TYPE[:-1] + ",absent:boolean>"
 OUTCOME_TYPE = (
     "struct<revision_id:string,action:string,canonical_revision:string,conflict_revision:string>"
 )
@@ -122,26 +125,60 @@ def fold_heads(
     me: str,
     folded_through: int = 0,
     segment_rows: int | None = None,
+    on: list[str] | None = None,
+    missing: DataFrame | None = None,
 ) -> Fold:
     """Replay the log onto the heads, path by path, in sequence order.
 
     Rows by ``me`` and rows without an author are not replayed. ``outcomes`` has one row per
     replayed change with its action and the pair of revisions a conflict kept; ``states`` has
     the final record of every path. Pass ``folded_through`` to continue from stored heads.
+
+    ``on`` are the columns of a path, ``["group_id", "path_id"]`` for logs of several groups.
+    ``missing`` lists revisions with absent chunks: a change that would need them, as the new
+    record or to keep both, is ``MISSING_OBJECTS`` and leaves the head as it is.
     """
+    on = on or ["path_id"]
     foreign = changes.where(
         (F.col("sequence") > folded_through) & F.col("author").isNotNull() & (F.col("author") != me)
     )
+    local = heads.select(*on, *RECORD)
+    if missing is None:
+        foreign, local = (frame.withColumn("absent", F.lit(False)) for frame in (foreign, local))
+    else:
+        gone = missing.select("revision_id").distinct().withColumn("absent", F.lit(True))
+        foreign, local = (
+            frame.join(gone, "revision_id", "left").na.fill(False, ["absent"]) for frame in (foreign, local)
+        )
+    fields = [*RECORD, "absent"]
 
-    def transition(head: Column, row: Column) -> Column:
-        mine = F.struct(*[row[c].alias(c) for c in RECORD])
+    def mine(row: Column) -> Column:
+        return F.struct(*[row[c].alias(c) for c in fields])
 
-        def moved(d: Column) -> Column:
-            takes = (d["action"] == "USE_INCOMING") | (
-                (d["action"] == "KEEP_BOTH") & (d["canonical_revision"] == row["revision_id"])
+    def decided(head: Column, row: Column) -> Column:
+        def with_objects(d: Column) -> Column:
+            kept = d["action"] == "KEEP_BOTH"
+            lacking = F.coalesce(head["absent"], F.lit(False)) & kept | row["absent"] & (
+                kept | (d["action"] == "USE_INCOMING")
             )
             return F.struct(
-                F.when(takes, mine).otherwise(head).alias("state"),
+                F.when(lacking, "MISSING_OBJECTS").otherwise(d["action"]).alias("action"),
+                F.when(~lacking, d["canonical_revision"]).alias("canonical_revision"),
+                F.when(~lacking, d["conflict_revision"]).alias("conflict_revision"),
+            )
+
+        found = decide(head, mine(row))
+        return found if missing is None else let(found, with_objects)
+
+    def takes(d: Column, row: Column) -> Column:
+        return (d["action"] == "USE_INCOMING") | (
+            (d["action"] == "KEEP_BOTH") & (d["canonical_revision"] == row["revision_id"])
+        )
+
+    def transition(head: Column, row: Column) -> Column:
+        def moved(d: Column) -> Column:
+            return F.struct(
+                F.when(takes(d, row), mine(row)).otherwise(head).alias("state"),
                 F.struct(
                     row["revision_id"].alias("revision_id"),
                     d["action"].alias("action"),
@@ -150,18 +187,31 @@ def fold_heads(
                 ).alias("outcome"),
             )
 
-        return let(decide(head, mine), moved)
+        return let(decided(head, row), moved)
+
+    def may_end_in(rows: Column) -> Column:
+        """Records among the last rows that no later row takes the place of, the latest first."""
+
+        def of(last: Column) -> Column:
+            def stays(row: Column, place: Column) -> Column:
+                later = F.slice(last, place + 2, LAST_ROWS)
+                return ~F.exists(later, lambda other: let(decided(mine(row), other), lambda d: takes(d, other)))
+
+            return F.transform(F.reverse(F.filter(last, stays)), mine)
+
+        return let(F.slice(rows, F.greatest(F.size(rows) - LAST_ROWS, F.lit(0)) + 1, LAST_ROWS), of)
 
     return segmented_fold(
         foreign,
-        ["path_id"],
+        on,
         "sequence",
-        RECORD,
-        heads.select("path_id", record().alias("state")),
-        RECORD_TYPE,
+        fields,
+        local.select(*on, F.struct(*fields).alias("state")),
+        STATE_TYPE,
         OUTCOME_TYPE,
         transition,
         segment_rows,
+        entries=may_end_in,
     )
 
 

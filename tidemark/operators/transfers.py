@@ -19,6 +19,7 @@ from tidemark.functions.common import let
 from tidemark.operators.chain import last_marked, next_match, reachable
 from tidemark.operators.fold import Fold, segmented_fold
 from tidemark.operators.manifests import NIL_ID
+from tidemark.session import materialized
 
 # Fixed value: largest object of an exchange, in bytes.
 MAXIMUM_SIZE = 64 * 1024 * 1024
@@ -166,7 +167,7 @@ def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
     """
     at = [*KEYS, "_session"]
     rows = last_marked(rows, KEYS, "event_id", F.col("op") == "CANCEL", F.col("event_id"), "_session")
-    rows = rows.withColumn("_session", F.coalesce("_session", F.lit(-1))).checkpoint()
+    rows = materialized(rows.withColumn("_session", F.coalesce("_session", F.lit(-1))))
     # What is open in a session, and from which event on.
     begun = rows.where((F.col("op") == "BEGIN") & _valid_begin()).groupBy(*at).agg(
         F.min("event_id").alias("_from"), F.min_by("size", "event_id").alias("_size")
@@ -176,19 +177,17 @@ def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
         *KEYS, F.lit(-1).cast("bigint").alias("_session"), F.lit(-1).cast("bigint").alias("_from"),
         F.col("state.size").alias("_size"), F.col("state.received").alias("_value"),
     )
-    opened = (
+    opened = materialized(
         begun.join(may_start, KEYS, "left_semi")
         .join(carried.select(*at), at, "left_anti")
         .withColumn("_value", F.lit(0).cast("bigint"))
         .unionByName(carried)
-        .checkpoint()
     )
-    able = (
+    able = materialized(
         rows.where((F.col("op") == "APPEND") & (F.col("len") > 0))
         .join(opened.drop("_value"), at)
         .where((F.col("event_id") > F.col("_from")) & (F.col("start_offset") + F.col("len") <= F.col("_size")))
         .select(*at, "event_id", "_segment", "_size", "start_offset", (F.col("start_offset") + F.col("len")).alias("_value"))
-        .checkpoint()
     )
     starts = opened.select(*at, F.col("_from").alias("event_id"), "_value")
     nodes = able.select(*at, "event_id", "_value").unionByName(starts)

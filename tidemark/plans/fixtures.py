@@ -182,6 +182,26 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def one_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as changes of a single path, by two files whose records never replace each other.
+
+    Of every 4000 changes the later half, and every tenth of the others, is behind the head.
+    """
+    e = F.col("event_id")
+    behind = (e % 10 == 3) | (e % 4000 >= 2000)
+    counter = F.when(behind, 1 + e % 5).otherwise(e + 10)
+    return table(spark, sf_dir, "events").select(
+        (e + 1).alias("sequence"),
+        F.lit("p").alias("path_id"),
+        F.when(e % 3 == 0, "fa").otherwise("fb").alias("file_id"),
+        F.lpad(e.cast("string"), 12, "0").alias("revision_id"),
+        F.when(e % 7 == 0, "TOMBSTONE").otherwise("FILE").alias("kind"),
+        F.array(F.struct(F.lit("a").alias("d"), counter.cast("bigint").alias("c"))).alias("vv"),
+        F.concat(F.lit("c"), e.cast("string")).alias("content_id"),
+        F.concat(F.lit("by "), "event_type").alias("author"),
+    )
+
+
 def transfer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the receipts of one transfer per user.
 

@@ -204,6 +204,19 @@ def log_fold_outcomes(spark, sf_dir):
     return folded(spark, sf_dir)[0].outcomes
 
 
+def log_fold_hot_path(spark, sf_dir):
+    """Outcomes when all changes are of the same path, some of their chunks absent."""
+    log = fx.one_path(spark, sf_dir)
+    absent = log.where("sequence % 13 = 5").select("revision_id")
+    return rc.fold_heads(log.where("false"), log, fx.ME, missing=absent).outcomes.select("sequence", "revision_id", "action")
+
+
+# The first change decides the file; its changes in front of the head follow each other.
+LOG_FOLD_HOT_PATH = """SELECT event_id + 1 AS sequence, lpad(CAST(event_id AS VARCHAR), 12, '0') AS revision_id,
+       CASE WHEN event_id % 3 <> 0 THEN 'ERROR_DIFFERENT_FILES'
+            WHEN event_id % 10 = 3 OR event_id % 4000 >= 2000 THEN 'KEEP_LOCAL'
+            WHEN (event_id + 1) % 13 = 5 THEN 'MISSING_OBJECTS' ELSE 'USE_INCOMING' END AS action
+FROM events"""
 _FOLD = sql.decision("rel", "h_rev", "h_kind", "h_vv", "revision_id", "kind", "vv")
 FOLD_SQL = f"""WITH RECURSIVE {sql.CHANGES}, foreign_changes AS (
   SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY sequence) AS rn FROM changes WHERE author <> '{fx.ME}'),
@@ -475,6 +488,7 @@ QUERIES = {
     "reconcile_heads": (reconcile_heads, RECONCILE_HEADS),
     "log_fold_heads": (log_fold_heads, LOG_FOLD_HEADS),
     "log_fold_outcomes": (log_fold_outcomes, LOG_FOLD_OUTCOMES),
+    "log_fold_hot_path": (log_fold_hot_path, LOG_FOLD_HOT_PATH),
     "replay_report": (replay_report, REPLAY_REPORT),
     "causal_frontier": (causal_frontier, CAUSAL_FRONTIER),
     "irregular_frontier": (irregular_frontier, IRREGULAR_FRONTIER),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits the hot side of a skewed join and merges small shuffle partitions. Joins
 # here look unique keys up from a larger side, so a split side stays correct.
@@ -61,3 +62,29 @@ def checkpoint_ready(spark: SparkSession) -> None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there.
+
+    For steps that are repeated: unlike ``checkpoint`` this runs the plan once and starts from the
+    table's real size. A checkpoint keeps the estimate of the plan it replaces, and estimates of
+    joins are products, so a loop of joins over checkpoints soon plans with numbers of millions
+    of digits.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.step_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialized`` that no later plan reads."""
+    for table in tables:
+        jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(table.step_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
