@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_status
 from tidemark.operators.ranking import dense_rank
-from tidemark.session import checkpoint_ready
+from tidemark.session import checkpoint_ready, materialized
+from tidemark.sources.keyed import BUCKETS, KeyedTable, Manifest
 
 
 def read_changes(log: DataFrame, group: int | str, after: int) -> DataFrame:
@@ -56,6 +57,7 @@ def append_changes(
     refs: DataFrame,
     objects: DataFrame,
     check_manifests: bool = True,
+    top: int | None = None,
 ) -> DataFrame:
     """Statuses of a batch of changes against the log, with the sequence each one holds.
 
@@ -63,7 +65,8 @@ def append_changes(
     New revisions get the next sequences in arrival order, without a gap. A revision that is
     known, or that came earlier in the batch, is ``REPLAYED`` with its old sequence, or
     ``REVISION_CONTENT_MISMATCH`` when it names another content. The judged rows (ids, no
-    payloads) are checkpointed: they are read three times.
+    payloads) are checkpointed: they are read three times. ``top`` is the log's highest sequence
+    where ``log`` is a part of it.
     """
     key = ["group_id", "revision_id"]
     known = log.select(
@@ -85,7 +88,10 @@ def append_changes(
         "_first_content",
         "_rank",
     )
-    top = log.agg(F.coalesce(F.max("sequence"), F.lit(0))).scalar()
+    if top is None:
+        top = F.lit(log.agg(F.coalesce(F.max("sequence"), F.lit(0))).scalar())
+    else:
+        top = F.lit(top)
     later = F.col("arrival") > F.col("_first_arrival")
     status = (
         F.when(
@@ -113,6 +119,34 @@ def append_changes(
     )
 
 
+def create_log(log: DataFrame, base: str, buckets: int = BUCKETS) -> KeyedTable:
+    """A log (``group_id, revision_id, content_id, sequence``) that finds revisions by their bucket."""
+    top = log.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("top")).first()["top"]
+    return KeyedTable.create(log, base, ["group_id", "revision_id"], buckets, {"top": top})
+
+
+def append_to_log(
+    table: KeyedTable, batch: DataFrame, refs: DataFrame, objects: DataFrame, check_manifests: bool = True
+) -> DataFrame:
+    """``append_changes`` of a batch to a stored log, and the statuses it gave.
+
+    Only the buckets of the batch's revisions are read, and the highest sequence is a fact of the
+    table's version. A batch that loses to another writer is judged again, so sequences stay dense and unique.
+    """
+    statuses: list[DataFrame] = []
+
+    def make(now: Manifest) -> tuple[DataFrame, dict]:
+        part = table.read(now, table.touched(batch, now))
+        judged = materialized(append_changes(part, batch, refs, objects, check_manifests, now.facts["top"]))
+        fresh = judged.where("status = 'COMMITTED'").select(*part.columns)
+        top = fresh.agg(F.max("sequence").alias("top")).first()["top"]
+        statuses.append(judged)
+        return fresh, {"top": now.facts["top"] if top is None else top}
+
+    table.append(make)
+    return statuses[-1]
+
+
 def change_page(
     log: DataFrame, provenance: DataFrame, group: int | str, after: int, n: int
 ) -> tuple[DataFrame, DataFrame]:

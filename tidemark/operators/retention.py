@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_status
 from tidemark.operators.ranking import union_all
+from tidemark.session import discard, materialized
+from tidemark.sources.keyed import KeyedTable
 
 
 def reference_counts(
@@ -42,6 +44,47 @@ def reference_counts(
     ).drop("_n")
 
 
+def pin_deltas(events: DataFrame) -> DataFrame:
+    """(content_id, n) by which pins change the counts.
+
+    ``events``: ``old_content_id`` (NULL: inserted) and ``new_content_id`` (NULL: deleted) of every
+    row of a pinning table that changed; a head that moves is both. Edges are a set: an event is
+    an edge that is new or gone.
+    """
+    signed = F.array(
+        F.struct(F.col("old_content_id").alias("content_id"), F.lit(-1).cast("bigint").alias("n")),
+        F.struct(F.col("new_content_id").alias("content_id"), F.lit(1).cast("bigint").alias("n")),
+    )
+    return (
+        events.select(F.inline(signed))
+        .where(F.col("content_id").isNotNull())
+        .groupBy("content_id")
+        .agg(F.sum("n").alias("n"))
+        .where("n <> 0")
+    )
+
+
+def maintain_counts(counts: KeyedTable, events: DataFrame) -> int:
+    """Add a batch of pin changes to stored counts (``content_id, n``); the new version.
+
+    Only the buckets of changed ids are read and written. Ids nothing pins any more are left out.
+    """
+    deltas = materialized(pin_deltas(events))
+
+    def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("content_id").agg(F.sum("n").alias("n")).where("n <> 0")
+
+    version = counts.change(deltas, merged)
+    discard(deltas)
+    return version
+
+
+def counted_objects(objects: DataFrame, counts: KeyedTable) -> DataFrame:
+    """``reference_counts`` from maintained counts."""
+    found = objects.join(counts.read(), "content_id", "left")
+    return found.withColumn("reference_count", F.coalesce("n", F.lit(0))).drop("n")
+
+
 def gc_candidates(counted: DataFrame, cutoff_ms: int, n: int) -> DataFrame:
     """Up to ``n`` unreferenced objects last verified by ``cutoff_ms``, oldest first."""
     if n <= 0:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
@@ -10,7 +12,9 @@ from tidemark.operators import transfers as tr
 from tidemark.operators.manifests import missing_objects
 from tidemark.plans import fixtures as fx
 from tidemark.plans import sql
+from tidemark.session import materialized, step_folder
 from tidemark.sources import tables
+from tidemark.sources.keyed import KeyedTable
 from tidemark.streaming import pull as pl
 
 NOW = 1_700_000_000_000
@@ -108,6 +112,12 @@ def append_statuses(spark, sf_dir):
     )
 
 
+def append_indexed(spark, sf_dir):
+    """The same batch, appended to a log that is stored in buckets."""
+    log = changelog.create_log(order_log(spark, sf_dir), step_folder(spark, "log"))
+    return changelog.append_to_log(log, append_batch(spark, sf_dir), order_refs(spark, sf_dir), order_objects(spark, sf_dir))
+
+
 APPEND_STATUSES = f"""WITH {ORDERS_SQL}, batch AS (
   SELECT group_id, revision_id, content_id, k AS arrival FROM order_changes
   UNION ALL SELECT group_id, revision_id, content_id, k + 1000000000 FROM order_changes WHERE k % 10 = 4
@@ -221,6 +231,15 @@ def upsert_update(spark, sf_dir):
     return tables.upsert(*upserts(spark, sf_dir), ["path_id"], tables.UPDATE, "at")
 
 
+def upsert_versions(spark, sf_dir):
+    """Two upserts of a stored table, read at its third version."""
+    target, rows = upserts(spark, sf_dir)
+    table = KeyedTable.create(target, step_folder(spark, "heads"), ["path_id"])
+    for at in (1, 2):
+        table.upsert(rows.where(F.col("at") == at).drop("at"))
+    return table.read()
+
+
 def upsert_nothing(spark, sf_dir):
     return tables.upsert(*upserts(spark, sf_dir), ["path_id"], tables.NOTHING, "at")
 
@@ -662,6 +681,37 @@ def reference_counts(spark, sf_dir):
     return counted_parts(spark, sf_dir).select("content_id", "reference_count")
 
 
+def maintained_counts(spark, sf_dir):
+    """Counts kept up through ten batches of inserted, moved and deleted pins."""
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    nothing = F.lit(None).cast(LONG)
+
+    def pins(frame, new, old=nothing):
+        return frame.select("k", old.alias("old_content_id"), new.alias("new_content_id"))
+
+    heads = orders.where("k % 11 <> 0 AND k % 2 = 0")
+    edges = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey").distinct()
+    once = [
+        pins(orders.where("k % 4 = 0"), F.col("k")),
+        pins(orders.where("k % 50 = 3"), F.col("k") % 1000),
+        pins(orders.where("k % 3 = 0"), F.col("k")),
+        pins(edges, F.col("l_partkey")),
+        # A head is set to another object first, and moves in the next batch.
+        pins(heads, F.col("k") % 77),
+        pins(orders.where("k % 5 = 0"), F.col("k")),
+    ]
+    then = [pins(heads, F.col("k"), F.col("k") % 77), pins(orders.where("k % 5 = 0"), nothing, F.col("k"))]
+    first, second = (reduce(lambda a, b: a.unionByName(b), frames) for frames in (once, then))
+    events = materialized(
+        first.withColumn("batch", F.col("k") % 9).unionByName(second.withColumn("batch", F.col("k") % 9 + 1))
+    )
+    none = events.where("false").select(nothing.alias("content_id"), nothing.alias("n"))
+    counts = KeyedTable.create(none, step_folder(spark, "counts"), ["content_id"])
+    for batch in range(10):
+        rt.maintain_counts(counts, events.where(F.col("batch") == batch))
+    return rt.counted_objects(fx.objects(spark, sf_dir), counts).select("content_id", "reference_count")
+
+
 COUNTED_SQL = f"""{sql.OBJECTS}, pins AS (
   SELECT o_orderkey AS content_id FROM orders WHERE o_orderkey % 4 = 0
   UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 2 = 0
@@ -843,12 +893,14 @@ STATUS_TOTALS = f"""{STATUS_SQL} SELECT count(*) AS peers, max(local_change_coun
 
 QUERIES = {
     "append_statuses": (append_statuses, APPEND_STATUSES),
+    "append_indexed": (append_indexed, APPEND_STATUSES),
     "changes_after_cursor": (changes_after_cursor, CHANGES_AFTER_CURSOR),
     "change_page": (change_page, CHANGE_PAGE),
     "change_page_summary": (change_page_summary, CHANGE_PAGE_SUMMARY),
     "log_pages": (log_pages, LOG_PAGES),
     "log_page_summary": (log_page_summary, LOG_PAGE_SUMMARY),
     "upsert_update": (upsert_update, UPSERT_UPDATE),
+    "upsert_versions": (upsert_versions, UPSERT_UPDATE),
     "upsert_nothing": (upsert_nothing, UPSERT_NOTHING),
     "batch_validation": (batch_validation, BATCH_VALIDATION),
     "authorize_changes": (authorize_changes, AUTHORIZE_CHANGES),
@@ -868,6 +920,7 @@ QUERIES = {
     "pull_report": (pull_report, PULL_REPORT),
     "sync_report": (sync_report, SYNC_REPORT),
     "reference_counts": (reference_counts, REFERENCE_COUNTS),
+    "maintained_counts": (maintained_counts, REFERENCE_COUNTS),
     "gc_candidates": (gc_candidates, GC_CANDIDATES),
     "gc_report": (gc_report, GC_REPORT),
     "gc_sweep": (gc_sweep, GC_SWEEP),

@@ -64,6 +64,13 @@ def checkpoint_ready(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
+def step_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the checkpoint folder."""
+    checkpoint_ready(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there.
 
@@ -73,9 +80,7 @@ def materialized(df: DataFrame) -> DataFrame:
     of digits.
     """
     spark = df.sparkSession
-    checkpoint_ready(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = step_folder(spark, "step")
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.step_path = path

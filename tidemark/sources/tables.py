@@ -33,14 +33,15 @@ def upsert(
     return target.unionByName(updates.join(target.select(*keys), keys, "left_anti").select(*columns))
 
 
-def _filesystem(spark: SparkSession, location: str):
+def filesystem(spark: SparkSession, location: str):
+    """The location as a path, and the file system it is on."""
     path = spark._jvm.org.apache.hadoop.fs.Path(location)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def current_version(spark: SparkSession, base: str) -> int:
     """Number of the newest complete version, 0 when there is none."""
-    path, fs = _filesystem(spark, base)
+    path, fs = filesystem(spark, base)
     if not fs.exists(path):
         return 0
     done = []
@@ -68,11 +69,11 @@ def write_version(df: DataFrame, base: str) -> int:
     spark = df.sparkSession
     staged = f"{base}/.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    source, fs = _filesystem(spark, staged)
+    source, fs = filesystem(spark, staged)
     version = current_version(spark, base) + 1
     while True:
-        target, _ = _filesystem(spark, f"{base}/v{version}")
-        claim, _ = _filesystem(spark, f"{base}/.claim-v{version}")
+        target, _ = filesystem(spark, f"{base}/v{version}")
+        claim, _ = filesystem(spark, f"{base}/.claim-v{version}")
         if not fs.exists(target) and fs.createNewFile(claim):
             break
         version += 1
