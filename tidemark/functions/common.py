@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,16 @@ def first_status(*rules: tuple[Column, str], otherwise: str | None = None) -> Co
     for condition, status in rules[1:]:
         column = column.when(condition, F.lit(status))
     return column.otherwise(F.lit(otherwise))
+
+
+def object_key(catalog: DataFrame, *others: DataFrame) -> list[str]:
+    """Columns that name an object: its id, inside its group where the catalog has groups.
+
+    One content id in two groups is two objects. A catalog without ``group_id`` is that of one group.
+    """
+    if "group_id" not in catalog.columns:
+        return ["content_id"]
+    for frame in others:
+        if "group_id" not in frame.columns:
+            raise ValueError("the catalog has groups, so every table that names objects needs group_id")
+    return ["group_id", "content_id"]

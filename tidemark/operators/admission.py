@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_status
+from tidemark.functions.common import first_status, object_key
 from tidemark.functions.ids import change_tag
 from tidemark.operators.changelog import append_changes
 from tidemark.operators.manifests import missing_objects
@@ -177,10 +177,12 @@ def admit_batch(
         ),
     )
     # References are far more than a batch names: keep the batch's before anything is shuffled twice.
-    named = batch.select(F.col("content_id").alias("manifest_id")).distinct()
-    refs = refs.join(named, "manifest_id", "left_semi")
+    key = object_key(objects, batch, refs)
+    group = key[:-1]
+    named = batch.select(*group, F.col("content_id").alias("manifest_id")).distinct()
+    refs = refs.join(named, [*group, "manifest_id"], "left_semi")
     absent = missing_objects(refs, objects, ["manifest_id"]).select(
-        F.col("manifest_id").alias("content_id"), F.lit(True).alias("_waits")
+        *group, F.col("manifest_id").alias("content_id"), F.lit(True).alias("_waits")
     ).distinct()
     early = (
         batch.join(peers, "page_id", "left")
@@ -195,7 +197,7 @@ def admit_batch(
     )
     signed = (
         authorize(early, members, provenance, eligible=F.col("_early").isNull())
-        .join(absent, "content_id", "left")
+        .join(absent, key, "left")
         .withColumn("_status", F.coalesce("_early", "auth_status"))
         .checkpoint()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_status
+from tidemark.functions.common import first_status, object_key
 from tidemark.operators.ranking import dense_rank
 from tidemark.session import checkpoint_ready, materialized
 from tidemark.sources.keyed import BUCKETS, KeyedTable, Manifest
@@ -30,22 +30,27 @@ def with_object_problem(
 
     The manifest itself comes first, then its chunks in id order; listing a chunk twice
     changes nothing. References of other manifests in ``refs`` are left out first.
-    ``check_manifests=False`` is for batches that bring their manifests along.
+    ``check_manifests=False`` is for batches that bring their manifests along. Where the catalog has
+    groups, objects of another group are not found.
     """
-    ready = objects.where("available").select("content_id", F.col("kind").alias("_kind"))
-    named = batch.select(F.col("content_id").alias("manifest_id")).distinct()
+    key = object_key(objects, batch, refs)
+    group = key[:-1]
+    ready = objects.where("available").select(*key, F.col("kind").alias("_kind"))
+    named = batch.select(*group, F.col("content_id").alias("manifest_id")).distinct()
     chunks = (
-        refs.select("manifest_id", "content_id").join(named, "manifest_id", "left_semi").join(ready, "content_id", "left")
+        refs.select(*group, "manifest_id", "content_id")
+        .join(named, [*group, "manifest_id"], "left_semi")
+        .join(ready, key, "left")
         .withColumn("_problem", _object_problem("CHUNK"))
         .where(F.col("_problem").isNotNull())
-        .groupBy(F.col("manifest_id").alias("content_id"))
+        .groupBy(*group, F.col("manifest_id").alias("content_id"))
         .agg(F.min_by("_problem", "content_id").alias("_chunk"))
     )
-    judged = batch.join(chunks, "content_id", "left")
+    judged = batch.join(chunks, key, "left")
     if not check_manifests:
         return judged.withColumnRenamed("_chunk", "problem")
     return (
-        judged.join(ready, "content_id", "left")
+        judged.join(ready, key, "left")
         .withColumn("problem", F.coalesce(_object_problem("MANIFEST"), "_chunk"))
         .drop("_kind", "_chunk")
     )

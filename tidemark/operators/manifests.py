@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_status
+from tidemark.functions.common import first_status, object_key
 from tidemark.functions.paths import path_error
 from tidemark.functions.vv import vv_error
 
@@ -169,13 +169,16 @@ def dedup_objects(chunks: DataFrame, existing: DataFrame, order: list[str], now_
     One row per content id. A new id takes kind and size from its first writer in ``order``;
     a known id keeps its row with a fresh ``verified_at_ms`` and is available again. ``stored`` and
     ``reused`` count the admitted occurrences.
+    An id that was not available is written anew, with the kind and size of that writer. Where the
+    catalog has ``group_id``, an id is one inside its group.
     """
-    admitted = chunks.groupBy("content_id").agg(
+    key = object_key(existing, chunks)
+    admitted = chunks.groupBy(*key).agg(
         F.min_by(F.struct("kind", "size"), F.struct(*order)).alias("first"),
         F.count(F.lit(1)).alias("occurrences"),
     )
     known = existing.select(
-        "content_id",
+        *key,
         F.col("kind").alias("_kind"),
         F.col("size").alias("_size"),
         F.col("verified_at_ms").alias("_verified"),
@@ -183,12 +186,13 @@ def dedup_objects(chunks: DataFrame, existing: DataFrame, order: list[str], now_
     )
     seen = F.col("occurrences").isNotNull()
     was_usable = F.coalesce("_available", F.lit(False))
+    anew = seen & ~was_usable
     return (
-        known.join(admitted, "content_id", "full_outer")
+        known.join(admitted, key, "full_outer")
         .select(
-            "content_id",
-            F.coalesce("_kind", "first.kind").alias("kind"),
-            F.coalesce("_size", "first.size").alias("size"),
+            *key,
+            F.when(anew, F.col("first.kind")).otherwise(F.col("_kind")).alias("kind"),
+            F.when(anew, F.col("first.size")).otherwise(F.col("_size")).alias("size"),
             F.when(seen, F.lit(now_ms)).otherwise(F.col("_verified")).alias("verified_at_ms"),
             F.when(seen, F.lit(True)).otherwise(F.col("_available")).alias("available"),
             F.when(seen & ~was_usable, 1).otherwise(0).cast("bigint").alias("stored"),
@@ -201,31 +205,34 @@ def dedup_objects(chunks: DataFrame, existing: DataFrame, order: list[str], now_
 
 
 def usable(objects: DataFrame) -> DataFrame:
-    return objects.where("available").select("content_id")
+    return objects.where("available").select(*object_key(objects))
 
 
 def missing_objects(refs: DataFrame, objects: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Distinct referenced ids (per ``by``) that cannot be read now."""
-    wanted = refs.select(*(by or []), "content_id").distinct()
-    return wanted.join(usable(objects), "content_id", "left_anti")
+    """Distinct referenced ids (per ``by`` and group) that cannot be read now."""
+    key = object_key(objects, refs)
+    wanted = refs.select(*[c for c in by or [] if c not in key], *key).distinct()
+    return wanted.join(usable(objects), key, "left_anti")
 
 
 def delta_required(refs: DataFrame, objects: DataFrame, plan: str = "manifest_id") -> DataFrame:
     """Per plan and content id: occurrences, bytes, and whether it must be transferred.
 
     The first occurrence of an absent id is the one to transfer. Grouping by plan and id
-    combines map-side, so neither a hot plan nor a popular chunk meets in one task.
+    combines map-side, so neither a hot plan nor a popular chunk meets in one task. Where the
+    catalog has groups, so has the plan.
     """
-    uses = refs.groupBy(plan, "content_id").agg(
+    key = object_key(objects, refs)
+    uses = refs.groupBy(plan, *key).agg(
         F.min("chunk_index").alias("chunk_index"),
         F.min_by("size", "chunk_index").alias("size"),
         F.count(F.lit(1)).alias("uses"),
         F.sum("size").alias("bytes"),
     )
     have = usable(objects).distinct().withColumn("_have", F.lit(True))
-    return uses.join(have, "content_id", "left").select(
+    return uses.join(have, key, "left").select(
         plan,
-        "content_id",
+        *key,
         "chunk_index",
         "size",
         "uses",
@@ -238,7 +245,7 @@ def delta_plan(required: DataFrame, plan: str = "manifest_id") -> DataFrame:
     """Totals of each plan from ``delta_required``."""
     first = F.when(F.col("required"), F.col("size")).otherwise(F.lit(0))
     return (
-        required.groupBy(plan)
+        required.groupBy(*(["group_id"] if "group_id" in required.columns else []), plan)
         .agg(
             F.count_if("required").alias("required_chunks"),
             F.sum(F.col("uses") - F.col("required").cast("bigint")).alias("reused_chunks"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.common import object_key
 from tidemark.operators.manifests import usable
 from tidemark.operators.ranking import dense_rank, hex_order, top_per_key
 
@@ -21,7 +22,7 @@ def enqueue(requests: DataFrame, wanted: DataFrame, objects: DataFrame, now_ms:
     return (
         wanted.select(*KEY)
         .distinct()
-        .join(usable(objects), "content_id", "left_anti")
+        .join(usable(objects), object_key(objects, wanted), "left_anti")
         .join(requests.select(*KEY), KEY, "left_anti")
         .select(
             *KEY,

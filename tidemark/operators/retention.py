@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_status
+from tidemark.functions.common import first_status, object_key
 from tidemark.operators.ranking import union_all
 from tidemark.session import discard, materialized
 from tidemark.sources.keyed import KeyedTable
@@ -23,8 +23,11 @@ def reference_counts(
 
     Changes, heads and provenance pin by ``content_id``, pending targets by
     ``target_content_id`` and edges (a set of ``owner_id, content_id``) the referenced id.
-    Counts combine map-side, so a popular object costs one row per task.
+    Counts combine map-side, so a popular object costs one row per task. Where the catalog has
+    groups, a row pins the object of its own group.
     """
+    key = object_key(objects, *[f for f in (changes, edges, heads, pending, provenance) if f is not None])
+    group = key[:-1]
     pins = []
     for frame, column in (
         (changes, "content_id"),
@@ -33,32 +36,33 @@ def reference_counts(
         (pending, "target_content_id"),
     ):
         if frame is not None:
-            pins.append(frame.select(F.col(column).alias("content_id")))
+            pins.append(frame.select(*group, F.col(column).alias("content_id")))
     if edges is not None:
-        pins.append(edges.select("owner_id", "content_id").distinct().select("content_id"))
+        pins.append(edges.select("owner_id", *key).distinct().select(*key))
     if not pins:
         return objects.withColumn("reference_count", F.lit(0).cast("bigint"))
-    counts = union_all(*pins).groupBy("content_id").agg(F.count(F.lit(1)).alias("_n"))
-    return objects.join(counts, "content_id", "left").withColumn(
+    counts = union_all(*pins).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return objects.join(counts, key, "left").withColumn(
         "reference_count", F.coalesce("_n", F.lit(0))
     ).drop("_n")
 
 
 def pin_deltas(events: DataFrame) -> DataFrame:
-    """(content_id, n) by which pins change the counts.
+    """(content_id, n), per group where ``events`` has groups, by which pins change the counts.
 
     ``events``: ``old_content_id`` (NULL: inserted) and ``new_content_id`` (NULL: deleted) of every
     row of a pinning table that changed; a head that moves is both. Edges are a set: an event is
     an edge that is new or gone.
     """
+    group = ["group_id"] if "group_id" in events.columns else []
     signed = F.array(
         F.struct(F.col("old_content_id").alias("content_id"), F.lit(-1).cast("bigint").alias("n")),
         F.struct(F.col("new_content_id").alias("content_id"), F.lit(1).cast("bigint").alias("n")),
     )
     return (
-        events.select(F.inline(signed))
+        events.select(*group, F.inline(signed))
         .where(F.col("content_id").isNotNull())
-        .groupBy("content_id")
+        .groupBy(*group, "content_id")
         .agg(F.sum("n").alias("n"))
         .where("n <> 0")
     )
@@ -70,9 +74,10 @@ def maintain_counts(counts: KeyedTable, events: DataFrame) -> int:
     Only the buckets of changed ids are read and written. Ids nothing pins any more are left out.
     """
     deltas = materialized(pin_deltas(events))
+    key = [c for c in deltas.columns if c != "n"]
 
     def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.unionByName(new).groupBy("content_id").agg(F.sum("n").alias("n")).where("n <> 0")
+        return old.unionByName(new).groupBy(*key).agg(F.sum("n").alias("n")).where("n <> 0")
 
     version = counts.change(deltas, merged)
     discard(deltas)
@@ -81,7 +86,7 @@ def maintain_counts(counts: KeyedTable, events: DataFrame) -> int:
 
 def counted_objects(objects: DataFrame, counts: KeyedTable) -> DataFrame:
     """``reference_counts`` from maintained counts."""
-    found = objects.join(counts.read(), "content_id", "left")
+    found = objects.join(counts.read(), object_key(objects), "left")
     return found.withColumn("reference_count", F.coalesce("n", F.lit(0))).drop("n")
 
 
@@ -106,13 +111,17 @@ def gc_report(removed: DataFrame) -> DataFrame:
 def gc_sweep(objects: DataFrame, roots: DataFrame, edges: DataFrame, cutoff_ms: int | None = None) -> DataFrame:
     """Objects no root reaches: repeated passes would end by removing exactly these.
 
-    The graph is two levels deep (roots own chunks), so one semi join marks everything.
+    The graph is two levels deep (roots own chunks), so one semi join marks everything. Where the
+    catalog has groups, a root reaches objects of its own group.
     """
-    alive = roots.select("content_id").distinct()
-    owned = edges.join(alive.select(F.col("content_id").alias("owner_id")), "owner_id", "left_semi")
-    marked = alive.unionByName(owned.select("content_id")).distinct()
+    key = object_key(objects, roots, edges)
+    group = key[:-1]
+    alive = roots.select(*key).distinct()
+    owners = alive.select(*group, F.col("content_id").alias("owner_id"))
+    owned = edges.join(owners, [*group, "owner_id"], "left_semi")
+    marked = alive.unionByName(owned.select(*key)).distinct()
     old = objects if cutoff_ms is None else objects.where(F.col("verified_at_ms") <= cutoff_ms)
-    return old.join(marked, "content_id", "left_anti")
+    return old.join(marked, key, "left_anti")
 
 
 def audit_catalog(catalog: DataFrame, listing: DataFrame) -> DataFrame:
@@ -121,9 +130,10 @@ def audit_catalog(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     ``DEMOTE``: marked available but the bytes are gone (row and references stay).
     ``ORPHAN``: bytes without a row. ``ABSENT``: known to be unavailable. ``OK`` otherwise.
     """
-    files = listing.select("content_id", F.col("length").alias("stored_bytes"))
-    rows = catalog.select("content_id", F.col("available").alias("was_available"))
-    joined = rows.join(files, "content_id", "full_outer")
+    key = object_key(catalog, listing)
+    files = listing.select(*key, F.col("length").alias("stored_bytes"))
+    rows = catalog.select(*key, F.col("available").alias("was_available"))
+    joined = rows.join(files, key, "full_outer")
     stored = F.col("stored_bytes").isNotNull()
     return joined.withColumn(
         "status",
@@ -138,8 +148,9 @@ def audit_catalog(catalog: DataFrame, listing: DataFrame) -> DataFrame:
 
 def demote(catalog: DataFrame, audit: DataFrame) -> DataFrame:
     """Catalog with the demotions of an audit applied; every row is kept."""
-    lost = audit.where(F.col("status") == "DEMOTE").select("content_id", F.lit(True).alias("_lost"))
-    return catalog.join(lost, "content_id", "left").withColumn(
+    key = object_key(catalog, audit)
+    lost = audit.where(F.col("status") == "DEMOTE").select(*key, F.lit(True).alias("_lost"))
+    return catalog.join(lost, key, "left").withColumn(
         "available", F.col("available") & F.col("_lost").isNull()
     ).drop("_lost")
 

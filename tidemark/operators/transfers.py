@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import let
+from tidemark.functions.common import let, object_key
 from tidemark.operators.chain import last_marked, next_match, reachable
 from tidemark.operators.fold import Fold, segmented_fold
 from tidemark.operators.manifests import NIL_ID
@@ -120,20 +120,23 @@ def replay_transfers(
     """Status of every event and the final state of every transfer.
 
     ``requests``: ``peer, content_id`` asked for. ``objects``: ``content_id, available``.
-    ``open_transfers``: ``peer, content_id, size, received`` left by an earlier run.
+    ``open_transfers``: ``peer, content_id, size, received`` left by an earlier run. With a
+    ``group_id`` in all tables, an object and its transfers are those of one group.
     """
-    pairs = events.select(*KEYS).distinct()
-    asked = requests.select(*KEYS).distinct().withColumn("requested", F.lit(True))
-    have = objects.where("available").select("content_id").distinct().withColumn("present", F.lit(True))
-    init = pairs.join(asked, KEYS, "left").join(have, "content_id", "left")
+    thing = object_key(events, requests, objects)
+    keys = [*thing[:-1], *KEYS]
+    pairs = events.select(*keys).distinct()
+    asked = requests.select(*keys).distinct().withColumn("requested", F.lit(True))
+    have = objects.where("available").select(*thing).distinct().withColumn("present", F.lit(True))
+    init = pairs.join(asked, keys, "left").join(have, thing, "left")
     if open_transfers is None:
         init = init.withColumn("_size", F.lit(None).cast("bigint")).withColumn(
             "_received", F.lit(None).cast("bigint")
         )
     else:
         init = init.join(
-            open_transfers.select(*KEYS, F.col("size").alias("_size"), F.col("received").alias("_received")),
-            KEYS,
+            open_transfers.select(*keys, F.col("size").alias("_size"), F.col("received").alias("_received")),
+            keys,
             "left",
         )
     state = F.struct(
@@ -147,38 +150,38 @@ def replay_transfers(
 
     fold = segmented_fold(
         events,
-        KEYS,
+        keys,
         "event_id",
         FIELDS,
-        init.select(*KEYS, state.alias("state")),
+        init.select(*keys, state.alias("state")),
         STATE_TYPE,
         "struct<op:string,status:string,received:bigint,late_status:string>",
         _transition,
         segment_rows,
-        lambda rows, first: segment_starts(rows, first)[0],
+        lambda rows, first: segment_starts(rows, first, keys)[0],
     )
-    return _across_peers(fold, events)
+    return _across_peers(fold, events, keys)
 
 
-def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
+def segment_starts(rows: DataFrame, init: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, int]:
     """(keys, ``_segment``, ``state``) at the start of every segment, and the rounds it took.
 
     The rounds are about log2 of the longest run of accepted appends of one session.
     """
-    at = [*KEYS, "_session"]
-    rows = last_marked(rows, KEYS, "event_id", F.col("op") == "CANCEL", F.col("event_id"), "_session")
+    at = [*keys, "_session"]
+    rows = last_marked(rows, keys, "event_id", F.col("op") == "CANCEL", F.col("event_id"), "_session")
     rows = materialized(rows.withColumn("_session", F.coalesce("_session", F.lit(-1))))
     # What is open in a session, and from which event on.
     begun = rows.where((F.col("op") == "BEGIN") & _valid_begin()).groupBy(*at).agg(
         F.min("event_id").alias("_from"), F.min_by("size", "event_id").alias("_size")
     )
-    may_start = init.where(F.col("state.requested") & ~F.col("state.present")).select(*KEYS)
+    may_start = init.where(F.col("state.requested") & ~F.col("state.present")).select(*keys)
     carried = init.where("state.open").select(
-        *KEYS, F.lit(-1).cast("bigint").alias("_session"), F.lit(-1).cast("bigint").alias("_from"),
+        *keys, F.lit(-1).cast("bigint").alias("_session"), F.lit(-1).cast("bigint").alias("_from"),
         F.col("state.size").alias("_size"), F.col("state.received").alias("_value"),
     )
     opened = materialized(
-        begun.join(may_start, KEYS, "left_semi")
+        begun.join(may_start, keys, "left_semi")
         .join(carried.select(*at), at, "left_anti")
         .withColumn("_value", F.lit(0).cast("bigint"))
         .unionByName(carried)
@@ -207,16 +210,16 @@ def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
     )
     stored = (
         rows.where("op = 'COMPLETE'").join(full, at).where(F.col("event_id") > F.col("_full"))
-        .groupBy(*KEYS).agg(F.min("event_id").alias("_stored_at"))
+        .groupBy(*keys).agg(F.min("event_id").alias("_stored_at"))
     )
 
     # The state behind each segment: windows span the segments of a key.
-    before = Window.partitionBy(*KEYS).orderBy("_segment")
-    ends = rows.groupBy(*KEYS, "_segment").agg(
+    before = Window.partitionBy(*keys).orderBy("_segment")
+    ends = rows.groupBy(*keys, "_segment").agg(
         F.max("event_id").alias("_end"), F.max(F.when(F.col("op") == "CANCEL", F.col("event_id"))).alias("_cancel")
     )
     ends = ends.select(
-        *KEYS, "_segment", "_end", F.coalesce(F.max("_cancel").over(before), F.lit(-1)).alias("_session")
+        *keys, "_segment", "_end", F.coalesce(F.max("_cancel").over(before), F.lit(-1)).alias("_session")
     )
     marks = accepted.groupBy(*at, "_segment").agg(F.max("_value").alias("_value"))
     both = ends.withColumn("_value", F.lit(None).cast("bigint")).unionByName(
@@ -224,7 +227,7 @@ def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
     )
     so_far = F.max("_value").over(Window.partitionBy(*at).orderBy("_segment"))
     held = both.withColumn("_received", so_far).where(F.col("_end").isNotNull()).drop("_value")
-    held = held.join(opened, at, "left").join(stored, KEYS, "left").join(init, KEYS)
+    held = held.join(opened, at, "left").join(stored, keys, "left").join(init, keys)
     is_open = F.coalesce(F.col("_from") <= F.col("_end"), F.lit(False))
     state = F.when(F.col("_stored_at") <= F.col("_end"), _stored(F.col("_stored_at")).cast(STATE_TYPE)).otherwise(
         F.struct(
@@ -236,29 +239,30 @@ def segment_starts(rows: DataFrame, init: DataFrame) -> tuple[DataFrame, int]:
             F.lit(None).cast("bigint").alias("stored_at"),
         ).cast(STATE_TYPE)
     )
-    later = held.select(*KEYS, (F.col("_segment") + 1).alias("_segment"), state.alias("state"))
-    return init.select(*KEYS, F.lit(0).cast("bigint").alias("_segment"), "state").unionByName(later), rounds
+    later = held.select(*keys, (F.col("_segment") + 1).alias("_segment"), state.alias("state"))
+    return init.select(*keys, F.lit(0).cast("bigint").alias("_segment"), "state").unionByName(later), rounds
 
 
-def _across_peers(fold: Fold, events: DataFrame) -> Fold:
+def _across_peers(fold: Fold, events: DataFrame, keys: list[str]) -> Fold:
     """An object that one peer has stored is there for all peers from then on.
 
     Up to the first ``STORED`` of an object its peers do not affect each other. Behind it no
     transfer of the object is open and none can start, so an event's status follows from the
     event alone, and the state of every peer is the same. Objects of one peer are left as they are.
     """
-    shared = events.groupBy("content_id").agg((F.min("peer") != F.max("peer")).alias("_shared")).where("_shared")
+    thing = [c for c in keys if c != "peer"]
+    shared = events.groupBy(*thing).agg((F.min("peer") != F.max("peer")).alias("_shared")).where("_shared")
 
     def stored() -> DataFrame:
-        done = fold.states.where(F.col("state.stored_at").isNotNull()).groupBy("content_id").agg(
+        done = fold.states.where(F.col("state.stored_at").isNotNull()).groupBy(*thing).agg(
             F.min("state.stored_at").alias("_at")
         )
-        return done.join(shared.select("content_id"), "content_id", "left_semi")
+        return done.join(shared.select(*thing), thing, "left_semi")
 
     def outcomes() -> DataFrame:
         late = F.coalesce(F.col("event_id") > F.col("_at"), F.lit(False))
-        return fold.outcomes.join(stored(), "content_id", "left").select(
-            *KEYS,
+        return fold.outcomes.join(stored(), thing, "left").select(
+            *keys,
             "event_id",
             "op",
             F.when(late, F.col("late_status")).otherwise(F.col("status")).alias("status"),
@@ -267,8 +271,8 @@ def _across_peers(fold: Fold, events: DataFrame) -> Fold:
 
     def states() -> DataFrame:
         there = _stored(F.col("_at")).cast(STATE_TYPE)
-        return fold.states.join(stored(), "content_id", "left").select(
-            *KEYS, F.when(F.col("_at").isNull(), F.col("state")).otherwise(there).alias("state")
+        return fold.states.join(stored(), thing, "left").select(
+            *keys, F.when(F.col("_at").isNull(), F.col("state")).otherwise(there).alias("state")
         )
 
     return Fold(outcomes, states)
@@ -277,7 +281,7 @@ def _across_peers(fold: Fold, events: DataFrame) -> Fold:
 def transfer_progress(states: DataFrame) -> DataFrame:
     """Progress per transfer: ``COMPLETE``, ``OPEN`` or ``IDLE``."""
     return states.select(
-        *KEYS,
+        *[c for c in states.columns if c != "state"],
         F.col("state.size").alias("size"),
         F.col("state.received").alias("received"),
         F.when(F.col("state.present"), "COMPLETE").when(F.col("state.open"), "OPEN").otherwise("IDLE").alias("progress"),

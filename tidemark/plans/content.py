@@ -295,7 +295,8 @@ def dedup_catalog(spark, sf_dir):
 DEDUP_CATALOG = f"""WITH {sql.REFS}, {sql.OBJECTS}, existing AS (SELECT * FROM objects WHERE content_id % 7 <> 0),
 firsts AS (
   SELECT content_id, count(*) AS n, arg_min(size, (manifest_id, chunk_index)) AS size FROM refs GROUP BY content_id)
-SELECT content_id, 'CHUNK' AS kind, coalesce(e.size, f.size) AS size,
+SELECT content_id, 'CHUNK' AS kind,
+       CASE WHEN f.n IS NOT NULL AND NOT coalesce(available, false) THEN f.size ELSE e.size END AS size,
        CASE WHEN f.n IS NOT NULL THEN {NOW} ELSE verified_at_ms END AS verified_at_ms,
        CASE WHEN f.n IS NOT NULL THEN true ELSE available END AS available,
        CASE WHEN f.n IS NOT NULL AND NOT coalesce(available, false) THEN CAST(1 AS BIGINT) ELSE 0 END AS stored,

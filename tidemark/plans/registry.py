@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.plans import content, logs, versions
+from tidemark.plans import content, groups, logs, versions
 
-QUERIES = {**versions.QUERIES, **content.QUERIES, **logs.QUERIES}
+QUERIES = {**versions.QUERIES, **content.QUERIES, **logs.QUERIES, **groups.QUERIES}
