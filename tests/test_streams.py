@@ -1,67 +1,57 @@
-import random
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
+from test_transfers import brute_force, random_events
 
 from tidemark.functions import ids
-from tidemark.operators import transfers as tr
 from tidemark.streaming import pull as pl
 from tidemark.streaming import transfers as stream
 
-EVENT = "peer string, content_id string, event_id bigint, op string, request_id string, size bigint, start_offset bigint, len bigint"
-
-
-@pytest.fixture
-def rocksdb(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, stream.STATE_STORE)
-    yield
-    spark.conf.set(name, before) if before else spark.conf.unset(name)
-
-
-def random_events(seed):
-    rng = random.Random(seed)
-    rows, received = [], {}
-    for i in range(120):
-        key = (rng.choice("pq"), rng.choice("xyz"))
-        op = rng.choices(["BEGIN", "APPEND", "COMPLETE", "CANCEL"], [2, 8, 1, 0.3])[0]
-        at = received.get(key, 0)
-        if op == "BEGIN":
-            rows.append((*key, i, op, "q", 12 if rng.random() < 0.9 else 13, None, None))
-        elif op == "APPEND":
-            n = rng.randint(0, 6)
-            offset = at if rng.random() < 0.8 else 0
-            received[key] = at + n if at + n <= 12 else 0
-            rows.append((*key, i, op, None, None, offset, n))
-        else:
-            rows.append((*key, i, op, None, None, None, None))
-    return rows
-
-
-def test_stream_agrees_with_replay_across_a_restart(spark, tmp_path, rocksdb):
-    rows = random_events(4)
-    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    asked = spark.createDataFrame([(p, c) for p in "pq" for c in "xy"], "peer string, content_id string")
+def test_transfer_stream_agrees_with_replay_across_restarts(spark, tmp_path):
+    """Peers that send the same object meet in one state; a batch that runs again changes nothing."""
+    keys = [(p, c) for p in "pq" for c in "xyz"]
+    rows = random_events(11, 300, 0.1, 1.5)
+    source, base, check = (str(tmp_path / n) for n in ("in", "base", "check"))
+    asked = spark.createDataFrame([k for k in keys if k != ("q", "z")], "peer string, content_id string")
     none = spark.createDataFrame([], "content_id string, available boolean")
 
-    def run():
-        events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-        query = (
-            stream.stream_transfers(events, asked, none)
-            .writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+    def run(checkpoint=check):
+        stream.start_transfers(spark, source, base, lambda: asked, lambda: none, checkpoint, 1, True, 2).awaitTermination()
 
-    for part in (rows[:50], rows[50:80], rows[80:]):
-        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(source)
+    for part in (rows[:120], rows[120:180], rows[180:]):
+        spark.createDataFrame(part, stream.EVENT).coalesce(1).write.mode("append").parquet(source)
         run()
-    got = {r.event_id: (r.status, r.received) for r in spark.read.parquet(out).collect()}
-    replay = tr.replay_transfers(spark.createDataFrame(rows, EVENT), asked, none).outcomes
-    assert got == {r.event_id: (r.status, r.received) for r in replay.collect()}
-    assert {"ACCEPTED", "OFFSET_MISMATCH", "START", "NOT_REQUESTED"} <= {s for s, _ in got.values()}
+    want, ends = brute_force(rows, [k for k in keys if k != ("q", "z")], [], [])
+    assert {s for s, _ in want.values()} >= {"STORED", "ALREADY_PRESENT", "ACCEPTED", "CANCELLED"}
+
+    def outcomes():
+        return {r.event_id: (r.status, r.received) for r in stream.read_outcomes(spark, base).collect()}
+
+    assert outcomes() == want
+    left = {(r.peer, r.content_id, r.size, r.received) for r in stream.open_state(spark, base).collect() if not r.stored}
+    assert left == {(*k, size, received) for k, (_, size, received) in ends.items() if size is not None}
+    run(str(tmp_path / "lost"))  # the checkpoint is lost: all batches run again
+    assert outcomes() == want
+
+
+def test_nothing_is_kept_of_what_ended(spark, tmp_path):
+    source, base, check = (str(tmp_path / n) for n in ("in", "base", "check"))
+    have = []
+    rows = [("p", "x", 0, "BEGIN", "q", 4, None, None), ("p", "x", 1, "APPEND", None, None, 0, 4), ("p", "x", 2, "COMPLETE", None, None, None, None),
+            ("p", "y", 3, "BEGIN", "q", 4, None, None), ("p", "y", 4, "CANCEL", None, None, None, None)]
+    asked = spark.createDataFrame([("p", "x"), ("p", "y")], "peer string, content_id string")
+
+    def run(*events):
+        spark.createDataFrame(list(events), stream.EVENT).coalesce(1).write.mode("append").parquet(source)
+        objects = spark.createDataFrame([(c, True) for c in have], "content_id string, available boolean")
+        stream.start_transfers(spark, source, base, lambda: asked, lambda: objects, check, available_now=True).awaitTermination()
+        return [(r.content_id, r.stored) for r in stream.open_state(spark, base).collect()]
+
+    assert run(*rows) == [("x", True)]  # until the catalog has it
+    have.append("x")
+    assert run(("p", "x", 5, "BEGIN", "q", 4, None, None)) == []
+    assert {r.event_id: r.status for r in stream.read_outcomes(spark, base).collect()}[5] == "ALREADY_PRESENT"
 
 
 @pytest.fixture
@@ -135,6 +125,10 @@ def test_pull_stream_is_harmless_to_repeat_and_retries_waiting_records(spark, pe
     second = run()
     assert set(second) == {"r1", "r2", "r4", "r5"} and sorted(second.values()) == [1, 2, 3, 4]
     assert {r: s for r, s in second.items() if r in first} == first
+    # The record with a wrong tag is kept once and not tried again.
+    rejected = spark.read.parquet(f"{base}/rejected").collect()
+    assert [(r.revision_id, r.status) for r in rejected] == [("r3", "INVALID")]
+    assert spark.read.parquet(f"{base}/waiting").where("revision_id = 'r3'").count() == 0
 
 
 def test_a_refused_record_commits_when_its_author_is_added(spark, peer, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids
 from tidemark.operators import admission, changelog, members as mb, reports, requests as rq, retention as rt
 from tidemark.operators import transfers as tr
+from tidemark.operators import waiting as wt
 from tidemark.operators.manifests import missing_objects
 from tidemark.plans import fixtures as fx
 from tidemark.plans import sql
@@ -16,6 +18,7 @@ from tidemark.session import materialized, step_folder
 from tidemark.sources import tables
 from tidemark.sources.keyed import KeyedTable
 from tidemark.streaming import pull as pl
+from tidemark.streaming import transfers as ts
 
 NOW = 1_700_000_000_000
 LONG = "bigint"
@@ -408,6 +411,47 @@ def page_verdicts(spark, sf_dir):
     return verdicts.select("page_id", "committed", "replayed", "waiting", "failed", "high_watermark", "has_more", "accepted_through")
 
 
+def pull_stream(spark, sf_dir):
+    """The log after following a peer's change files: two files, a restart, two files and a restart again."""
+    remote, log, local = peer_tables(spark, sf_dir)
+    types = [field.split() for field in pl.CHANGE.split(", ")]
+    remote = remote.select(*[F.col(name).cast(kind).alias(name) for name, kind in types])
+    known = local.provenance()
+    known = known.select(*[F.col(c).cast("string").alias(c) for c in known.columns])
+    local = replace(local, provenance=lambda: known)
+    base = step_folder(spark, "pull")
+    late = F.col("sequence") % 2 == 0
+    for part in (~late, late):
+        remote.where(part).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        for _ in range(2):
+            pl.start_pull(spark, f"{base}/in", base, "1", str(PEER), local, f"{base}/check", available_now=True).awaitTermination()
+    pulled = spark.read.parquet(f"{base}/log").where("batch >= 0")
+    top = pulled.agg(F.max("sequence").alias("top"), F.count(F.lit(1)).alias("n"), F.countDistinct("sequence").alias("distinct"))
+    dense = F.expr("top = n AND n = distinct").alias("dense")
+    return pulled.join(top.select(dense, F.lit(1).alias("one")), F.col("one") == 1).select("revision_id", "content_id", "dense")
+
+
+def waiting_records(spark, sf_dir):
+    """Orders that lacked parts, and what has become complete and what still waits when some parts arrive."""
+    refs, objects = order_refs(spark, sf_dir), order_objects(spark, sf_dir)
+    readable = objects.withColumn("available", F.col("available") & (F.substring("content_id", 2, 20).cast(LONG) % 7 != 3))
+    waiting = order_changes(spark, sf_dir).select("group_id", "revision_id", "content_id")
+    index = wt.waiting_index(waiting, refs, readable)
+    arrived = fx.table(spark, sf_dir, "part").where("p_partkey % 7 = 3").select(text("p", "p_partkey").alias("content_id"))
+    complete, rest = wt.wake(index, arrived)
+    return complete.withColumn("missing", F.lit(0).cast(LONG)).unionByName(rest.groupBy("group_id", "revision_id").agg(F.max("missing").alias("missing")))
+
+
+WAITING_RECORDS = """WITH absent AS (
+  SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem
+  WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 40 <> 5 AND p_partkey % 7 <> 3)),
+counted AS (
+  SELECT k, count(*) AS n, count_if(p % 7 = 3 AND p IN (SELECT p_partkey FROM part)) AS arrived FROM absent GROUP BY k)
+SELECT CAST(1 AS BIGINT) AS group_id, 'r' || k AS revision_id, n - arrived AS missing
+FROM counted WHERE k IN (SELECT o_orderkey FROM orders)
+  AND (arrived = n OR n - arrived > 0)"""
+
+
 def next_cursor(spark, sf_dir):
     _, verdicts = admitted_orders(spark, sf_dir)
     return pl.next_cursor(verdicts, 200)
@@ -446,6 +490,12 @@ cursor AS (SELECT coalesce(max(accepted_through), 200) AS sequence FROM judged,
 SELECT sequence, sequence <= 200 AND stop_at IS NOT NULL AS stalled FROM cursor, stop"""
 
 
+_PULLED = ADMIT_SQL.replace("AND k + 1 > 200", "").replace(
+    "LEFT JOIN order_log l ON", "LEFT JOIN (SELECT * FROM order_log WHERE false) l ON"
+)
+PULL_STREAM = f"{_PULLED} SELECT revision_id, content_id, true AS dense FROM ranked WHERE status = 'COMMITTED'"
+
+
 def advance_watermarks(spark, sf_dir):
     progress = fx.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(
         F.lit(1).cast(LONG).alias("group_id"), F.col("c_custkey").alias("peer"), (F.col("c_custkey") * 37 % 2000).alias("sequence")
@@ -564,19 +614,34 @@ def transfer_replay(spark, sf_dir):
     return replayed_transfers(spark, sf_dir).outcomes
 
 
-def transfer_peers(spark, sf_dir):
-    """Transfers of objects that two peers send at the same time."""
+def shared_transfers(spark, sf_dir):
     events = fx.transfer_events(spark, sf_dir)
     asked = events.select("content_id").distinct().where("CAST(content_id AS BIGINT) % 13 <> 2")
     number = F.col("content_id").cast(LONG)
     shared = [F.concat(F.lit("p"), number % 2).alias("peer"), F.expr("CAST(CAST(content_id AS BIGINT) div 2 AS STRING)").alias("content_id")]
     rest = [c for c in events.columns if c not in ("peer", "content_id")]
+    return events.select(*shared, *rest), asked.select(*shared)
+
+
+def transfer_stream(spark, sf_dir):
+    """The transfers of ``transfer_peers`` as a stream that is stopped half-way and started again."""
+    events, asked = shared_transfers(spark, sf_dir)
+    events = materialized(events.select(*[field.split()[0] for field in ts.EVENT.split(", ")]))
     none = events.where("false").select("content_id", F.lit(True).alias("available"))
-    return tr.replay_transfers(events.select(*shared, *rest), asked.select(*shared), none).outcomes
+    base = step_folder(spark, "transfers")
+    middle = events.agg(F.percentile_approx("event_id", 0.5).alias("m")).first()["m"]
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        events.where(part).write.mode("append").parquet(f"{base}/in")
+        run = ts.start_transfers(spark, f"{base}/in", base, lambda: asked, lambda: none, f"{base}/check", available_now=True)
+        run.awaitTermination()
+    return ts.read_outcomes(spark, base)
 
 
-def transfer_progress(spark, sf_dir):
-    return tr.transfer_progress(replayed_transfers(spark, sf_dir).states)
+def transfer_peers(spark, sf_dir):
+    """Transfers of objects that two peers send at the same time."""
+    events, asked = shared_transfers(spark, sf_dir)
+    none = events.where("false").select("content_id", F.lit(True).alias("available"))
+    return tr.replay_transfers(events, asked, none).outcomes
 
 
 def transfer_hot_key(spark, sf_dir):
@@ -599,6 +664,12 @@ ops AS (
   UNION ALL SELECT 1, block * 1500 + 1499, CASE WHEN block % 2 = 0 THEN 'CANCEL' ELSE 'COMPLETE' END, NULL, NULL, NULL, NULL FROM sized),
 {sql.TRANSFER_FOLD.replace("numbered AS (", "numbered AS MATERIALIZED (").replace("(object_no % 17 = 5 AND object_no IN (SELECT p_partkey FROM part))", "false")}
 SELECT 'p' AS peer, 'x' AS content_id, event_id, op, status, received FROM fold WHERE rn > 0"""
+
+
+def transfer_progress(spark, sf_dir):
+    return tr.transfer_progress(replayed_transfers(spark, sf_dir).states)
+
+
 TRANSFER_REPLAY = f"""WITH RECURSIVE {sql.TRANSFERS}
 SELECT 'p' || (object_no % 3) AS peer, CAST(object_no AS VARCHAR) AS content_id, event_id, op, status, received
 FROM fold WHERE rn > 0"""
@@ -905,6 +976,7 @@ QUERIES = {
     "batch_validation": (batch_validation, BATCH_VALIDATION),
     "authorize_changes": (authorize_changes, AUTHORIZE_CHANGES),
     "admit_batch": (admit_batch, ADMIT_BATCH),
+    "pull_stream": (pull_stream, PULL_STREAM),
     "page_verdicts": (page_verdicts, PAGE_VERDICTS),
     "next_cursor": (next_cursor, NEXT_CURSOR),
     "advance_watermarks": (advance_watermarks, ADVANCE_WATERMARKS),
@@ -913,9 +985,11 @@ QUERIES = {
     "request_attempts": (request_attempts, REQUEST_ATTEMPTS),
     "request_clear": (request_clear, REQUEST_CLEAR),
     "request_batches": (request_batches, REQUEST_BATCHES),
+    "waiting_records": (waiting_records, WAITING_RECORDS),
     "transfer_replay": (transfer_replay, TRANSFER_REPLAY),
     "transfer_hot_key": (transfer_hot_key, TRANSFER_HOT_KEY),
     "transfer_peers": (transfer_peers, TRANSFER_PEERS),
+    "transfer_stream": (transfer_stream, TRANSFER_PEERS),
     "transfer_progress": (transfer_progress, TRANSFER_PROGRESS),
     "pull_report": (pull_report, PULL_REPORT),
     "sync_report": (sync_report, SYNC_REPORT),

@@ -16,6 +16,9 @@ from tidemark.operators.changelog import paginate, read_changes
 PAGE_RECORDS = 64
 POLL_SECONDS = 15
 
+# What is wrong with such a record is wrong with it for ever.
+HOPELESS = ("INVALID", "MISMATCH", "REVISION_MISMATCH", "REVISION_CONTENT_MISMATCH", "OBJECT_KIND_MISMATCH")
+
 CHANGE = (
     "group_id string, sequence bigint, revision_id string, manifest_revision_id string, "
     "content_id string, author string, tag string"
@@ -100,10 +103,11 @@ def start_pull(
     """Stream a peer's change files into ``base/log``.
 
     Each micro-batch writes its own folder and reads only those of earlier batches, so a batch
-    that runs again after a failure gives the same table. Records that are neither committed nor
-    known already are kept in ``base/waiting`` with their status and tried again with the next
-    batch: the stream has passed their file, and a missing chunk, author or peer may be added
-    later. Duplicates are found by revision, not by time.
+    that runs again after a failure gives the same table. Records that can still be accepted are
+    kept in ``base/waiting`` with their status and tried again with the next batch: the stream has
+    passed their file, and a missing chunk, author or peer may be added later. Those that nothing
+    can mend (``HOPELESS``) are written once, to ``base/rejected``. Duplicates are found by
+    revision, not by time.
     """
     for name, schema in (("log", LOG), ("waiting", CHANGE)):
         empty = spark.createDataFrame([], schema)
@@ -137,11 +141,11 @@ def start_pull(
         admitted.where("status = 'COMMITTED'").select(*names).write.mode("overwrite").parquet(
             f"{base}/log/batch={batch}"
         )
-        admitted.where("status NOT IN ('COMMITTED', 'REPLAYED')").withColumnRenamed("peer_sequence", "_s").drop(
-            "sequence"
-        ).withColumnRenamed("_s", "sequence").select(*columns, "status").write.mode("overwrite").parquet(
-            f"{base}/waiting/batch={batch}"
-        )
+        held = admitted.where("status NOT IN ('COMMITTED', 'REPLAYED')").drop("sequence")
+        held = held.withColumnRenamed("peer_sequence", "sequence").select(*columns, "status")
+        hopeless = F.col("status").isin(*HOPELESS)
+        held.where(~hopeless).write.mode("overwrite").parquet(f"{base}/waiting/batch={batch}")
+        held.where(hopeless).write.mode("overwrite").parquet(f"{base}/rejected/batch={batch}")
 
     stream = (
         spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)

@@ -1,97 +1,89 @@
-"""Resumable-transfer accounting on an unbounded stream of transfer events."""
+"""Resumable-transfer accounting on an unbounded stream of transfer events.
+
+Each micro-batch is replayed by the rules of ``operators.transfers`` on top of what earlier ones
+left. What they left is a keyed table with one version per batch: the open transfers of all peers, and
+the objects stored that the catalog does not have yet. Closed and cancelled transfers leave nothing, so the state is as large as
+what is in flight, and a transfer of any size is replayed as in a batch job.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tidemark.operators.manifests import NIL_ID
-from tidemark.operators.transfers import MAXIMUM_SIZE
+from pyspark.sql.streaming import StreamingQuery
 
-OUTPUT = "peer string, content_id string, event_id bigint, op string, status string, received bigint"
-STATE = "size bigint, received bigint, present boolean"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from tidemark.operators.transfers import FIELDS, KEYS, replay_transfers
+from tidemark.session import discard, materialized
+from tidemark.sources.keyed import BUCKETS, KeyedTable
 
+EVENT = (
+    "peer string, content_id string, event_id bigint, op string, request_id string, size bigint, "
+    "start_offset bigint, len bigint"
+)
+STATE = "peer string, content_id string, size bigint, received bigint, stored boolean"
 
-class TransferProcessor(StatefulProcessor):
-    """Keeps ``size, received, present`` per transfer; events carry ``requested``."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.transfer = handle.getValueState("transfer", STATE)
+def read_outcomes(spark: SparkSession, base: str) -> DataFrame:
+    """(peer, content_id, event_id, op, status, received) of all events so far."""
+    return spark.read.parquet(f"{base}/outcomes").drop("batch")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows).sort_values("event_id")
-        size, received, present = self.transfer.get() if self.transfer.exists() else (None, None, False)
-        out = []
-        for e in events.itertuples(index=False):
-            status = _status(e, size, received, present)
-            if status == "START":
-                size, received = int(e.size), 0
-            elif status == "ACCEPTED":
-                received += int(e.len)
-            elif status in ("STORED", "CANCELLED"):
-                size, received, present = None, None, present or status == "STORED"
-            out.append((key[0], key[1], int(e.event_id), e.op, status, received))
-        self.transfer.update((size, received, present))
-        frame = pd.DataFrame(out, columns=["peer", "content_id", "event_id", "op", "status", "received"])
-        yield frame.astype({"received": "Int64"})
 
-    def close(self) -> None:
-        pass
+def open_state(spark: SparkSession, base: str) -> DataFrame:
+    """Open transfers, and stored objects (``peer`` NULL) that were not in the catalog."""
+    return KeyedTable(spark, f"{base}/state").read()
 
 
-def _status(e, size: int | None, received: int | None, present: bool) -> str:
-    if e.op == "BEGIN":
-        if not isinstance(e.request_id, str) or e.request_id == NIL_ID:
-            return "NIL_REQUEST"
-        if pd.isna(e.size) or not 1 <= e.size <= MAXIMUM_SIZE:
-            return "SIZE_OUT_OF_RANGE"
-        if present or e.already_present:
-            return "ALREADY_PRESENT"
-        if not e.requested:
-            return "NOT_REQUESTED"
-        if size is None:
-            return "START"
-        return "RESUME" if size == e.size else "SIZE_MISMATCH"
-    if e.op == "CANCEL":
-        return "NOTHING_TO_CANCEL" if size is None else "CANCELLED"
-    if e.op not in ("APPEND", "COMPLETE"):
-        return "UNKNOWN_OPERATION"
-    if size is None:
-        return "NOT_FOUND"
-    if e.op == "COMPLETE":
-        return "STORED" if received == size else "INCOMPLETE"
-    if e.start_offset != received:
-        return "OFFSET_MISMATCH"
-    if e.len == 0:
-        return "NOOP"
-    return "EXCEEDS_SIZE" if received + e.len > size else "ACCEPTED"
+def start_transfers(
+    spark: SparkSession,
+    source: str,
+    base: str,
+    requests: Callable[[], DataFrame],
+    objects: Callable[[], DataFrame],
+    checkpoint: str,
+    files_per_trigger: int = 100,
+    available_now: bool = False,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Follow a folder of event files; statuses go to ``base``/outcomes.
 
+    ``requests`` (``peer, content_id``) and ``objects`` (``content_id, available``) are read in every
+    batch. Events of one object come in the order of ``event_id``, batch by batch. A batch that
+    is run again starts from the same version of the state and replaces its own outcomes.
+    """
+    state = KeyedTable(spark, f"{base}/state")
+    if not state.version():
+        state = KeyedTable.create(spark.createDataFrame([], STATE), f"{base}/state", ["content_id"], buckets)
 
-def stream_transfers(events: DataFrame, requests: DataFrame, objects: DataFrame) -> DataFrame:
-    """Status of each event of a stream, with state kept across restarts.
+    def replay(events: DataFrame, number: int) -> None:
+        events = materialized(events.select(*KEYS, "event_id", *FIELDS))
+        # Version 1 is the empty table before batch 0.
+        before = state.manifest(number + 1)
+        touched = events.select("content_id").distinct()
+        known = state.read(before, state.touched(events, before)).join(touched, "content_id", "left_semi")
+        known = materialized(known)
+        catalog = materialized(objects().join(touched, "content_id", "left_semi").select("content_id", "available"))
+        stored = known.where("stored").select("content_id", F.lit(True).alias("available"))
+        opened = known.where("NOT stored").select(*KEYS, "size", "received")
+        fold = replay_transfers(events, requests(), catalog.unionByName(stored), opened)
+        fold.outcomes.write.mode("overwrite").parquet(f"{base}/outcomes/batch={number}")
+        if state.version() == before.version:
+            states = materialized(fold.states)
+            done = states.where("state.present").select("content_id").unionByName(stored.select("content_id")).distinct()
+            still = states.where("state.open").select(*KEYS, "state.size", "state.received")
+            others = opened.join(events.select(*KEYS).distinct(), KEYS, "left_anti")
+            flight = still.unionByName(others).join(done, "content_id", "left_anti")
+            listed = catalog.where("available").select("content_id")
+            kept = done.join(listed, "content_id", "left_anti").select(
+                F.lit(None).cast("string").alias("peer"), "content_id",
+                F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("received"), F.lit(True).alias("stored"),
+            )
+            after = materialized(flight.withColumn("stored", F.lit(False)).unionByName(kept))
+            state.change(touched, lambda old, new: old.join(new, "content_id", "left_anti").select(*old.columns).unionByName(after.select(*old.columns)))
+            discard(states, after)
+        discard(events, known, catalog)
 
-    ``requests`` and ``objects`` are tables joined to every micro-batch. One transfer's
-    events inside a micro-batch are sorted together, so bound the batch at the source
-    (``maxFilesPerTrigger``). The session needs the RocksDB state store.
-    """
-    keys = ["peer", "content_id"]
-    asked = requests.select(*keys).distinct().withColumn("requested", F.lit(True))
-    have = objects.where("available").select("content_id").distinct().withColumn("already_present", F.lit(True))
-    columns = ["event_id", "op", "request_id", "size", "start_offset", "len"]
-    rows = (
-        events.select(*keys, *columns)
-        .join(asked, keys, "left")
-        .join(have, "content_id", "left")
-        .na.fill(False, ["requested", "already_present"])
-    )
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=TransferProcessor(),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="None",
-    )
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    writer = stream.writeStream.foreachBatch(replay).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
