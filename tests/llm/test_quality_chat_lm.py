@@ -8,6 +8,7 @@ import numpy as np
 from corpus import frame, pandas, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import chat, fm, lm, quality_rules, queries
@@ -107,6 +108,60 @@ def test_rules_on_labelled_documents(spark):
     assert sum(k for k, y in fair if not y) <= 0.1 * sum(1 - y for _, y in fair)
 
 
+def test_planted_boilerplate_is_what_is_marked(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    field = quality_rules.train(docs, labels)
+    notices = [
+        "Copyright 2020 the authors. All rights reserved.",
+        "Home | Products | About us | Sign in | Contact",
+        "$$$ BUY!! NOW!! $$$ BEST!! PRICE!! $$$",
+    ]
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    texts = [r["text"] for r in docs.where("doc_id < 300").collect() if r["doc_id"] in good and r["text"]]
+    exact, shares = 0, []
+    for k, text in enumerate(texts):
+        lines = [x for x in text.split("\n") if x.split()]
+        before = quality_rules.viterbi(field, quality_rules.line_features("\n".join(lines))[0])
+        at = k % (len(lines) + 1)
+        planted = lines[:at] + notices + lines[at:]
+        found = quality_rules.viterbi(field, quality_rules.line_features("\n".join(planted))[0])
+        exact += found == before[:at] + [0, 0, 0] + before[at:]
+    assert len(texts) > 50 and exact >= 0.97 * len(texts)
+    shares = [r["content_share"] for r in quality_rules.judge(docs, field).where("not base_failed").collect()]
+    assert sum(0 < s < 1 for s in shares) > 0.04 * len(shares)
+
+
+def test_lines_get_labels_of_their_own():
+    random = np.random.default_rng(8)
+    # Bad documents are half plain lines, good ones have one noisy line in twenty.
+    rows = [(y, (1 | (random.random(20) < (0.5, 0.05)[y]) << 1).astype("<i2")) for y in (0, 1) * 40]
+    field = quality_rules.fit(rows)
+    mixed = [1, 1, 3, 1, 1, 3, 3, 1]
+    assert quality_rules.viterbi(field, mixed) == [int(b == 1) for b in mixed]
+    notice = 1 | 1 << quality_rules.NOTICE
+    seen = quality_rules.sighted(np.array([1, 3, notice] * 50), np.repeat([0, 1], 75))
+    assert max(seen[2::3]) < 0.1
+
+
+def test_training_runs_are_bounded_for_every_text():
+    run, most = quality_rules.SEQUENCE, quality_rules.WINDOWS * quality_rules.SEQUENCE
+    for lines in (0, 1, run, most, most + 1, 10 * run + 3):
+        bits = [1 | (k * 7 % 11) << 1 for k in range(lines)]
+        taken = np.frombuffer(quality_rules.chosen_runs(bits), "<i2").tolist()
+        assert len(taken) == min(lines, most)
+        assert lines > most or taken == bits
+        whole = [bits[low : low + run] for low in range(0, lines, run)]
+        assert all(taken[low : low + run] in whole for low in range(0, len(taken), run))
+
+
+def test_repeated_ids_are_fitted_alike(spark):
+    docs = spark.createDataFrame([(k % 4, f"{'a $ ' * (k + 1)}\nplain words {k}") for k in range(12)], "doc_id int, text string")
+    labels = spark.createDataFrame([(k % 4, (k // 3) % 2) for k in range(8)], "doc_id int, quality int")
+    one, two = (quality_rules.train(d, labels) for d in (docs, docs.orderBy(F.desc("text")).repartition(3)))
+    assert np.array_equal(one.lines, two.lines) and np.array_equal(one.steps, two.steps)
+
+
 def test_rules_on_awkward_rows(spark):
     none = quality_rules.fit([])
     found = pandas(quality_rules.judge(frame(spark), none))
