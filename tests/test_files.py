@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunking, diff
+from tidemark.plans import content
 from tidemark.sources import files
 
 
@@ -74,3 +75,72 @@ def test_files_that_vanish_are_rows(spark, tmp_path):
     assert read["kept"] == (b"abc", None) and read["gone"][0] is None and read["gone"][1].startswith("READ_ERROR")
     chunks = {r.path: (r.size, r.error) for r in files.chunk_files(listed, str(tmp_path)).collect()}
     assert chunks["kept"] == (3, None) and chunks["gone"][0] is None and chunks["gone"][1].startswith("READ_ERROR")
+
+
+SMALL = dict(minimum=64, average=256, maximum=1024)
+
+
+def test_blocks_of_one_file_give_the_cuts_of_the_whole(spark, tmp_path):
+    pick = random.Random(12)
+    contents = {
+        "random": pick.randbytes(200_000),
+        "zeros": bytes(50_001),
+        "mixed": pick.randbytes(7_001) + bytes(30_000) + pick.randbytes(20_000),
+        "periodic": pick.randbytes(700) * 90,
+        "empty": b"",
+        "tiny": b"x" * 63,
+        "edge": pick.randbytes(4096),
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    listing = files.list_files(spark, str(tmp_path))
+    for block in (64, 1000, 4096, 1 << 20):
+        if block == 64:
+            wanted = listing.where("path IN ('tiny', 'edge', 'empty')")
+        else:
+            wanted = listing.unionByName(listing)
+        rows = files.chunk_blocks(wanted, str(tmp_path), block=block, **SMALL).collect()
+        assert all(r.error is None for r in rows)
+        for name in {r.path for r in wanted.collect()}:
+            data, mine = contents[name], sorted((r for r in rows if r.path == name), key=lambda r: r.chunk_index)
+            ends = chunking.cut_points(np.array([0, len(data)]), np.frombuffer(data, np.uint8), tuple(SMALL.values()))[0]
+            assert [r.offset + r.size for r in mine] == ends, (name, block)
+            assert [r.chunk_index for r in mine] == list(range(len(ends)))
+    cuts = files.chunk_blocks(listing, str(tmp_path), block=4096, **SMALL)
+    read = files.chunk_payloads(cuts, str(tmp_path), block=4096).collect()
+    for name, data in contents.items():
+        mine = sorted((r for r in read if r.path == name), key=lambda r: r.offset)
+        assert b"".join(bytes(r.payload) for r in mine) == data
+
+
+def test_blocks_that_cannot_be_read_refuse_their_file(spark, tmp_path):
+    (tmp_path / "kept").write_bytes(b"abc" * 1000)
+    (tmp_path / "shrunk").write_bytes(b"abc" * 1000)
+    listed = spark.createDataFrame(
+        [("kept", 3000), ("shrunk", 9000), ("gone", 5000), ("no length", None)], "path string, length bigint"
+    )
+    rows = files.chunk_blocks(listed, str(tmp_path), block=1000, **SMALL).collect()
+    assert {r.path for r in rows} == {"kept", "shrunk", "gone"}
+    for name in ("shrunk", "gone"):
+        (row,) = (r for r in rows if r.path == name)
+        assert row.size is None and row.error.startswith("READ_ERROR")
+    assert sum(r.size for r in rows if r.path == "kept") == 3000
+    assert files.chunk_blocks(listed.limit(0), str(tmp_path)).collect() == []
+    cut = spark.createDataFrame([("gone", 0, 0, 10, None), ("kept", 0, 2995, 10, None)], files.CUT)
+    assert [r.payload for r in files.chunk_payloads(cut, str(tmp_path)).collect()] == [None, None]
+
+
+def test_registered_folder_queries_equal_the_folder(spark):
+    sf = "/root/testdata/sf0.001"
+    here = {}
+    for folder, _, names in os.walk(sf):
+        for name in names:
+            with open(os.path.join(folder, name), "rb") as source:
+                here[os.path.relpath(os.path.join(folder, name), sf)] = source.read()
+    listed = {r.path: r.length for r in content.folder_listing(spark, sf).collect()}
+    assert listed == {path: len(data) for path, data in here.items()}
+    sizes, found = tuple(content.FOLDER_SIZES.values()), {}
+    for r in content.folder_chunks(spark, sf).orderBy("path", "chunk_index").collect():
+        found.setdefault(r.path, []).append(r.offset + r.size)
+    for path, data in here.items():
+        assert found.get(path, []) == chunking.cut_points(np.array([0, len(data)]), np.frombuffer(data, np.uint8), sizes)[0]

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,34 @@ def test_a_long_chain_takes_few_rounds(spark):
     heads = spark.createDataFrame([], "path_id string, content_id string")
     committed, rounds = chain.committed_rows(proposals, heads, ["path_id"], "position", F.lit(False))
     assert committed.count() == 600 and rounds <= 12
+
+
+def test_maintained_frontier_equals_one_run(spark, tmp_path):
+    pick = random.Random(31)
+    rows = []
+    for k in range(400):
+        counters = {d: pick.randint(1, 6) for d in pick.sample("abcd", pick.randint(1, 3))}
+        author = pick.choice([*counters, *counters, None])
+        rows.append((f"f{pick.randint(0, 7)}", f"r{pick.randint(0, 350)}", author, sorted(counters.items()), k % 5))
+    changes = spark.createDataFrame(
+        rows, "file_id string, revision_id string, author string, vv array<struct<d: string, c: bigint>>, batch int"
+    )
+    state = rc.frontier_table(spark, str(tmp_path / "kept"), buckets=16)
+    assert rc.kept_frontier(state).collect() == []
+    for batch in range(5):
+        mine = changes.where(f"batch = {batch}")
+        rc.maintain_frontier(state, mine, batch)
+        again = rc.maintain_frontier(state, mine, batch)
+        assert again == state.version() == batch + 2  # a batch given again makes no version
+        so_far = changes.where(f"batch <= {batch}")
+        wanted = Counter(map(tuple, rc.frontier(so_far).collect()))
+        assert Counter(map(tuple, rc.kept_frontier(state).collect())) == wanted
+    some = spark.createDataFrame([("f1",), ("f1",), ("none",)], "file_id string")
+    assert Counter(map(tuple, rc.kept_frontier(state, some).collect())) == Counter(
+        {row: n for row, n in wanted.items() if row[0] == "f1"}
+    )
+    before = state.manifest().folders
+    rc.maintain_frontier(state, spark.createDataFrame([("f3", "new", "z", [("z", 1)], 9)], changes.schema), 9)
+    changed = [b for b, folders in state.manifest().folders.items() if before.get(b) != folders]
+    assert len(changed) == 1  # only the bucket of that file is written
+    assert ("f3", "z", "new", None) in map(tuple, rc.kept_frontier(state).collect())

@@ -57,7 +57,7 @@ def _masks(average: int) -> tuple[np.uint64, np.uint64]:
     return top(bits + 1), top(max(bits - 1, 1))
 
 
-def _candidates(data: np.ndarray, average: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(data: np.ndarray, average: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions after which a cut may fall, for the strict and the loose mask.
 
     The gear hash at a byte depends on the 64 bytes that end there. It is built for a whole
@@ -90,7 +90,7 @@ def cut_points(offsets: np.ndarray, data: np.ndarray, sizes: tuple[int, int, int
     into the value before it and the cuts do not depend on how rows were batched.
     """
     minimum, average, maximum = sizes
-    strict, loose = _candidates(data, average)
+    strict, loose = candidates(data, average)
     strict_list, loose_list = strict.tolist(), loose.tolist()
     n_strict, n_loose = len(strict_list), len(loose_list)
     out = []

@@ -7,7 +7,7 @@ two records of one revision are equal exactly when it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
@@ -16,6 +16,7 @@ from tidemark.functions.paths import conflict_path
 from tidemark.functions.vv import VV_TYPE, vv_ge, vv_label, vv_relation
 from tidemark.operators.chain import committed_rows, last_marked
 from tidemark.operators.fold import Fold, segmented_fold
+from tidemark.sources.keyed import BUCKETS, KeyedTable
 
 FILE, TOMBSTONE = "FILE", "TOMBSTONE"
 #: Rows at the end of a segment that are looked at for states it may end in.
@@ -236,6 +237,17 @@ def replay_report(outcomes: DataFrame, changes: DataFrame, me: str, folded_throu
 REPEATED_COUNTER, NO_AUTHOR = "REPEATED_COUNTER", "NO_AUTHOR"
 
 
+def _frontier_entries(changes: DataFrame) -> DataFrame:
+    """One row per device of every record, with the higher counter of a device named twice."""
+    once = F.filter(
+        F.array_distinct("vv"),
+        lambda e: ~F.exists("vv", lambda x: (x["d"] == e["d"]) & (x["c"] > e["c"])),
+    )
+    return changes.select(
+        "file_id", "revision_id", "author", F.xxhash64("vv").alias("_same"), F.explode(once).alias("e")
+    ).select("file_id", "revision_id", "author", "_same", F.col("e.d").alias("d"), F.col("e.c").alias("c"))
+
+
 def frontier(changes: DataFrame) -> DataFrame:
     """Revisions of a file that no other revision descends from; more than one is a conflict.
 
@@ -247,13 +259,7 @@ def frontier(changes: DataFrame) -> DataFrame:
     survives when it, or records with the same vector, alone hold some highest counter. Of a
     device named twice in a vector the higher counter counts.
     """
-    once = F.filter(
-        F.array_distinct("vv"),
-        lambda e: ~F.exists("vv", lambda x: (x["d"] == e["d"]) & (x["c"] > e["c"])),
-    )
-    entries = changes.select(
-        "file_id", "revision_id", "author", F.xxhash64("vv").alias("_same"), F.explode(once).alias("e")
-    ).select("file_id", "revision_id", "author", "_same", F.col("e.d").alias("d"), F.col("e.c").alias("c"))
+    entries = _frontier_entries(changes)
     own = F.coalesce(F.col("author") == F.col("d"), F.lit(False))
     holders = entries.groupBy("file_id", "d", "c").agg(
         F.count(F.lit(1)).alias("n"),
@@ -278,6 +284,83 @@ def frontier(changes: DataFrame) -> DataFrame:
     )
 
 
+#: State of a maintained frontier: tops (``d`` to ``high``) and, where ``entries`` is set, surviving records.
+FRONTIER_STATE = (
+    "file_id string, d string, c bigint, n bigint, own bigint, low bigint, high bigint, "
+    "author string, revision_id string, entries array<struct<d: string, c: bigint>>"
+)
+_TOP = ["c", "n", "own", "low", "high"]
+
+
+def frontier_table(spark: SparkSession, base: str, buckets: int = BUCKETS) -> KeyedTable:
+    """An empty state for ``maintain_frontier``, in buckets of the file."""
+    empty = spark.createDataFrame([], FRONTIER_STATE)
+    return KeyedTable.create(empty, base, ["file_id"], buckets, {"batch": -1})
+
+
+def maintain_frontier(state: KeyedTable, changes: DataFrame, batch: int) -> int:
+    """Move the state on by one batch of changes, unless it has had the batch; its version after that.
+
+    Tops are what ``frontier`` derives for every file and device: the highest counter, how many records
+    hold it, how many of these are their author's own, and whether they are alike. Counters only rise
+    and holders of a counter are only added, so a record that fell never returns: beside the tops only
+    the records that survive so far are kept. A batch reads and rewrites the buckets of its own files.
+    Tops, survivors and the batch's number are one version, so a batch given again after a failure
+    changes nothing. Batches are numbered upwards; a record in two batches is two records, as in ``frontier``.
+    """
+    entries = _frontier_entries(changes)
+    own = F.coalesce(F.col("author") == F.col("d"), F.lit(False))
+    tops = entries.groupBy("file_id", "d", "c").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(own).alias("own"),
+        F.min("_same").alias("low"),
+        F.max("_same").alias("high"),
+    )
+    offered = _gathered(entries.where(own | F.col("author").isNull()))
+    rows = tops.unionByName(offered, allowMissingColumns=True)
+
+    def moved(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new)
+        held = both.where(F.col("entries").isNull()).groupBy("file_id", "d", "c").agg(
+            F.sum("n").alias("n"), F.sum("own").alias("own"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
+        highest = held.groupBy("file_id", "d").agg(F.max_by(F.struct(*_TOP), "c").alias("top"))
+        highest = highest.select("file_id", "d", "top.*")
+        survivors = _gathered(_alive(both, highest))
+        return highest.unionByName(survivors, allowMissingColumns=True)
+
+    return state.change(rows, moved, {"batch": batch}, lambda facts: facts["batch"] >= batch)
+
+
+def _gathered(entries: DataFrame) -> DataFrame:
+    """Records with the entries they may survive by: their author's, or all without an author."""
+    return entries.groupBy("file_id", "author", "revision_id").agg(
+        F.array_sort(F.collect_set(F.struct("d", "c"))).alias("entries")
+    )
+
+
+def _alive(state: DataFrame, tops: DataFrame) -> DataFrame:
+    """Entries of records of a state that hold a top of their file alone."""
+    rows = state.where(F.col("entries").isNotNull()).select("file_id", "author", "revision_id", F.explode("entries").alias("e"))
+    alone = F.when(F.col("author").isNull(), F.col("low") == F.col("high")).otherwise(F.col("n") == F.col("own"))
+    return (
+        rows.select("file_id", "author", "revision_id", F.col("e.d").alias("d"), F.col("e.c").alias("c"))
+        .join(tops.select("file_id", "d", *_TOP), ["file_id", "d", "c"])
+        .where(alone)
+    )
+
+
+def kept_frontier(state: KeyedTable, files: DataFrame | None = None) -> DataFrame:
+    """``frontier`` of all changes the state was given; with ``files`` (``file_id``) of these, read from their buckets."""
+    now = state.manifest()
+    rows = state.read(now, None if files is None else state.touched(files, now))
+    if files is not None:
+        rows = rows.join(files.select("file_id").distinct(), "file_id", "left_semi")
+    flag = F.when(F.col("author").isNull(), NO_AUTHOR).when(F.col("own") > 1, REPEATED_COUNTER)
+    alive = _alive(rows, rows.where(F.col("entries").isNull()))
+    return alive.select("file_id", "author", "revision_id", flag.alias("flag")).distinct()
+
+
 def frontier_problems(changes: DataFrame) -> DataFrame:
     """Records that break what ``frontier`` needs: no author, or an author's counter used twice."""
     own = F.array_max(F.transform(F.filter("vv", lambda e: e["d"] == F.col("author")), lambda e: e["c"]))

@@ -9,10 +9,25 @@ from tidemark.operators import chunking, diff, integrity, manifests as mf
 from tidemark.plans import fixtures as fx
 from tidemark.plans import sql
 from tidemark.session import checkpoint_ready
+from tidemark.sources import files
 
 SMALL = {"minimum": 64, "average": 256, "maximum": 1024}
+FOLDER_SIZES = {"minimum": 4096, "average": 16384, "maximum": 65536}
 NOW = 1_700_000_000_000
 
+# --- folders ---------------------------------------------------------------------------
+
+
+def folder_listing(spark, sf_dir):
+    """The folder of the tables themselves as a snapshot."""
+    return files.list_files(spark, sf_dir).select("path", "length", "path_key", "path_error")
+
+
+def folder_chunks(spark, sf_dir):
+    """Cuts of all files of that folder, each file in blocks of 1 MiB read side by side."""
+    return files.chunk_blocks(files.list_files(spark, sf_dir), sf_dir, **FOLDER_SIZES, block=1 << 20)
+
+
 # --- paths -----------------------------------------------------------------------------
 
 
@@ -447,6 +462,9 @@ GATED_DELETIONS = f"""WITH {sql.DIFF}
 SELECT path_id, 'TOMBSTONE' AS kind, {NOW} AS mtime_ms FROM diff WHERE change = 'DELETED'"""
 
 QUERIES = {
+    # A file listing and file bytes are not tables of the SQL check; tests compare with the folder itself.
+    "folder_listing": (folder_listing, None),
+    "folder_chunks": (folder_chunks, None),
     "path_normalize": (path_normalize, PATH_NORMALIZE),
     "path_validate": (path_validate, PATH_VALIDATE),
     "path_collisions": (path_collisions, PATH_COLLISIONS),

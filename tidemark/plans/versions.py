@@ -10,6 +10,7 @@ from tidemark.operators import reconcile as rc
 from tidemark.operators.ranking import previous_row
 from tidemark.plans import fixtures as fx
 from tidemark.plans import sql
+from tidemark.session import materialized, step_folder
 
 WITH_CHANGES = f"WITH {sql.CHANGES}"
 
@@ -275,6 +276,20 @@ CAUSAL_FRONTIER = f"""{WITH_CHANGES}, dominated AS (
 SELECT file_id, author, revision_id FROM changes WHERE sequence NOT IN (SELECT sequence FROM dominated)"""
 
 
+FRONTIER_BATCHES = 10
+
+
+def maintained_frontier(spark, sf_dir):
+    """The frontier kept up through ten batches, which mix early and late records; each is given twice."""
+    sequence = F.col("sequence")
+    batches = materialized(irregular_changes(spark, sf_dir).withColumn("batch", sequence * 7 % FRONTIER_BATCHES))
+    state = rc.frontier_table(spark, step_folder(spark, "frontier"), buckets=8)
+    for batch in range(FRONTIER_BATCHES):
+        for _ in range(2):
+            rc.maintain_frontier(state, batches.where(F.col("batch") == batch), batch)
+    return rc.kept_frontier(state)
+
+
 def irregular_changes(spark, sf_dir):
     """The log with authors lost, records written twice and devices named twice."""
     seq, changes = F.col("sequence"), fx.changes(spark, sf_dir)
@@ -492,6 +507,7 @@ QUERIES = {
     "replay_report": (replay_report, REPLAY_REPORT),
     "causal_frontier": (causal_frontier, CAUSAL_FRONTIER),
     "irregular_frontier": (irregular_frontier, IRREGULAR_FRONTIER),
+    "maintained_frontier": (maintained_frontier, IRREGULAR_FRONTIER),
     "unresolved_conflicts": (unresolved_conflicts, UNRESOLVED_CONFLICTS),
     "conflict_copies": (conflict_copies, CONFLICT_COPIES),
     "cas_statuses": (cas_statuses, CAS_STATUSES),

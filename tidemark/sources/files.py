@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import normalize_paths, path_error
-from tidemark.operators.chunking import DEFAULT_SIZES, cut_points, size_error
+from tidemark.operators.chunking import DEFAULT_SIZES, WINDOW, candidates, cut_points, size_error
 from tidemark.operators.ranking import union_all
 from tidemark.session import checkpoint_ready
 
@@ -114,6 +114,17 @@ def _open(root: str, path: str):
     return open(os.path.join(root, path), "rb")
 
 
+def _read_range(root: str, path: str, offset: int, size: int) -> bytes:
+    root = _local(root)
+    if "://" in root:
+        fs, base = pafs.FileSystem.from_uri(root)
+        with fs.open_input_file(f"{base}/{path}") as source:
+            return source.read_at(size, offset)
+    with open(os.path.join(root, path), "rb") as source:
+        source.seek(offset)
+        return source.read(size)
+
+
 def read_contents(listing: DataFrame, root: str) -> DataFrame:
     """Whole content of each listed file, for files that fit one value (2 GiB).
 
@@ -203,3 +214,123 @@ def chunk_files(
 
     schema = "path string, chunk_index bigint, offset bigint, size bigint, payload binary, error string"
     return listing.select("path").mapInArrow(run, schema)
+
+
+CUT = "path string, chunk_index bigint, offset bigint, size bigint, error string"
+_END, _LOOSE, _STRICT = 2, 0, 1
+
+
+def chunk_blocks(
+    listing: DataFrame,
+    root: str,
+    minimum: int = DEFAULT_SIZES[0],
+    average: int = DEFAULT_SIZES[1],
+    maximum: int = DEFAULT_SIZES[2],
+    block: int = 32 * 1024 * 1024,
+) -> DataFrame:
+    """Cuts of each listed file, one file in many tasks: ``path, chunk_index, offset, size, error``.
+
+    Blocks are read side by side, each with the bytes a hash window reaches back, and give the places
+    where a cut may fall: two numbers for every ``average`` bytes or so. One pass over a file's places in their
+    order, as a stream that remembers the open chunk only, picks the cuts ``cdc_chunk`` makes on the whole
+    content. A file with a block that cannot be read, or that is shorter than listed, has one row with
+    ``error`` and no chunks; a row of the listing without a length has none; rows listed twice count once.
+    """
+    problem = size_error(minimum, average, maximum)
+    if problem:
+        raise ValueError(problem)
+    names = ["path", "at", "kind", "error"]
+    kinds = [pa.string(), pa.int64(), pa.int8(), pa.string()]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def rows(path, at, kind, error=None):
+            columns = [[path] * len(at), at, kind, [error] * len(at)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+        for batch in batches:
+            for path, length, start in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "start"))):
+                if start == 0:
+                    yield rows(path, [length], [_END])
+                low = max(start - (WINDOW - 1), 0)
+                high = min(start + block, length)
+                try:
+                    data = _read_range(root, path, low, high - low)
+                    error = None if len(data) == high - low else "READ_ERROR: shorter than listed"
+                except OSError as failure:
+                    error = f"READ_ERROR: {failure.strerror or failure}"
+                if error:
+                    yield rows(path, [-1], [_END], error)
+                    continue
+                strict, loose = (found + low for found in candidates(np.frombuffer(data, np.uint8), average))
+                loose = loose[loose > start]
+                yield rows(path, loose, np.isin(loose, strict, assume_unique=True).astype(np.int8))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        columns = ["path", "chunk_index", "offset", "size", "error"]
+        path, start, index, failed, out = None, 0, 0, False, []
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=columns)
+
+        for batch in batches:
+            for mine, at, kind, error in zip(*(batch.column(c).to_pylist() for c in names)):
+                if mine != path:
+                    path, start, index, failed = mine, 0, 0, False
+                if error and not failed:
+                    failed = True
+                    out.append((path, None, None, None, error))
+                if failed:
+                    continue
+                while at - start > maximum:
+                    out.append((path, index, start, maximum, None))
+                    start, index = start + maximum, index + 1
+                    if len(out) >= ROWS:
+                        yield packed()
+                        out = []
+                far = at - start
+                if far and (kind == _END or far >= average or (kind == _STRICT and far >= minimum)):
+                    out.append((path, index, start, far, None))
+                    start, index = at, index + 1
+            if out:
+                yield packed()
+                out = []
+
+    files = listing.where(F.col("length").isNotNull()).groupBy("path").agg(F.max("length").alias("length"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest("length", F.lit(1)) - 1, F.lit(block).cast("bigint"))
+    blocks = files.select("path", "length", F.explode(starts).alias("start")).repartition("path", "start")
+    places = blocks.mapInArrow(scan, "path string, at bigint, kind tinyint, error string")
+    # Errors are at -1, so they come before everything else of their file.
+    ordered = places.repartition("path").sortWithinPartitions("path", "at", "kind")
+    return ordered.mapInArrow(choose, CUT)
+
+
+def chunk_payloads(cuts: DataFrame, root: str, block: int = 32 * 1024 * 1024) -> DataFrame:
+    """``cuts`` of ``chunk_blocks`` with their bytes, read by as many tasks as there are blocks of ``block`` bytes.
+
+    A range that cannot be read any more has ``error`` and no payload; rows with an error keep it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                path, _, offset, size, error = (c[0].as_py() for c in row.columns)
+                data = None
+                if error is None:
+                    try:
+                        data = _read_range(root, path, offset, size)
+                        if len(data) < size:
+                            data, error = None, "READ_ERROR: shorter than listed"
+                    except OSError as failure:
+                        error = f"READ_ERROR: {failure.strerror or failure}"
+                yield pa.RecordBatch.from_arrays(
+                    [*row.columns[:4], pa.array([error], pa.string()), pa.array([data], pa.binary())],
+                    names=[*batch.schema.names, "payload"],
+                )
+
+    columns = [c.split()[0] for c in CUT.split(", ")]
+    spread = cuts.select(*columns).repartition("path", F.floor(F.col("offset") / block))
+    return spread.mapInArrow(run, CUT + ", payload binary")

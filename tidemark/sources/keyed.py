@@ -122,14 +122,26 @@ class KeyedTable:
         names = [entry.getPath().getName() for entry in fs.listStatus(path)]
         return {n.split("=")[1]: [f"{place}/{n}"] for n in names if n.startswith("_bucket=")}
 
-    def change(self, rows: DataFrame, rewrite: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-        """Replace the buckets of ``rows`` by ``rewrite(their rows, rows)``; the new version's number."""
+    def change(
+        self,
+        rows: DataFrame,
+        rewrite: Callable[[DataFrame, DataFrame], DataFrame],
+        facts: dict | None = None,
+        done: Callable[[dict], bool] | None = None,
+    ) -> int:
+        """Replace the buckets of ``rows`` by ``rewrite(their rows, rows)``; the new version's number.
+
+        ``facts`` are kept with that version. Nothing happens where ``done`` holds for the facts of the version to
+        be changed, also when another writer made that version meanwhile.
+        """
 
-        def once(now: Manifest) -> Manifest:
+        def once(now: Manifest) -> Manifest | None:
+            if done and done(now.facts):
+                return None
             mine = self.touched(rows, now)
             made = self._write(rewrite(self.read(now, mine), rows), now)
             kept = {b: f for b, f in now.folders.items() if int(b) not in mine}
-            return Manifest(**{**asdict(now), "folders": kept | made})
+            return Manifest(**{**asdict(now), "folders": kept | made, "facts": {**now.facts, **(facts or {})}})
 
         return self._commit(once)
 
@@ -159,10 +171,12 @@ class KeyedTable:
         made = self._write(self.read(manifest, many), manifest)
         return Manifest(**{**asdict(manifest), "folders": manifest.folders | made})
 
-    def _commit(self, once: Callable[[Manifest], Manifest]) -> int:
+    def _commit(self, once: Callable[[Manifest], Manifest | None]) -> int:
         for _ in range(self.attempts):
             now = self.manifest()
             made = once(now)
+            if made is None:
+                return now.version
             made.version, made.parent = now.version + 1, now.version
             try:
                 self._publish(made)
