@@ -213,7 +213,11 @@ def admit_batch(
 
 
 def page_verdicts(admitted: DataFrame, pages: DataFrame) -> DataFrame:
-    """Totals per page and the cursor it moves its peer to (NULL: it must be sent again)."""
+    """Totals per page and the cursor it moves its peer to (NULL: it must be sent again).
+
+    A page without records that says more follow leaves the cursor where it was: at
+    ``after_sequence``, which ``pages`` may carry (without it: NULL).
+    """
     per_page = admitted.groupBy("page_id").agg(
         F.count_if(F.col("status") == "COMMITTED").alias("committed"),
         F.count_if(F.col("status") == "REPLAYED").alias("replayed"),
@@ -225,7 +229,8 @@ def page_verdicts(admitted: DataFrame, pages: DataFrame) -> DataFrame:
         0, ["committed", "replayed", "waiting", "failed"]
     )
     complete = (F.col("waiting") == 0) & (F.col("failed") == 0)
-    through = F.when(F.col("has_more"), F.col("_last")).otherwise(F.col("high_watermark"))
+    before = F.col("after_sequence") if "after_sequence" in pages.columns else F.lit(None).cast("bigint")
+    through = F.when(F.col("has_more"), F.coalesce("_last", before)).otherwise(F.col("high_watermark"))
     return filled.withColumn("accepted_through", F.when(complete, through)).drop("_last")
 
 

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.operators.admission import watermark_of
 
 
-def pull_report(events: DataFrame) -> DataFrame:
-    """Totals per peer. ``events``: ``peer, kind, bytes``; kinds as counted below."""
+def pull_report(events: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """Totals per peer. ``events``: ``peer, kind, bytes``; kinds as counted below.
+
+    With ``progress`` (``peer, sequence``, of one group) also ``peer_high_watermark``, 0 for a peer without one.
+    """
 
     def count(kind: str, name: str):
         return F.count_if(F.col("kind") == kind).alias(name)
 
-    return events.groupBy("peer").agg(
+    totals = events.groupBy("peer").agg(
         count("PAGE", "pages_received"),
         count("COMMITTED", "records_committed"),
         count("REPLAYED", "records_replayed"),
@@ -24,6 +27,10 @@ def pull_report(events: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("kind") == "STORED", F.col("bytes"))), F.lit(0)).alias("bytes_received"),
         count("FAILED", "failures"),
     )
+    if progress is None:
+        return totals
+    reached = progress.groupBy("peer").agg(F.max("sequence").alias("peer_high_watermark"))
+    return totals.join(reached, "peer", "left").na.fill(0, ["peer_high_watermark"])
 
 
 def serve_report(events: DataFrame) -> DataFrame:
@@ -37,9 +44,9 @@ def serve_report(events: DataFrame) -> DataFrame:
     )
 
 
-def sync_report(pulls: DataFrame) -> DataFrame:
-    """One row over all peers of a round, from ``pull_report``."""
-    return pulls.agg(
+def sync_report(pulls: DataFrame, replay: DataFrame | None = None) -> DataFrame:
+    """One row over all peers of a round, from ``pull_report``; with the totals of ``replay_report`` beside it."""
+    totals = pulls.agg(
         F.count_if(F.col("failures") == 0).alias("peers_synchronized"),
         F.count_if(F.col("failures") > 0).alias("peers_failed"),
         *[
@@ -47,6 +54,10 @@ def sync_report(pulls: DataFrame) -> DataFrame:
             for c in ("pages_received", "records_committed", "objects_stored", "bytes_received")
         ],
     )
+    if replay is None:
+        return totals
+    one = F.lit(1).alias("_one")
+    return totals.select("*", one).join(replay.select("*", one), "_one").drop("_one")
 
 
 def replication_status(log: DataFrame, peers: DataFrame, progress: DataFrame, requests: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.operators import admission, changelog, members as mb, reports, requests as rq, retention as rt
+from tidemark.operators import admission, changelog, exchange as ex, members as mb, reports, requests as rq, retention as rt
 from tidemark.operators import transfers as tr
 from tidemark.operators import waiting as wt
 from tidemark.operators.manifests import missing_objects
 from tidemark.plans import fixtures as fx
-from tidemark.plans import sql
+from tidemark.plans import sql, versions
 from tidemark.session import materialized, step_folder
 from tidemark.sources import tables
 from tidemark.sources.keyed import KeyedTable
@@ -431,6 +431,66 @@ def pull_stream(spark, sf_dir):
     return pulled.join(top.select(dense, F.lit(1).alias("one")), F.col("one") == 1).select("revision_id", "content_id", "dense")
 
 
+def sent_envelopes(remote):
+    """What went over the wire for each record of a peer; every thousandth payload is too large."""
+    k = F.col("sequence") - 1
+    content = F.sha2(k.cast("string"), 256)
+    return remote.select(
+        "sequence",
+        F.lpad(F.col("sequence").cast("string"), 32, "9").alias("revision_id"),
+        content.alias("content_id"),
+        F.lpad(F.col("author").cast("string"), 32, "a").alias("author"),
+        F.repeat(F.lit("c"), 128).alias("tag"),
+        F.when(k % 1000 == 900, admission.MAXIMUM_PAYLOAD_BYTES + 1).otherwise(k).alias("payload_bytes"),
+        F.lit("MANIFEST").alias("payload_kind"),
+        content.alias("payload_content_id"),
+    )
+
+
+def pulled_and_woken(spark, sf_dir):
+    """A round from sequence 200; then two parts in three arrive while every author but the peer is revoked."""
+    remote, log, local = peer_tables(spark, sf_dir)
+    objects, members = local.objects(), local.members()
+    state = ex.new_state(spark, log, local.provenance())
+    start = spark.range(1).select(F.lit(1).cast(LONG).alias("group_id"), F.lit(PEER).cast(LONG).alias("peer"), F.lit(200).cast(LONG).alias("sequence"))
+    state = replace(state, progress=start)
+    catalog = ex.Catalog(local.refs(), objects, members)
+    first, verdicts, state = ex.pull_round(remote, sent_envelopes(remote), catalog, state, 1, PEER, 7_000)
+    part = F.substring("content_id", 2, 20).cast(LONG)
+    here = ~F.col("available") & F.col("content_id").startswith("p") & (part % 3 != 0)
+    arrived = objects.where(here).select(F.lit(1).cast(LONG).alias("group_id"), "content_id")
+    later = objects.withColumn("available", F.col("available") | here)
+    status = F.when(F.col("device") == PEER, F.col("status")).otherwise("REVOKED")
+    catalog = ex.Catalog(local.refs(), later, members.withColumn("status", status))
+    second, state = ex.retry_waiting(catalog, state, arrived, 1, PEER)
+    return first, verdicts, second, state
+
+
+def pull_round(spark, sf_dir):
+    first, _, second, _ = pulled_and_woken(spark, sf_dir)
+    columns = ["revision_id", "status", "sequence"]
+    return first.select(F.lit(1).alias("step"), *columns).unionByName(second.select(F.lit(2).alias("step"), *columns))
+
+
+def pull_round_state(spark, sf_dir):
+    """Sizes of the tables after both steps and the cursor."""
+    _, verdicts, _, state = pulled_and_woken(spark, sf_dir)
+
+    def rows(name, frame):
+        return frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+
+    counted = [
+        rows("log", state.log),
+        rows("provenance", state.provenance),
+        rows("waiting", state.waiting),
+        rows("requests", state.requests),
+        rows("index", state.index),
+        rows("refused", verdicts.where("error IS NOT NULL")),
+        state.progress.select(F.lit("cursor").alias("name"), F.col("sequence").alias("n")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
 def waiting_records(spark, sf_dir):
     """Orders that lacked parts, and what has become complete and what still waits when some parts arrive."""
     refs, objects = order_refs(spark, sf_dir), order_objects(spark, sf_dir)
@@ -490,6 +550,39 @@ cursor AS (SELECT coalesce(max(accepted_through), 200) AS sequence FROM judged,
 SELECT sequence, sequence <= 200 AND stop_at IS NOT NULL AS stalled FROM cursor, stop"""
 
 
+ROUND_SQL = f"""{ADMIT_SQL}, bad AS (SELECT coalesce(min(page_id), 1000000000) AS page FROM paged WHERE k % 1000 = 900),
+step1 AS (SELECT r.*, CASE WHEN status = 'REPLAYED' THEN old_sequence
+            WHEN status = 'COMMITTED' THEN (SELECT max(sequence) FROM order_log) + count_if(status = 'COMMITTED') OVER (ORDER BY arrival) END AS seq
+          FROM (SELECT * EXCLUDE (sequence) FROM ranked) r, bad WHERE page_id < page),
+lacking AS (
+  SELECT DISTINCT manifest_id, content_id FROM order_refs
+  WHERE content_id NOT IN (SELECT content_id FROM ready) AND manifest_id IN (SELECT content_id FROM step1 WHERE status = 'WAITING')),
+still AS (SELECT * FROM lacking WHERE content_id NOT IN (SELECT content_id FROM order_objects WHERE CAST(substr(content_id, 2) AS BIGINT) % 3 <> 0)),
+step2 AS (
+  SELECT revision_id, content_id, arrival, old_content, old_sequence,
+         CASE WHEN old_content = content_id THEN 'REPLAYED' WHEN old_content IS NOT NULL THEN 'REVISION_CONTENT_MISMATCH'
+              WHEN content_id IN (SELECT manifest_id FROM order_refs JOIN order_objects o USING (content_id) WHERE o.kind <> 'CHUNK')
+              THEN 'OBJECT_KIND_MISMATCH' ELSE 'COMMITTED' END AS status
+  FROM step1 WHERE status = 'WAITING' AND content_id NOT IN (SELECT manifest_id FROM still)),
+tops AS (SELECT greatest((SELECT max(sequence) FROM order_log), coalesce((SELECT max(seq) FROM step1 WHERE status = 'COMMITTED'), 0)) AS top)"""
+PULL_ROUND = f"""{ROUND_SQL}
+SELECT CAST(1 AS INTEGER) AS step, revision_id, status, CAST(seq AS BIGINT) AS sequence FROM step1
+UNION ALL SELECT 2, revision_id, status, CAST(CASE WHEN status = 'REPLAYED' THEN old_sequence WHEN status = 'COMMITTED'
+  THEN top + count_if(status = 'COMMITTED') OVER (ORDER BY arrival) END AS BIGINT) FROM step2, tops"""
+_UNAUTHENTICATED = ", ".join(f"'{status}'" for status in ex.UNAUTHENTICATED)
+PULL_ROUND_STATE = f"""{ROUND_SQL}, stop AS (
+  SELECT least((SELECT page FROM bad), coalesce(min(page_id), 1000000000)) AS stop_at FROM judged WHERE accepted_through IS NULL)
+SELECT 'log' AS name, (SELECT count(*) FROM order_log) + (SELECT count(*) FROM step1 WHERE status = 'COMMITTED')
+  + (SELECT count(*) FROM step2 WHERE status = 'COMMITTED') AS n
+UNION ALL SELECT 'provenance', (SELECT count(*) FROM stored) + (SELECT count(*) FROM step1
+  WHERE status NOT IN ({_UNAUTHENTICATED}) AND revision_id NOT IN (SELECT revision_id FROM stored))
+UNION ALL SELECT 'waiting', (SELECT count(*) FROM step1 WHERE status = 'WAITING') - (SELECT count(*) FROM step2)
+UNION ALL SELECT 'requests', (SELECT count(DISTINCT content_id) FROM still)
+UNION ALL SELECT 'index', (SELECT count(*) FROM still)
+UNION ALL SELECT 'refused', (SELECT count(DISTINCT page_id) FROM paged WHERE k % 1000 = 900)
+UNION ALL SELECT 'cursor', coalesce(max(accepted_through), 200) FROM judged, stop WHERE page_id < stop_at"""
+
+
 _PULLED = ADMIT_SQL.replace("AND k + 1 > 200", "").replace(
     "LEFT JOIN order_log l ON", "LEFT JOIN (SELECT * FROM order_log WHERE false) l ON"
 )
@@ -713,6 +806,37 @@ PULL_REPORT = """SELECT user_id % 7 AS peer, count_if(event_type = 'click')::BIG
   count_if(event_type = 'error')::BIGINT AS failures FROM events GROUP BY user_id % 7"""
 
 
+def pull_report_cursors(spark, sf_dir):
+    """Totals with the cursor of every peer; one peer has none."""
+    pages = fx.table(spark, sf_dir, "events").where("event_type = 'click'")
+    progress = pages.select((F.col("user_id") % 7).alias("peer"), F.col("event_id").alias("sequence")).where("peer <> 5")
+    return reports.pull_report(pull_events(spark, sf_dir), progress).select(
+        "peer", "pages_received", "records_committed", "peer_high_watermark"
+    )
+
+
+PULL_REPORT_CURSORS = """SELECT user_id % 7 AS peer, count_if(event_type = 'click')::BIGINT AS pages_received,
+  count_if(event_type = 'signup')::BIGINT AS records_committed,
+  coalesce(max(event_id) FILTER (event_type = 'click' AND user_id % 7 <> 5), 0) AS peer_high_watermark
+FROM events GROUP BY user_id % 7"""
+
+
+def serve_report(spark, sf_dir):
+    """What was sent to every peer."""
+    kinds = {"click": "PAGE_SENT", "view": "OBJECT_SENT", "signup": "ACKNOWLEDGED"}
+    named = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()], F.lit("OTHER"))
+    events = fx.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 7).alias("peer"), named.alias("kind"), F.floor(F.col("value") * 100).alias("bytes")
+    )
+    return reports.serve_report(events)
+
+
+SERVE_REPORT = """SELECT user_id % 7 AS peer, count_if(event_type = 'click')::BIGINT AS pages_sent,
+  count_if(event_type = 'view')::BIGINT AS objects_sent,
+  sum(CASE WHEN event_type = 'view' THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END)::BIGINT AS bytes_sent,
+  count_if(event_type = 'signup')::BIGINT AS acknowledgements_received FROM events GROUP BY user_id % 7"""
+
+
 def sync_report(spark, sf_dir):
     rows = pull_events(spark, sf_dir).withColumn(
         "kind", F.when((F.col("kind") == "FAILED") & (F.col("peer") != 3), "PAGE").otherwise(F.col("kind"))
@@ -728,6 +852,20 @@ SYNC_REPORT = """WITH r AS (
 SELECT count_if(f = 0)::BIGINT AS peers_synchronized, count_if(f > 0)::BIGINT AS peers_failed, sum(p)::BIGINT AS pages_received,
        sum(c)::BIGINT AS records_committed, sum(s)::BIGINT AS objects_stored, sum(b)::BIGINT AS bytes_received FROM r"""
 
+
+
+def sync_report_replay(spark, sf_dir):
+    """A round's totals with those of the replay that followed it."""
+    return reports.sync_report(reports.pull_report(pull_events(spark, sf_dir)), versions.replay_report(spark, sf_dir))
+
+
+SYNC_REPORT_REPLAY = f"""SELECT * FROM ({versions.REPLAY_REPORT}), (
+  SELECT count_if(f = 0)::BIGINT AS peers_synchronized, count_if(f > 0)::BIGINT AS peers_failed, sum(p)::BIGINT AS pages_received,
+         sum(c)::BIGINT AS records_committed, sum(s)::BIGINT AS objects_stored, sum(b)::BIGINT AS bytes_received FROM (
+    SELECT count_if(event_type = 'click') AS p, count_if(event_type = 'signup') AS c, count_if(event_type = 'view') AS s,
+           sum(CASE WHEN event_type = 'view' THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END) AS b,
+           count_if(event_type = 'error') AS f FROM events GROUP BY user_id % 7))"""
+
 # --- retention ---------------------------------------------------------------------------------
 
 
@@ -976,6 +1114,8 @@ QUERIES = {
     "batch_validation": (batch_validation, BATCH_VALIDATION),
     "authorize_changes": (authorize_changes, AUTHORIZE_CHANGES),
     "admit_batch": (admit_batch, ADMIT_BATCH),
+    "pull_round": (pull_round, PULL_ROUND),
+    "pull_round_state": (pull_round_state, PULL_ROUND_STATE),
     "pull_stream": (pull_stream, PULL_STREAM),
     "page_verdicts": (page_verdicts, PAGE_VERDICTS),
     "next_cursor": (next_cursor, NEXT_CURSOR),
@@ -991,6 +1131,9 @@ QUERIES = {
     "transfer_peers": (transfer_peers, TRANSFER_PEERS),
     "transfer_stream": (transfer_stream, TRANSFER_PEERS),
     "transfer_progress": (transfer_progress, TRANSFER_PROGRESS),
+    "pull_report_cursors": (pull_report_cursors, PULL_REPORT_CURSORS),
+    "sync_report_replay": (sync_report_replay, SYNC_REPORT_REPLAY),
+    "serve_report": (serve_report, SERVE_REPORT),
     "pull_report": (pull_report, PULL_REPORT),
     "sync_report": (sync_report, SYNC_REPORT),
     "reference_counts": (reference_counts, REFERENCE_COUNTS),
