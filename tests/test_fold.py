@@ -88,3 +88,24 @@ def test_missing_chunks_hold_a_head(spark):
     assert [r.action for r in fold.outcomes.collect()] == ["MISSING_OBJECTS"]
     assert [r.state.revision_id for r in fold.states.collect()] == ["r2"]
     assert [r.action for r in rc.fold_heads(heads, later, "me", missing=absent.where(F.lit(False))).outcomes.collect()] == ["KEEP_BOTH"]
+
+
+def test_changes_of_another_file_cost_no_rounds(spark, rounds, monkeypatch):
+    """The head stays through the ends of segments, between changes of a file it never takes."""
+    monkeypatch.setattr(rc, "LAST_ROWS", 4)
+    rows = []
+    for i in range(240):
+        counter = i + 10 if (i + 1) % 40 < 20 else 1
+        rows.append(("g", "p", "fa" if i % 3 == 0 else "fb", f"r{i:04d}", "FILE", [("a", counter)], f"c{i}", i + 1, "z"))
+    rows += [(*row[:1], "q", *row[2:]) for row in rows]  # here a head of the other file is stored
+    rows += [("g", "n", None if i == 7 else "fa", f"n{i:04d}", "FILE", [("a", i)], f"c{i}", i + 1, "z") for i in range(60)]
+    rows += [("g", "o", "fb", f"o{i:04d}", "FILE", [("a", i)], f"c{i}", i + 1, "z") for i in range(60)]  # all idle
+    df = spark.createDataFrame(rows, ROW)
+    heads = [("g", p, f, "h", "FILE", [("a", 0)], "c", 0, "z") for p, f in (("q", "fb"), ("o", "fa"))]
+    heads = spark.createDataFrame(heads, ROW)
+    missing = df.where("path_id = 'p' AND sequence < 8").select("revision_id")  # the first able change is not the first
+    whole = folded(df, heads, missing=missing)
+    assert rounds == []
+    assert folded(df, heads, 20, missing=missing) == whole
+    assert whole[1]["o"] == "h"
+    assert rounds[0] <= 3

@@ -11,6 +11,9 @@ anything else. For a key of several segments the state each one starts from has
   the next segments, twice as many each time it passes through all of them unchanged.
 
 Candidates only save rounds: what is found is always the state the sequential fold has.
+
+Rows of a long key that no state is moved by (``apart``) are taken out before it is cut: they would
+only push the rows that matter out of the candidates' sight.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.common import let
 from tidemark.operators.chain import reachable
 from tidemark.operators.ranking import join_on_keys, rows_before
 from tidemark.session import discard, materialized
@@ -31,6 +35,8 @@ SEGMENT_ROWS = 2048
 CANDIDATES = 16
 #: Segments that such a state is folded through at first.
 WIDTH = 8
+#: Outcomes gathered in one list before that list is kept as a whole.
+TRACE_ROWS = 64
 
 Transition = Callable[[Column, Column], Column]
 #: (rows of a segment) -> array of states it may end in
@@ -39,6 +45,9 @@ Entries = Callable[[Column], Column]
 
 # (rows of keys with several segments: keys, order, fields, ``_segment``; init) -> keys, _segment, state
 Starts = Callable[[DataFrame, DataFrame], DataFrame]
+# (rows of keys with several segments, init) -> the rows with ``_idle``: a state (NULL: the row has to be folded)
+# from which the row has the outcome it has from any state that can reach it, and which it leaves as it is
+Apart = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class Fold:
@@ -71,6 +80,7 @@ def segmented_fold(
     segment_rows: int | None = None,
     starts: Starts | None = None,
     entries: Entries | None = None,
+    apart: Apart | None = None,
 ) -> Fold:
     """Fold ``rows`` of each key in ``order``.
 
@@ -87,17 +97,19 @@ def segmented_fold(
             segments = materialized(cut.groupBy(*keys, "_segment").agg(packed.alias("rows")))
             return settle(segments, keys, first, state_type, transition, entries)[0]
 
-    batches = _batches(rows, keys, order, fields, size, packed, init, starts)
+    batches, idle = _batches(rows, keys, order, fields, size, packed, init, starts, apart)
 
     # A row's outcome enters the trace one step later: what a step computes stays small (Spark
-    # copies it), and the growing trace is only ever appended to.
+    # copies it). Appending copies a trace, so one is gathered per TRACE_ROWS rows.
     step_type = f"struct<state:{state_type},outcome:{outcome_type}>"
     trace_type = f"array<struct<_order:bigint,outcome:{outcome_type}>>"
-    start = F.struct(
-        F.struct("state", F.lit(None).cast(outcome_type).alias("outcome")).cast(step_type).alias("step"),
-        F.lit(None).cast("bigint").alias("_order"),
-        F.array().cast(trace_type).alias("trace"),
-    )
+
+    def entering(state: Column) -> Column:
+        return F.struct(
+            F.struct(state.alias("state"), F.lit(None).cast(outcome_type).alias("outcome")).cast(step_type).alias("step"),
+            F.lit(None).cast("bigint").alias("_order"),
+            F.array().cast(trace_type).alias("trace"),
+        )
 
     def traced(acc: Column) -> Column:
         entry = F.struct(acc["_order"].alias("_order"), acc["step"]["outcome"].alias("outcome"))
@@ -111,17 +123,42 @@ def segmented_fold(
             traced(acc).alias("trace"),
         )
 
+    def finished(acc: Column) -> Column:
+        return F.struct(acc["step"]["state"].alias("state"), traced(acc).alias("trace"))
+
+    whole_type = f"struct<state:{state_type},traces:array<{trace_type}>>"
+
+    def advance_part(acc: Column, first: Column) -> Column:
+        part = F.aggregate(F.slice("rows", first, TRACE_ROWS), entering(acc["state"]), advance, finished)
+        return let(
+            part,
+            lambda p: F.struct(
+                p["state"].alias("state"), F.concat(acc["traces"], F.array(p["trace"])).alias("traces")
+            ).cast(whole_type),
+        )
+
     def outcomes() -> DataFrame:
-        trace = F.aggregate("rows", start, advance, traced)
-        return batches.select(*keys, F.explode(trace).alias("_t")).select(
+        begin = F.struct("state", F.array().cast(f"array<{trace_type}>").alias("traces")).cast(whole_type)
+        parts = F.sequence(F.lit(1), F.size("rows"), F.lit(TRACE_ROWS))
+        trace = F.aggregate(parts, begin, advance_part, lambda acc: F.flatten(acc["traces"]))
+        folded = batches.select(*keys, F.explode(trace).alias("_t")).select(
             *keys, F.col("_t._order").alias(order), "_t.outcome.*"
         )
+        if idle is None:
+            return folded
+        same = idle.select(*keys, order, transition(F.col("_idle"), F.struct(*fields))["outcome"].cast(outcome_type).alias("_o"))
+        return folded.unionByName(same.select(*keys, order, "_o.*"))
 
     def states() -> DataFrame:
         ended = batches.select(*keys, "_segment", _exit(transition, state_type).alias("state"))
         last = ended.groupBy(*keys).agg(F.max_by("state", "_segment").alias("state"))
-        untouched = init.join(rows.select(*keys).distinct(), keys, "left_anti")
-        return last.unionByName(untouched).where(F.col("state").isNotNull())
+        if idle is not None:
+            # A key whose rows are all idle has no segment and keeps its first state.
+            kept = init.withColumnRenamed("state", "_first").join(last, keys, "full_outer")
+            last = kept.select(*keys, F.coalesce("state", "_first").alias("state"))
+        else:
+            last = last.unionByName(init.join(rows.select(*keys).distinct(), keys, "left_anti"))
+        return last.where(F.col("state").isNotNull())
 
     return Fold(outcomes, states)
 
@@ -130,25 +167,28 @@ def _exit(transition: Transition, state_type: str) -> Column:
     return F.aggregate("rows", F.col("state"), lambda s, r: transition(s, r)["state"].cast(state_type))
 
 
-def _batches(rows, keys, order, fields, size, packed, init, starts) -> DataFrame:
-    """Segments with the true state each one starts from."""
+def _batches(rows, keys, order, fields, size, packed, init, starts, apart) -> tuple[DataFrame, DataFrame | None]:
+    """Segments with the true state each one starts from, and the rows that were set apart (None: no key is long)."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # Most tables have none or few; their rows alone are cut and kept.
     split = materialized(counts.where(F.col("_n") > 2 * size).select(*keys))
     first = F.lit(0).cast("bigint")
     if split.isEmpty():
         whole = rows.groupBy(*keys).agg(packed.alias("rows"))
-        return whole.join(init, keys, "left").select(*keys, first.alias("_segment"), "rows", "state")
+        return whole.join(init, keys, "left").select(*keys, first.alias("_segment"), "rows", "state"), None
     single = rows.join(split, keys, "left_anti").groupBy(*keys).agg(packed.alias("rows"))
     single = single.join(init, keys, "left").select(*keys, first.alias("_segment"), "rows", "state")
-    celled = rows.join(split, keys, "left_semi").withColumn("_cell", F.expr(f"`{order}` div {size}"))
+    mine = init.join(split, keys, "left_semi")
+    long, idle = rows.join(split, keys, "left_semi").select(*keys, order, *fields), None
+    if apart is not None:
+        told = materialized(apart(long, mine))
+        long, idle = told.where(F.col("_idle").isNull()).drop("_idle"), told.where(F.col("_idle").isNotNull())
+    celled = long.withColumn("_cell", F.expr(f"`{order}` div {size}"))
     cut = join_on_keys(celled, segment_cells(celled, keys, size), [*keys, "_cell"]).drop("_cell")
     cut = materialized(cut.select(*keys, order, *fields, "_segment"))
     at = [*keys, "_segment"]
     segments = cut.groupBy(*at).agg(packed.alias("rows"))
-    mine = init.join(split, keys, "left_semi")
-    long = join_on_keys(segments, starts(cut, mine).select(*at, "state"), at)
-    return single.unionByName(long)
+    return single.unionByName(join_on_keys(segments, starts(cut, mine).select(*at, "state"), at)), idle
 
 
 def segment_cells(rows: DataFrame, keys: list[str], size: int) -> DataFrame:

@@ -202,6 +202,30 @@ def fold_heads(
 
         return let(F.slice(rows, F.greatest(F.size(rows) - LAST_ROWS, F.lit(0)) + 1, LAST_ROWS), of)
 
+    def of_other_files(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """Changes of another file than the path's head; a head is never replaced by one of another file.
+
+        The file is that of the stored head, or of the first change that can become one. Where an
+        identifier is NULL this is not certain, and all changes of the path are folded.
+        """
+        named = F.col("file_id").isNotNull() & F.col("revision_id").isNotNull()
+        able = F.when(~F.col("absent"), F.col("sequence"))
+        first = rows.groupBy(*on).agg(
+            F.min_by(F.struct("sequence", *fields), able).alias("_row"), F.min(named).alias("_named")
+        )
+        held = heads.where("state.revision_id IS NOT NULL").select(*on, F.col("state").alias("_held"))
+        # A stored head is there before the first change; the record a path starts with comes after itself.
+        known = first.join(held, on, "left").select(
+            *on,
+            F.coalesce("_held", F.struct(*[F.col(f"_row.{c}").alias(c) for c in fields])).alias("_idle"),
+            F.when(F.col("_held").isNull(), F.col("_row.sequence")).alias("_since"),
+            (F.col("_named") & (F.col("_held").isNull() | F.col("_held.file_id").isNotNull())).alias("_sure"),
+        )
+        other = F.col("_sure") & (F.col("_idle.file_id") != F.col("file_id"))
+        other = other & (F.col("_since").isNull() | (F.col("sequence") > F.col("_since")))
+        told = rows.join(known, on, "left")
+        return told.select(*rows.columns, F.when(other, F.col("_idle")).cast(STATE_TYPE).alias("_idle"))
+
     return segmented_fold(
         foreign,
         on,
@@ -213,6 +237,7 @@ def fold_heads(
         transition,
         segment_rows,
         entries=may_end_in,
+        apart=of_other_files,
     )
 
 
