@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import let, object_key
-from tidemark.operators.chain import last_marked, next_match, reachable
+from tidemark.operators.chain import last_marked, next_match, reachable_forward
 from tidemark.operators.fold import Fold, segmented_fold
 from tidemark.operators.manifests import NIL_ID
 from tidemark.session import materialized
@@ -196,10 +196,10 @@ def segment_starts(rows: DataFrame, init: DataFrame, keys: list[str] = KEYS) ->
     nodes = able.select(*at, "event_id", "_value").unionByName(starts)
     wanted = able.select(*at, "event_id", F.col("start_offset").alias("_value"))
     pointers = next_match(nodes, wanted, [*at, "_value"], "event_id", "to")
-    reached, rounds = reachable(
+    reached, rounds = reachable_forward(
         pointers.select(*at, F.col("event_id").alias("at"), "to"), starts.select(*at, F.col("event_id").alias("at")), at
     )
-    accepted = able.join(reached.withColumnRenamed("at", "event_id").distinct(), [*at, "event_id"])
+    accepted = able.join(reached.withColumnRenamed("at", "event_id"), [*at, "event_id"])
 
     # The first COMPLETE behind the event that fills a transfer stores it.
     full = (
