@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import chain
+from tidemark.operators import chain, transfers
 
 
 def test_paths_of_ranges_are_those_of_single_steps(spark):
@@ -32,3 +32,14 @@ def test_rounds_follow_the_ranges_and_not_the_chain(spark):
     heads = spark.createDataFrame([], "path_id string, content_id string")
     committed, rounds = chain.committed_rows(proposals, heads, ["path_id"], "position", F.lit(False))
     assert committed.count() == 600 and rounds <= 1
+
+
+def test_long_keys_are_folded_by_all_tasks_of_the_session(spark):
+    rows = [("p", "x", 0, "BEGIN", "q", 400, None, None)] + [("p", "x", i + 1, "APPEND", None, None, i, 1) for i in range(400)]
+    event = "peer string, content_id string, event_id bigint, op string, request_id string, size bigint, start_offset bigint, len bigint"
+    events = spark.createDataFrame(rows, event)
+    none = events.where("false").select("content_id", F.lit(True).alias("available"))
+    fold = transfers.replay_transfers(events, events.select("peer", "content_id").distinct(), none, segment_rows=16)
+    assert "REPARTITION_BY_NUM" in fold.outcomes._jdf.queryExecution().executedPlan().toString()
+    got = {r.event_id: (r.status, r.received) for r in fold.outcomes.collect()}
+    assert got == {0: ("START", 0), **{i + 1: ("ACCEPTED", i + 1) for i in range(400)}}

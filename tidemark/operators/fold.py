@@ -188,7 +188,15 @@ def _batches(rows, keys, order, fields, size, packed, init, starts, apart) -> tu
     cut = materialized(cut.select(*keys, order, *fields, "_segment"))
     at = [*keys, "_segment"]
     segments = cut.groupBy(*at).agg(packed.alias("rows"))
-    return single.unionByName(join_on_keys(segments, starts(cut, mine).select(*at, "state"), at)), idle
+    begun = join_on_keys(segments, starts(cut, mine).select(*at, "state"), at)
+    # Folding a segment costs far more than its bytes tell, so tasks are not merged by bytes.
+    return single.unionByName(begun.repartition(_tasks(begun), *at)), idle
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of the session, so that every core has segments to fold."""
+    session = df.sparkSession
+    return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
 
 
 def segment_cells(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
