@@ -16,6 +16,7 @@ from tidemark.functions.paths import conflict_path
 from tidemark.functions.vv import VV_TYPE, vv_ge, vv_label, vv_relation
 from tidemark.operators.chain import committed_rows, last_marked
 from tidemark.operators.fold import Fold, segmented_fold
+from tidemark.session import materialized
 from tidemark.sources.keyed import BUCKETS, KeyedTable
 
 FILE, TOMBSTONE = "FILE", "TOMBSTONE"
@@ -464,6 +465,8 @@ def cas_heads(
     keys = keys or ["path_id"]
     waiting = pending.select(*keys, F.col("target_content_id").alias("pending_target"))
     rows = proposals.select(*keys, order, "content_id", "kind", "expected_previous").join(waiting, keys, "left")
+    # Read four times: to find what commits and what came before each row.
+    rows = materialized(rows)
     blocked = F.col("pending_target").isNotNull() & (F.col("pending_target") != F.col("content_id"))
     committed, _ = committed_rows(rows, heads, keys, order, blocked)
     marked = rows.join(committed.withColumn("_committed", F.lit(True)), [*keys, order], "left").withColumn(
