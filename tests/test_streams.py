@@ -1,10 +1,15 @@
 from dataclasses import replace
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 from test_transfers import brute_force, random_events
 
 from tidemark.functions import ids
+from tidemark.operators import admission, changelog
+from tidemark.plans import fixtures as fx
+from tidemark.plans import logs
+from tidemark.session import materialized
 from tidemark.streaming import pull as pl
 from tidemark.streaming import transfers as stream
 
@@ -147,3 +152,38 @@ def test_a_refused_record_commits_when_its_author_is_added(spark, peer, tmp_path
     known[0] = known[0].unionByName(late)
     change(5).coalesce(1).write.mode("append").parquet(source)
     assert run() == {"r3", "r4", "r5"}
+
+
+def test_change_files_of_a_peer_are_written_in_many_tasks(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def start(session, source, *rest, **more):
+        raise Stop(len(session.read.parquet(source).inputFiles()))
+
+    table = fx.table
+    monkeypatch.setattr(fx, "table", lambda *at: table(*at).repartition(8))
+    monkeypatch.setattr(pl, "start_pull", start)
+    with pytest.raises(Stop) as stopped:
+        logs.pull_stream(spark, "/root/testdata/sf0.001")
+    assert stopped.value.args == (8,)
+
+
+def test_admission_writes_its_records_twice(spark, peer, monkeypatch):
+    """What the log says of them is met where the authentication is, not in a step of its own."""
+    change, _, local = peer
+    written = []
+
+    def kept(df):
+        written.append("revision_id" in df.columns)
+        return materialized(df)
+
+    for module in (admission, changelog):
+        monkeypatch.setattr(module, "materialized", kept)
+    log = spark.createDataFrame([("g", "r4", "m4", 7), ("g", "r5", "other", 8)], "group_id string, revision_id string, content_id string, sequence bigint")
+    remote = reduce(lambda a, b: a.unionByName(b), [change(n) for n in range(1, 6)])
+    admitted, _ = pl.pull_pages(remote, log, local, "g", "peer", 0)
+    assert {r.revision_id: (r.status, r.sequence) for r in admitted.collect()} == {
+        "r1": ("COMMITTED", 9), "r2": ("WAITING", None), "r3": ("COMMITTED", 10), "r4": ("REPLAYED", 7), "r5": ("REVISION_CONTENT_MISMATCH", None)
+    }
+    assert sum(written) == 2
