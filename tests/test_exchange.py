@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.operators import admission, exchange, reports
+from tidemark.session import materialized
 
 MEMBER = "group_id bigint, device string, status string, tag_key string"
 
@@ -130,3 +131,30 @@ def test_reports_carry_cursors_and_replay(spark):
     replay = spark.createDataFrame([(3,)], "records_applied bigint")
     row = reports.sync_report(reports.pull_report(events), replay).first()
     assert (row.peers_synchronized, row.peers_failed, row.records_applied) == (1, 1, 3)
+
+
+def test_refused_pages_are_not_written_and_few_manifests_are_looked_up_once(spark, monkeypatch):
+    """Of pages behind a refused one only sequences are kept, and references that no record names are read once."""
+    written = []
+
+    def kept(df):
+        table = materialized(df)
+        written.append((set(table.columns), table.count()))
+        return table
+
+    too_large = admission.MAXIMUM_PAYLOAD_BYTES + 1
+    remote, envelopes, catalog, state = setting(spark, lacking=(3,), payload=lambda k: too_large if k == 7 else 10)
+    monkeypatch.setattr(exchange, "materialized", kept)
+    admitted, _, state = exchange.pull_round(remote, envelopes, catalog, state, 1, "p", 5, n=5)
+    assert statuses(admitted) == {k: "WAITING" if k == 3 else "COMMITTED" for k in range(1, 6)}
+    assert max(rows for columns, rows in written if "tag" in columns) == 5
+    assert [rows for columns, rows in written if columns == {"manifest_id", "content_id"}] == [10]
+    assert [r.content_id for r in state.requests.collect()] == ["c3"] and state.index.count() == 1
+
+
+def test_many_manifests_keep_the_whole_catalog(spark, monkeypatch):
+    _, _, catalog, _ = setting(spark)
+    manifests = spark.createDataFrame([("m1",), ("m2",)], "content_id string")
+    assert exchange.narrowed(catalog, manifests).refs.count() == 4
+    monkeypatch.setattr(exchange, "GROUP_ROWS", 1)
+    assert exchange.narrowed(catalog, manifests) is catalog
