@@ -115,3 +115,21 @@ def test_rounds_are_logarithmic(spark):
     first = {k: min(r[2] for r in rows if r[2] * segments // (n + 1) == k) for k in range(1, segments)}
     assert [got[k] for k in range(1, segments)] == [first[k] - 1 for k in range(1, segments)]
     assert rounds <= math.log2(n) + 2
+
+
+def test_outcomes_and_states_of_one_pass(spark):
+    """What both are read from is written, so neither folds the rows again."""
+    rows = random_events(1)
+    frames = [
+        spark.createDataFrame(rows, EVENT),
+        spark.createDataFrame(KEYS, "peer string, content_id string"),
+        spark.createDataFrame([], "content_id string, available boolean"),
+    ]
+    want, ends = brute_force(rows, KEYS, [], [])
+    for segment_rows in (16, None):
+        fold = tr.replay_transfers(*frames, segment_rows=segment_rows, once=True)
+        assert {r.event_id: (r.status, r.received) for r in fold.outcomes.collect()} == want
+        got = {(r.peer, r.content_id): (r.state.present, r.state.size, r.state.received) for r in fold.states.collect()}
+        assert got == ends
+        for frame in (fold.outcomes, fold.states):
+            assert "lambda" not in frame._jdf.queryExecution().optimizedPlan().toString()

@@ -53,11 +53,11 @@ Apart = Callable[[DataFrame, DataFrame], DataFrame]
 class Fold:
     """``outcomes``: one row per input row. ``states``: the last state per key.
 
-    Either is planned when it is first asked for.
+    Either is planned when it is first asked for. ``written``: tables both read, which may be discarded after use.
     """
 
-    def __init__(self, outcomes: Callable[[], DataFrame], states: Callable[[], DataFrame]):
-        self._outcomes, self._states = outcomes, states
+    def __init__(self, outcomes: Callable[[], DataFrame], states: Callable[[], DataFrame], written: tuple[DataFrame, ...] = ()):
+        self._outcomes, self._states, self.written = outcomes, states, written
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -81,12 +81,14 @@ def segmented_fold(
     starts: Starts | None = None,
     entries: Entries | None = None,
     apart: Apart | None = None,
+    once: bool = False,
 ) -> Fold:
     """Fold ``rows`` of each key in ``order``.
 
     ``init`` holds ``keys`` and a ``state`` column; a key without a row starts from NULL.
     ``transition(state, row)`` is a deterministic column of the next ``state`` and the
-    ``outcome`` to emit for the row; both are structs of the named types.
+    ``outcome`` to emit for the row; both are structs of the named types. ``once`` is for callers that need outcomes
+    and states: rows are folded now, and what comes of each segment is written.
     """
     size = segment_rows or SEGMENT_ROWS
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *fields)))
@@ -137,11 +139,17 @@ def segmented_fold(
             ).cast(whole_type),
         )
 
+    begin = F.struct("state", F.array().cast(f"array<{trace_type}>").alias("traces")).cast(whole_type)
+    parts = F.sequence(F.lit(1), F.size("rows"), F.lit(TRACE_ROWS))
+    # One column for both, as Spark would fold the rows for each.
+    once_folded = materialized(batches.select(*keys, "_segment", F.aggregate(parts, begin, advance_part).alias("_whole"))) if once else None
+
     def outcomes() -> DataFrame:
-        begin = F.struct("state", F.array().cast(f"array<{trace_type}>").alias("traces")).cast(whole_type)
-        parts = F.sequence(F.lit(1), F.size("rows"), F.lit(TRACE_ROWS))
-        trace = F.aggregate(parts, begin, advance_part, lambda acc: F.flatten(acc["traces"]))
-        folded = batches.select(*keys, F.explode(trace).alias("_t")).select(
+        if once_folded is None:
+            traced_rows, trace = batches, F.aggregate(parts, begin, advance_part, lambda acc: F.flatten(acc["traces"]))
+        else:
+            traced_rows, trace = once_folded, F.flatten("_whole.traces")
+        folded = traced_rows.select(*keys, F.explode(trace).alias("_t")).select(
             *keys, F.col("_t._order").alias(order), "_t.outcome.*"
         )
         if idle is None:
@@ -150,7 +158,11 @@ def segmented_fold(
         return folded.unionByName(same.select(*keys, order, "_o.*"))
 
     def states() -> DataFrame:
-        ended = batches.select(*keys, "_segment", _exit(transition, state_type).alias("state"))
+        ended = (
+            batches.select(*keys, "_segment", _exit(transition, state_type).alias("state"))
+            if once_folded is None
+            else once_folded.select(*keys, "_segment", F.col("_whole.state").alias("state"))
+        )
         last = ended.groupBy(*keys).agg(F.max_by("state", "_segment").alias("state"))
         if idle is not None:
             # A key whose rows are all idle has no segment and keeps its first state.
@@ -160,7 +172,7 @@ def segmented_fold(
             last = last.unionByName(init.join(rows.select(*keys).distinct(), keys, "left_anti"))
         return last.where(F.col("state").isNotNull())
 
-    return Fold(outcomes, states)
+    return Fold(outcomes, states, () if once_folded is None else (once_folded,))
 
 
 def _exit(transition: Transition, state_type: str) -> Column:

@@ -116,12 +116,13 @@ def replay_transfers(
     objects: DataFrame,
     open_transfers: DataFrame | None = None,
     segment_rows: int | None = None,
+    once: bool = False,
 ) -> Fold:
     """Status of every event and the final state of every transfer.
 
     ``requests``: ``peer, content_id`` asked for. ``objects``: ``content_id, available``.
     ``open_transfers``: ``peer, content_id, size, received`` left by an earlier run. With a
-    ``group_id`` in all tables, an object and its transfers are those of one group.
+    ``group_id`` in all tables, an object and its transfers are those of one group. ``once``: see ``segmented_fold``.
     """
     thing = object_key(events, requests, objects)
     keys = [*thing[:-1], *KEYS]
@@ -148,18 +149,23 @@ def replay_transfers(
         F.lit(None).cast("bigint").alias("stored_at"),
     )
 
+    init = init.select(*keys, state.alias("state"))
+    # The fold and its states both read it, and requests may be dear to find.
+    init = materialized(init) if once else init
     fold = segmented_fold(
         events,
         keys,
         "event_id",
         FIELDS,
-        init.select(*keys, state.alias("state")),
+        init,
         STATE_TYPE,
         "struct<op:string,status:string,received:bigint,late_status:string>",
         _transition,
         segment_rows,
         lambda rows, first: segment_starts(rows, first, keys)[0],
+        once=once,
     )
+    fold.written += (init,) if once else ()
     return _across_peers(fold, events, keys)
 
 
@@ -275,7 +281,7 @@ def _across_peers(fold: Fold, events: DataFrame, keys: list[str]) -> Fold:
             *keys, F.when(F.col("_at").isNull(), F.col("state")).otherwise(there).alias("state")
         )
 
-    return Fold(outcomes, states)
+    return Fold(outcomes, states, fold.written)
 
 
 def transfer_progress(states: DataFrame) -> DataFrame:

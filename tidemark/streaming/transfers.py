@@ -66,7 +66,8 @@ def start_transfers(
         catalog = materialized(objects().join(touched, "content_id", "left_semi").select("content_id", "available"))
         stored = known.where("stored").select("content_id", F.lit(True).alias("available"))
         opened = known.where("NOT stored").select(*KEYS, "size", "received")
-        fold = replay_transfers(events, requests(), catalog.unionByName(stored), opened)
+        # Outcomes and states are both needed, and what peers share needs the states twice.
+        fold = replay_transfers(events, requests(), catalog.unionByName(stored), opened, once=True)
         fold.outcomes.write.mode("overwrite").parquet(f"{base}/outcomes/batch={number}")
         if state.version() == before.version:
             states = materialized(fold.states)
@@ -82,7 +83,7 @@ def start_transfers(
             after = materialized(flight.withColumn("stored", F.lit(False)).unionByName(kept))
             state.change(touched, lambda old, new: old.join(new, "content_id", "left_anti").select(*old.columns).unionByName(after.select(*old.columns)))
             discard(states, after)
-        discard(events, known, catalog)
+        discard(events, known, catalog, *fold.written)
 
     stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     writer = stream.writeStream.foreachBatch(replay).option("checkpointLocation", checkpoint)
